@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.llm.media import store_texts
 from stratalog.llm.pii import detect_pii
+from stratalog.llm.secrets import scan_secrets
 from stratalog.llm.token_counts import count_tokens
+from stratalog.llm.warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +19,27 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(_table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op7_token_counts": op7_token_counts}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_media": op3_media,
+    "op7_token_counts": op7_token_counts,
+    "op9_warc": op9_warc,
+    "op10_secrets": op10_secrets,
+}
 ORACLES: dict[str, str] = {}
