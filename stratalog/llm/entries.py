@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.llm.decontaminate import find_contamination
 from stratalog.llm.media import store_texts
 from stratalog.llm.pii import detect_pii
 from stratalog.llm.secrets import scan_secrets
+from stratalog.llm.simhash import near_duplicates
 from stratalog.llm.token_counts import count_tokens
 from stratalog.llm.warc import archive_pages
 
@@ -23,10 +25,18 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -38,7 +48,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_media": op3_media,
+    "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
