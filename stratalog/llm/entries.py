@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalog.llm.decontaminate import find_contamination
 from stratalog.llm.media import store_texts
 from stratalog.llm.pii import detect_pii
+from stratalog.llm.quality import score_quality
 from stratalog.llm.secrets import scan_secrets
 from stratalog.llm.simhash import near_duplicates
 from stratalog.llm.token_counts import count_tokens
@@ -29,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_media": op3_media,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
