@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.decontaminate import find_contamination
+from stratalog.llm.lines import dedup_report
 from stratalog.llm.media import store_texts
+from stratalog.llm.packing import pack
 from stratalog.llm.pii import detect_pii
 from stratalog.llm.quality import score_quality
 from stratalog.llm.secrets import scan_secrets
@@ -22,10 +24,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +62,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
     "op3_media": op3_media,
+    "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
