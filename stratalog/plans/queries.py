@@ -1,6 +1,507 @@
-"""The registered queries and, where SQL can express them, their DuckDB oracles."""
+"""The registered queries over the supplied tables, and their DuckDB oracles.
+
+`events` is the log: ts is the time, event_type the template, user_id the stream. Lines are
+made up from it where a query parses text.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.config import AnomalyConfig, ParsingConfig, PreprocessingConfig, WindowingConfig
+from stratalog.functions.times import parse_time
+from stratalog.operators import evaluate, matrix, profile, records, scoring, templates, views, windows
+from stratalog.operators.preprocess import parse_lines
+from stratalog.plans.pipeline import summarise
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table under the log's names."""
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").alias("Timestamp"), F.col("event_type").alias("EventTemplate"), F.col("user_id").alias("datastream"),
+        F.col("event_id").alias("line_no"), "value", "props",
+    )
+
+
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stored records; the template's number is its rank by name."""
+    e = table(spark, sf_dir, "events")
+    number = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type"))
+    return e.select(
+        "ts", F.col("user_id").cast("string").alias("datastream"), F.col("event_type").alias("EventTemplate"),
+        number.cast("string").alias("TemplateId"), "event_id",
+    )
+
+
+_RECORDS = """(SELECT ts, CAST(user_id AS VARCHAR) AS datastream, event_type AS "EventTemplate", CAST(list_position(
+['click','error','purchase','signup','view'], event_type) AS VARCHAR) AS "TemplateId", event_id FROM events)"""
+
+PATTERN = r"\[(?P<Timestamp>.+?)\]\s+\[(?P<LogLevel>\w+)\]\s+(?P<Content>.+)"
+CLOCK = datetime(2024, 2, 1)
+
+
+def synthetic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per event; every eleventh is broken."""
+    e = table(spark, sf_dir, "events")
+    good = F.concat(
+        F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), F.when(F.col("event_type") == "error", "error").otherwise("info"),
+        F.lit("] user "), F.col("user_id").cast("string"), F.lit(" did "), F.col("event_type"), F.lit(" no "), F.col("event_id").cast("string"),
+    )
+    raw = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("broken "), F.col("event_id").cast("string"))).otherwise(good)
+    return e.select(raw.alias("raw_log"), F.col("event_id").alias("line_no"))
+
+
+_LINES = """(SELECT event_id AS line_no, CASE WHEN event_id % 11 = 0 THEN 'broken ' || event_id ELSE '[' || strftime(ts,
+'%Y-%m-%d %H:%M:%S') || '] [' || CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END || '] user ' || user_id ||
+' did ' || event_type || ' no ' || event_id END AS raw_log FROM events)"""
+_RE = r"^\[(.+?)\]\s+\[(\w+)\]\s+(.+)"
+
+
+def _lenient() -> PreprocessingConfig:
+    return PreprocessingConfig(PATTERN, "%Y-%m-%d %H:%M:%S", strict_mode=False)
+
+
+def _strict() -> PreprocessingConfig:
+    return PreprocessingConfig(PATTERN, "%Y-%m-%d %H:%M:%S", strict_mode=True)
+
+
+MASKS = ParsingConfig(masking_rules=[{"regex_pattern": r"(\d+)", "mask_with": "NUM"}])
+
+
+@query("""
+PIVOT (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "Window", event_type FROM events)
+ON event_type IN ('click', 'error', 'purchase', 'signup', 'view') USING count(*) GROUP BY "Window"
+""")
+def fixed_window_matrix(spark, sf_dir):
+    counts = matrix.event_counts(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    names = ["click", "error", "purchase", "signup", "view"]
+    return counts.groupBy("Window").pivot("EventTemplate", names).agg(F.sum("cnt")).na.fill(0)
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "Window", min(ts) AS "WindowStart", max(ts) AS "WindowEnd", count(*) AS "LogCount",
+       string_agg(event_type, ',' ORDER BY ts, event_id) AS templates
+FROM events GROUP BY 1
+""")
+def fixed_window_stats(spark, sf_dir):
+    found = windows.window_table(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    return found.select("Window", "WindowStart", "WindowEnd", "LogCount", F.array_join("EventTemplates", ",").alias("templates"))
+
+
+@query("""
+WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+w AS (SELECT lo + INTERVAL 2 HOUR * k AS s FROM b, generate_series(0, CAST(date_diff('hour', lo, hi) AS BIGINT) // 2 + 1) g(k))
+SELECT s AS "Window", s AS "WindowStart", s + INTERVAL 6 HOUR AS "WindowEnd", event_type AS "EventTemplate", count(*) AS cnt
+FROM w JOIN events ON ts >= s AND ts < s + INTERVAL 6 HOUR GROUP BY ALL
+""")
+def sliding_window_counts(spark, sf_dir):
+    rows = windows.sliding_windows(events(spark, sf_dir), "6h", "2h")
+    return rows.groupBy("Window", F.col("_start").alias("WindowStart"), F.col("_end").alias("WindowEnd"), "EventTemplate").agg(
+        F.count("*").alias("cnt")
+    )
+
+
+_SESSIONS = """
+WITH g AS (SELECT *, date_part('epoch', ts) - date_part('epoch', lag(ts) OVER w) AS gap FROM events WINDOW w AS ({over})),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR trunc(gap) > {timeout} THEN 1 ELSE 0 END) OVER ({over}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g)
+SELECT {key} CAST(sid AS BIGINT) AS "SessionId", min(ts) AS "WindowStart", max(ts) AS "WindowEnd", count(*) AS "LogCount"
+FROM s GROUP BY ALL
+"""
+
+
+@query(_SESSIONS.format(over="PARTITION BY user_id ORDER BY ts, event_id", timeout=86400, key='user_id AS datastream,'))
+def session_windows_by_user(spark, sf_dir):
+    rows = windows.session_windows(events(spark, sf_dir), "1d", "datastream")
+    return rows.groupBy("datastream", "SessionId").agg(
+        F.min("Timestamp").alias("WindowStart"), F.max("Timestamp").alias("WindowEnd"), F.count("*").alias("LogCount")
+    )
+
+
+@query(_SESSIONS.format(over="ORDER BY ts, event_id", timeout=600, key=""))
+def session_windows_global(spark, sf_dir):
+    found = windows.window_table(windows.session_windows(events(spark, sf_dir), "10m"))
+    return found.select("SessionId", "WindowStart", "WindowEnd", "LogCount")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT epoch_us(ts) AS us, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events),
+nx AS (SELECT i, us, n, lead(us, 99) OVER (ORDER BY i) AS t, max(us) OVER () AS last,
+  count(*) OVER (ORDER BY us RANGE BETWEEN 0 PRECEDING AND 21600000000 FOLLOWING) AS cmin,
+  count(*) OVER (ORDER BY us RANGE BETWEEN 0 PRECEDING AND 32400000000 FOLLOWING) AS cmax FROM r),
+st AS (SELECT i, us, CASE WHEN coalesce(t, last) - us < 21600000000 AND i + 100 < n THEN cmin
+  WHEN coalesce(t, last) - us > 32400000000 THEN cmax ELSE least(100, n - i) END AS k FROM nx),
+ch AS (SELECT i, us, k FROM st WHERE i = 0 UNION ALL SELECT st.i, st.us, st.k FROM ch JOIN st ON st.i = ch.i + ch.k)
+SELECT make_timestamp(us) AS "Window", k AS "LogCount" FROM ch
+""")
+def adaptive_windows(spark, sf_dir):
+    found = windows.window_table(windows.adaptive_windows(events(spark, sf_dir), 100, "6h", "9h"))
+    return found.select("Window", "LogCount")
+
+
+@query(f"""
+SELECT line_no, regexp_extract(raw_log, '{_RE}', 2) AS "LogLevel", regexp_extract(raw_log, '{_RE}', 3) AS "Content",
+  strptime(regexp_extract(raw_log, '{_RE}', 1), '%Y-%m-%d %H:%M:%S') AS "Timestamp"
+FROM {_LINES} WHERE regexp_matches(raw_log, '{_RE}')
+""")
+def parse_strict(spark, sf_dir):
+    return parse_lines(synthetic_lines(spark, sf_dir), _strict()).select("line_no", "LogLevel", "Content", "Timestamp")
+
+
+@query(f"""
+SELECT line_no, CASE WHEN hit THEN regexp_extract(raw_log, '{_RE}', 2) ELSE 'UNKNOWN' END AS "LogLevel",
+  CASE WHEN hit THEN regexp_extract(raw_log, '{_RE}', 3) ELSE raw_log END AS "Content",
+  CASE WHEN hit THEN strptime(regexp_extract(raw_log, '{_RE}', 1), '%Y-%m-%d %H:%M:%S') ELSE TIMESTAMP '2024-02-01' END AS "Timestamp"
+FROM (SELECT *, regexp_matches(raw_log, '{_RE}') AS hit FROM {_LINES})
+""")
+def parse_lenient(spark, sf_dir):
+    rows = parse_lines(synthetic_lines(spark, sf_dir), _lenient(), CLOCK)
+    return rows.select("line_no", "LogLevel", "Content", "Timestamp")
+
+
+_FORMATS = {
+    "apache": ("%a %b %d %H:%M:%S %Y", "Sun Dec 04 04:47:44 2005"),
+    "bgl": ("%Y-%m-%d-%H.%M.%S.%f", "2005-06-03-15.42.50.675872"),
+    "hdfs": ("%y%m%d %H%M%S", "081109 203518"),
+    "openstack": ("%Y-%m-%d %H:%M:%S.%f", "2017-05-16 00:00:00.008"),
+    "thunderbird": ("%b %d %H:%M:%S", "Nov 09 12:01:01"),
+    "unparsed": ("%y%m%d%H%M%S", "081109"),
+}
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT '{k}' AS source, " + ("CAST(NULL AS TIMESTAMP)" if k == "unparsed" else f"strptime('{s}', '{f}')" if k != "thunderbird"
+    else "strptime('1900 ' || '" + s + "', '%Y " + f + "')") + ' AS "Timestamp"' for k, (f, s) in _FORMATS.items()))
+def timestamp_formats(spark, sf_dir):
+    rows = spark.createDataFrame([(k, s) for k, (_, s) in _FORMATS.items()], "source string, text string")
+    parsed = F.coalesce(*[F.when(F.col("source") == k, parse_time(F.col("text"), f)) for k, (f, _) in _FORMATS.items()])
+    return rows.select("source", parsed.alias("Timestamp"))
+
+
+@query(f"""
+WITH p AS (SELECT line_no, regexp_extract(raw_log, '{_RE}', 3) AS c, strptime(regexp_extract(raw_log, '{_RE}', 1), '%Y-%m-%d %H:%M:%S') AS ts
+  FROM {_LINES} WHERE regexp_matches(raw_log, '{_RE}')),
+t AS (SELECT *, regexp_replace(c, '(\\d+)', '<:NUM:>', 'g') AS tpl FROM p),
+f AS (SELECT tpl, count(*) AS n, min((ts, line_no)) AS first FROM t GROUP BY tpl)
+SELECT tpl AS "EventTemplate", row_number() OVER (ORDER BY first, tpl) AS "TemplateId", n FROM f
+""")
+def mask_and_template_counts(spark, sf_dir):
+    rows = templates.masked_templates(parse_lines(synthetic_lines(spark, sf_dir), _strict()), MASKS)
+    return rows.groupBy("EventTemplate", "TemplateId").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(replace(replace(text, '_', ' '), ':', ' '), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS l FROM documents)) GROUP BY 1
+""")
+def message_tokens(spark, sf_dir):
+    words = templates.tokens(F.col("text"), ParsingConfig(extra_delimiters=["_", ":"]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("words")).where("words <> ''")
+
+
+@query("""
+SELECT time_bucket(INTERVAL 6 HOUR, ts) AS "Window", event_type AS "EventTemplate", count(*) AS cnt FROM events GROUP BY ALL
+""")
+def matrix_long(spark, sf_dir):
+    return matrix.event_counts(windows.fixed_windows(events(spark, sf_dir), "6h"))
+
+
+@query("""
+WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS "Window", min(ts) AS "WindowStart", max(ts) AS "WindowEnd", count(*) AS "LogCount"
+  FROM events GROUP BY 1),
+p AS (PIVOT (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS "Window", event_type FROM events)
+  ON event_type IN ('click', 'error', 'purchase', 'signup', 'view') USING count(*) GROUP BY "Window")
+SELECT * FROM p LEFT JOIN w USING ("Window")
+""")
+def matrix_with_metadata(spark, sf_dir):
+    assigned = windows.fixed_windows(events(spark, sf_dir), "6h")
+    table_ = windows.window_table(assigned)
+    return matrix.wide_matrix(matrix.event_counts(assigned), matrix.window_metadata(table_))
+
+
+@query("""
+WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS d, avg(value) AS v FROM events GROUP BY 1)
+SELECT (SELECT count(*) FROM events) AS total_logs, (SELECT count(DISTINCT event_type) FROM events) AS unique_templates,
+  count(*) AS total_windows, CAST(sum(CASE WHEN v > 50 THEN 1 ELSE 0 END) AS BIGINT) AS anomalous_windows,
+  round(avg(CASE WHEN v > 50 THEN 1.0 ELSE 0.0 END), 9) AS anomaly_rate FROM w
+""")
+def run_summary(spark, sf_dir):
+    e = events(spark, sf_dir)
+    daily = windows.fixed_windows(e, "1d").groupBy("Window").agg((F.avg("value") > 50).alias("IsAnomaly"))
+    found = summarise({"templates": e.withColumn("TemplateId", F.col("EventTemplate")), "anomalies": daily})
+    return found.withColumn("anomaly_rate", F.round("anomaly_rate", 9))
+
+
+@query("""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS "Window", bool_or(event_type = 'error') AS "HasAlert" FROM events GROUP BY 1""")
+def ground_truth_windows(spark, sf_dir):
+    return evaluate.ground_truth(windows.fixed_windows(events(spark, sf_dir), "10m"), F.col("EventTemplate") == "error")
+
+
+@query("""
+WITH a AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "Window", round(max(value), 6) AS "AnomalyScore" FROM events GROUP BY 1),
+g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "Window", bool_or(event_type = 'error') AS "HasAlert" FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+SELECT a."Window", "AnomalyScore", "AnomalyScore" > 90 AS "IsAnomaly", "HasAlert" FROM a JOIN g USING ("Window")
+""")
+def evaluation_join(spark, sf_dir):
+    e = windows.fixed_windows(events(spark, sf_dir), "1h")
+    a = e.groupBy("Window").agg(F.round(F.max("value"), 6).alias("AnomalyScore"))
+    a = a.withColumn("IsAnomaly", F.col("AnomalyScore") > 90)
+    truth = evaluate.ground_truth(e.where("datastream % 2 = 0"), F.col("EventTemplate") == "error")
+    return evaluate.evaluation_rows(a, e.select("Window").distinct(), truth)
+
+
+_PRF = """
+WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 1) AS tp, count(*) FILTER (toxic = 0 AND quality = 1) AS fp,
+  count(*) FILTER (toxic = 1 AND quality = 0) AS fn, count(*) AS n FROM labels)
+SELECT round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1, round((tp + fn) / n, 9) AS positive_rate FROM c
+"""
+
+
+@query(_PRF)
+def precision_recall_f1(spark, sf_dir):
+    found = evaluate.precision_recall_f1(table(spark, sf_dir, "labels"), "toxic", "quality")
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+_CURVE = """
+WITH e AS (SELECT event_type = 'error' AS t, round(value, 1) AS s FROM events),
+a AS (SELECT s, count(*) FILTER (t) AS tp, count(*) AS n FROM e GROUP BY s),
+r AS (SELECT s, sum(tp) OVER w AS tp, sum(n) OVER w AS n, (SELECT count(*) FILTER (t) FROM e) AS total FROM a
+  WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT s AS threshold, tp / n AS precision, tp / total AS recall FROM r)
+"""
+
+
+def _scored_events(spark, sf_dir):
+    return events(spark, sf_dir).select((F.col("EventTemplate") == "error").alias("t"), F.round("value", 1).alias("s"))
+
+
+@query(_CURVE + "SELECT threshold, round(precision, 9) AS precision, round(recall, 9) AS recall FROM c")
+def pr_curve(spark, sf_dir):
+    c = evaluate.precision_recall_curve(_scored_events(spark, sf_dir), "t", "s")
+    return c.select("threshold", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(_CURVE + """SELECT round(sum((recall - coalesce(r0, 0)) * (precision + coalesce(p0, 1)) / 2), 6) AS pr_auc FROM (
+  SELECT *, lag(recall) OVER (ORDER BY threshold DESC) AS r0, lag(precision) OVER (ORDER BY threshold DESC) AS p0 FROM c)""")
+def pr_auc(spark, sf_dir):
+    return evaluate.pr_auc(_scored_events(spark, sf_dir), "t", "s").select(F.round("pr_auc", 6).alias("pr_auc"))
+
+
+@query("""
+SELECT "Window", "AnomalyScore" FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "Window", round(max(value), 6) AS "AnomalyScore" FROM events GROUP BY 1)
+WHERE "AnomalyScore" > 50 ORDER BY "AnomalyScore" DESC, "Window" LIMIT 5
+""")
+def top5_windows(spark, sf_dir):
+    e = windows.fixed_windows(events(spark, sf_dir), "1h").groupBy("Window").agg(F.round(F.max("value"), 6).alias("AnomalyScore"))
+    return views.top_anomalies(e.withColumn("IsAnomaly", F.col("AnomalyScore") > 50)).select("Window", "AnomalyScore")
+
+
+@query(f"""SELECT datastream, "TemplateId", count(*) AS n FROM {_RECORDS} GROUP BY ALL ORDER BY n DESC, datastream, "TemplateId" LIMIT 5""")
+def topk_templates(spark, sf_dir):
+    return views.top_templates(stored_records(spark, sf_dir))
+
+
+@query(f"""
+SELECT step_start, datastream, "TemplateId", n FROM (SELECT *, row_number() OVER (PARTITION BY step_start ORDER BY n DESC, datastream, "TemplateId") AS r
+  FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS step_start, datastream, "TemplateId", count(*) AS n FROM {_RECORDS} GROUP BY ALL)) WHERE r <= 5
+""")
+def topk_templates_by_step(spark, sf_dir):
+    return views.top_templates_by_step(stored_records(spark, sf_dir), "1 day")
+
+
+@query(f"SELECT * FROM {_RECORDS} ORDER BY ts DESC, event_id DESC LIMIT 50")
+def live_tail(spark, sf_dir):
+    return views.live_tail(stored_records(spark, sf_dir), 50, "event_id")
+
+
+@query(f"""
+SELECT * FROM {_RECORDS} WHERE regexp_full_match(datastream, '1[0-9]*') AND regexp_full_match("EventTemplate", 'e.*|view')
+AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'
+""")
+def stream_selector(spark, sf_dir):
+    return views.select_stream(stored_records(spark, sf_dir), "1[0-9]*", "e.*|view", "2024-01-05", "2024-01-20")
+
+
+@query(f"""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS step_start, "EventTemplate", count(*) AS n FROM {_RECORDS} GROUP BY ALL""")
+def volume_by_template(spark, sf_dir):
+    return views.volume_by_template(stored_records(spark, sf_dir), "5 minutes")
+
+
+@query(f"SELECT datastream, count(*) AS n FROM {_RECORDS} GROUP BY 1")
+def count_by_stream(spark, sf_dir):
+    return views.count_by(stored_records(spark, sf_dir), "datastream")
+
+
+@query(f"""SELECT datastream, "TemplateId", "EventTemplate", count(*) AS "Count" FROM {_RECORDS} GROUP BY ALL""")
+def template_mapping(spark, sf_dir):
+    return views.template_mapping(stored_records(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT datastream AS value FROM {_RECORDS}")
+def label_values(spark, sf_dir):
+    return views.label_values(stored_records(spark, sf_dir), "datastream")
+
+
+_FEATURES = """f AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "Window", event_type AS feature, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL),
+n AS (SELECT count(DISTINCT "Window") AS n FROM f)"""
+
+
+def _features(spark, sf_dir):
+    counts = matrix.event_counts(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    return counts.select("Window", F.col("EventTemplate").alias("feature"), F.col("cnt").cast("double").alias("value"))
+
+
+@query(f"""
+WITH {_FEATURES}
+SELECT feature AS "EventTemplate", round((sum(value * value) - sum(value) * sum(value) / any_value(n)) / (any_value(n) - 1), 6) AS variance
+FROM f, n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15
+""")
+def feature_variance_top15(spark, sf_dir):
+    counts = matrix.event_counts(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    return views.feature_variances(counts).withColumn("variance", F.round("variance", 6))
+
+
+@query(f"""
+WITH {_FEATURES}, d AS (SELECT feature, count(*) AS df FROM f GROUP BY 1),
+r AS (SELECT "Window", feature, value * (ln((1 + n) / (1 + df)) + 1) AS v FROM f JOIN d USING (feature), n)
+SELECT "Window", feature, round(v / sqrt(sum(v * v) OVER (PARTITION BY "Window")), 6) AS value FROM r
+""")
+def tfidf_features(spark, sf_dir):
+    return scoring.tfidf(_features(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""
+WITH {_FEATURES}, m AS (SELECT feature, sum(value) / any_value(n) AS mean, sqrt(sum(value * value) / any_value(n) - (sum(value) / any_value(n)) ** 2) AS sd FROM f, n GROUP BY 1)
+SELECT "Window", feature, round((value - mean) / sd, 6) AS value FROM f JOIN m USING (feature)
+""")
+def standardised_features(spark, sf_dir):
+    return scoring.standardised(_features(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query("""
+WITH b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 30 AS w FROM events)
+SELECT CAST(least(floor((value - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n FROM events, b GROUP BY 1
+""")
+def score_histogram(spark, sf_dir):
+    return views.histogram(events(spark, sf_dir), "value").select("bin", "n")
+
+
+@query("""
+SELECT event_type = 'error' AS "IsAnomaly", round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
+  round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS most FROM events GROUP BY 1
+""")
+def box_by_class(spark, sf_dir):
+    e = events(spark, sf_dir).select((F.col("EventTemplate") == "error").alias("IsAnomaly"), F.col("value").alias("AnomalyScore"))
+    found = views.box_by_class(e)
+    return found.select("IsAnomaly", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+
+@query("""
+SELECT count(*) AS n_rows, 3 AS n_columns, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS n_duplicates,
+  CAST(count(*) FILTER (text IS NULL) AS BIGINT) AS null_text FROM documents
+""")
+def quality_profile(spark, sf_dir):
+    found = profile.quality_profile(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+    return found.select("n_rows", "n_columns", "n_duplicates", F.col("null_counts")["text"].alias("null_text"))
+
+
+@query(r"""
+SELECT doc_id, substring(trim(regexp_replace(replace(replace(text, '\', ' '), '"', ''''), '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 250) AS label FROM documents
+""")
+def record_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", records.label_value(F.col("text")).alias("label"))
+
+
+@query("""
+SELECT event_id, CAST(epoch_ns(ts) AS VARCHAR) AS ts_ns, CAST(user_id AS VARCHAR) AS datastream, event_type AS "EventTemplate",
+  CAST(round(value, 2) AS VARCHAR) AS value FROM events
+""")
+def record_json(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(
+        F.col("ts").alias("Timestamp"), F.col("user_id").alias("datastream"), F.col("event_type").alias("EventTemplate"), "event_id", F.round("value", 2).alias("value")
+    )
+    r = records.log_records(e)
+    return r.select(F.get_json_object("line", "$.event_id").cast("long").alias("event_id"), "ts_ns", "datastream", "EventTemplate", F.col("meta")["value"].alias("value"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS "Window", '[' || string_agg('''' || event_type || '''', ',' ORDER BY ts, event_id) || ']' AS "EventTemplates"
+FROM events GROUP BY 1
+""")
+def list_encoding(spark, sf_dir):
+    found = windows.window_table(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    return records.flat_for_csv(found.select("Window", "EventTemplates"))
+
+
+@query("""
+SELECT 'event ' || event_id AS message, CASE WHEN event_id % 7 = 0 THEN 'unknown' ELSE CAST(user_id AS VARCHAR) END AS datastream,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM events
+""")
+def forwarded_requests(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return records.forwarded(e.select(
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"),
+        F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("datastream"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.lit("x").alias("original_timestamp"),
+    ))
+
+
+@query(f"""
+SELECT CASE WHEN NOT regexp_matches(raw_log, '{_RE}') THEN 'skipped' ELSE 'ok' END AS status, count(*) AS n FROM {_LINES} GROUP BY 1
+""")
+def ingest_statuses(spark, sf_dir):
+    lines = synthetic_lines(spark, sf_dir)
+    rows = parse_lines(lines, _strict()).select("line_no", "Content")
+    joined = lines.join(rows, "line_no", "left")
+    return joined.groupBy(records.ingest_status(F.col("Content").isNotNull(), F.col("Content")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query()
+def pca_anomalies(spark, sf_dir):
+    counts = matrix.event_counts(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    return scoring.detect(counts, AnomalyConfig())
+
+
+@query()
+def drain_templates(spark, sf_dir):
+    rows = parse_lines(synthetic_lines(spark, sf_dir), _strict())
+    return templates.mined_templates(rows.withColumn("level", F.col("LogLevel")), MASKS, "level").groupBy("level", "TemplateId", "EventTemplate").agg(F.count("*").alias("n"))
+
+
+@query()
+def strategy_comparison(spark, sf_dir):
+    from stratalog.config import PipelineConfig
+    from stratalog.plans.pipeline import compare_strategies
+
+    def config(**k):
+        return PipelineConfig(None, _strict(), windowing=WindowingConfig(**k))
+
+    return compare_strategies(events(spark, sf_dir), {
+        "fixed": config(window_size="6h"), "sliding": config(strategy="sliding", window_size="6h", step_size="3h"),
+        "session": config(strategy="session", session_timeout="10m"), "adaptive": config(strategy="adaptive", min_window_size="1h", max_window_size="9h"),
+    })
