@@ -113,25 +113,29 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Each page with its payload digest and, for a revisit, refers_to and no payload.
+    """The pages, and before each that becomes a revisit a marker row: its page_id and digest,
+    with refers_to.
 
-    Digests meet in a maximum that is combined before the shuffle; the join back is an
-    ordinary one whose large side Spark splits where a payload is very common.
+    Digests meet in a maximum that is combined before the shuffle, and markers are small
+    rows, so the payloads are shuffled once, by the range sort that brings both together.
     """
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     keyed = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("payload")
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     last = keyed.groupBy("digest").agg(F.max("page_id").alias("last_id"))
-    again = (F.col("size") >= min_revisit_bytes) & (F.col("page_id") < F.col("last_id"))
-    return keyed.join(last, "digest").select(
-        "page_id",
-        "url",
-        "digest",
-        "size",
-        F.when(~F.coalesce(again, F.lit(False)), F.col("payload")).alias("payload"),
-        F.when(again, F.col("last_id")).alias("refers_to"),
-    )
+    markers = (
+        keyed.where(F.col("size") >= min_revisit_bytes)
+        .select("page_id", "digest", "size")
+        .join(last, "digest")
+        .where("page_id < last_id")
+        .select(
+            "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
+            "digest", "size", F.col("last_id").alias("refers_to"),
+        )
+        .distinct()
+    )
+    return markers.unionByName(keyed.withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = 0) -> DataFrame:
@@ -145,15 +149,22 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, m
     spark = pages.sparkSession
     fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)
-    ranged = plan_records(pages, min_revisit_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", "url")
+    ranged = plan_records(pages, min_revisit_bytes).repartitionByRange("page_id")
+    ranged = ranged.sortWithinPartitions("page_id", F.col("refers_to").isNull(), "url")
 
     def write(batches):
         from pyspark import TaskContext
 
-        roller, done = _Roller(folder, TaskContext.get().partitionId()), []
+        roller, done, marked, at = _Roller(folder, TaskContext.get().partitionId()), [], {}, None
         for batch in batches:
-            for page_id, url, digest, size, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                roller.add(page_id, record(page_id, url, payload, digest, size, refers_to))
+            for page_id, url, payload, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                if page_id != at:
+                    marked, at = {}, page_id
+                if refers_to is not None:
+                    marked[digest] = refers_to
+                    continue
+                again = marked.get(digest)
+                roller.add(page_id, record(page_id, url, payload if again is None else None, digest, size, again))
                 if roller.size >= roll_bytes:
                     done.append(roller.close())
         done.append(roller.close())
