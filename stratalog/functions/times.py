@@ -46,7 +46,7 @@ def parse_time(text: Column, fmt: str | None) -> Column:
         return text.try_cast("timestamp_ntz")
     if fmt.upper() == "UNIX":
         micros = (text.try_cast("double") * 1_000_000).cast("long")
-        return F.timestampadd("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+        return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
     pattern, groups = _layout(fmt)
     part = lambda k: F.regexp_extract(text, pattern, groups[k])
     number = lambda k, default: part(k).try_cast("int") if k in groups else F.lit(default)

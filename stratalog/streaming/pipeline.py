@@ -34,29 +34,39 @@ def masked_stream(rows: DataFrame, config: ParsingConfig) -> DataFrame:
     return rows.where("Content IS NOT NULL").withColumn("EventTemplate", masked(F.col("Content"), config))
 
 
+def _watermarked(rows: DataFrame, lateness: str) -> DataFrame:
+    """rows with a watermark, which Spark keeps on zoned times: the session's zone is taken, and
+    results are turned back."""
+    return rows.withColumn("Timestamp", F.col("Timestamp").cast("timestamp")).withWatermark("Timestamp", lateness)
+
+
+def _plain(name: str):
+    return F.col(name).cast("timestamp_ntz")
+
+
 def window_counts(rows: DataFrame, size: str, lateness: str = "10 minutes", keys: Sequence[str] = ("EventTemplate",)) -> DataFrame:
     """(Window, *keys, cnt) of a stream, each window once, when the watermark passes its end.
     Rows later than that are dropped (and counted by the query's progress)."""
     seconds = positive_duration(size, "window_size")
     at = F.window("Timestamp", f"{seconds} seconds")
-    found = rows.withWatermark("Timestamp", lateness).groupBy(at.alias("_w"), *keys).agg(F.count("*").alias("cnt"))
-    return found.select(F.col("_w.start").alias("Window"), *keys, "cnt")
+    found = _watermarked(rows, lateness).groupBy(at.alias("_w"), *keys).agg(F.count("*").alias("cnt"))
+    return found.select(_plain("_w.start").alias("Window"), *keys, "cnt")
 
 
 def sliding_counts(rows: DataFrame, size: str, step: str, lateness: str = "10 minutes") -> DataFrame:
     """As window_counts for overlapping windows, which a stream aligns with the epoch."""
     at = F.window("Timestamp", f"{positive_duration(size, 'window_size')} seconds", f"{positive_duration(step, 'step_size')} seconds")
-    found = rows.withWatermark("Timestamp", lateness).groupBy(at.alias("_w"), "EventTemplate").agg(F.count("*").alias("cnt"))
-    return found.select(F.col("_w.start").alias("Window"), "EventTemplate", "cnt")
+    found = _watermarked(rows, lateness).groupBy(at.alias("_w"), "EventTemplate").agg(F.count("*").alias("cnt"))
+    return found.select(_plain("_w.start").alias("Window"), "EventTemplate", "cnt")
 
 
 def session_counts(rows: DataFrame, timeout: str, key: str, lateness: str = "10 minutes") -> DataFrame:
     """(key, WindowStart, WindowEnd, LogCount) of sessions by key; one ends after timeout."""
     at = F.session_window("Timestamp", f"{positive_duration(timeout, 'session_timeout')} seconds")
-    found = rows.withWatermark("Timestamp", lateness).groupBy(key, at.alias("_w")).agg(
+    found = _watermarked(rows, lateness).groupBy(key, at.alias("_w")).agg(
         F.min("Timestamp").alias("WindowStart"), F.max("Timestamp").alias("WindowEnd"), F.count("*").alias("LogCount")
     )
-    return found.select(key, "WindowStart", "WindowEnd", "LogCount")
+    return found.select(key, _plain("WindowStart").alias("WindowStart"), _plain("WindowEnd").alias("WindowEnd"), "LogCount")
 
 
 def flush_counts(rows: DataFrame, emitted: DataFrame, size: str) -> DataFrame:
