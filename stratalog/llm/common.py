@@ -16,10 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is missing (local tests) is a temporary folder made.
     """
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="stratalog-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -36,6 +35,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores put before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_text(
     docs: DataFrame, columns: list[str], schema: str, per_batch: Callable[[list], Iterator[pa.RecordBatch] | list]
 ) -> DataFrame:

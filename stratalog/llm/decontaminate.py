@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import free_name
+
 #: Words of a window, share of hit words that contaminates, words of a shard's index, suffix
 #: sampling step, and benchmark bytes that one broadcast block may hold.
 WINDOW, SHARE, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 13, 20, 2_000_000, 8, 32_000_000
@@ -245,15 +247,16 @@ def _shards(batches, text_at: int):
             yield batch.slice(start)
 
 
-_HITS = "_n_words long, _hit binary, _items array<string>"
-
-
 def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _n_words, _hit (a bit per word) and _items, by one narrow pass for each block
-    of the benchmark."""
+    """docs with three more columns, by one narrow pass for each block of the benchmark: the
+    number of words, the hit ones (a bit per word, null for none), and the items."""
     spark = docs.sparkSession
     out = docs.withColumns(
-        {"_n_words": F.lit(0).cast("long"), "_hit": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>")}
+        {
+            free_name(docs, "n_words"): F.lit(0).cast("long"),
+            free_name(docs, "hit"): F.lit(None).cast("binary"),
+            free_name(docs, "items"): F.array().cast("array<string>"),
+        }
     )
     names = out.columns
     text_at = names.index("text")
@@ -307,7 +310,7 @@ def find_contamination(
             )
 
     marked = mark_hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_bytes)
-    counted = marked.select("doc_id", "_n_words", "_hit", "_items").mapInArrow(
+    counted = marked.drop("text").mapInArrow(
         count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
     )
     return _judged(counted, F.col("n_hit"))

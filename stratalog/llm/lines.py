@@ -4,31 +4,43 @@ component kept.
 Lines are compared in lower case with single spaces. A one-permutation MinHash signature,
 its empty bins filled from others, is cut into bands; lines that share a band are
 candidates, candidates are verified by the exact Jaccard similarity of their shingle sets,
-and verified links are joined into components.
+and verified links are joined into components. Band keys travel as packed arrays, a row for
+each batch and bucket of keys, so that their exchange costs bytes and not rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, stored
+from stratalog.llm.common import by_text, components, free_name, stored
 
 #: Characters of a shingle, bands, values of a band, least similarity, and characters (after
 #: normalisation) that a line must have to be compared.
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY, LEAST_CHARS = 8, 12, 4, 0.8, 16
-#: Members up to which a bucket gives all its pairs, and ids up to which they are broadcast.
-SMALL_BUCKET, BROADCAST_IDS = 16, 1_000_000
+#: Lines of a block of a large group, lines of a group that is compared set by set, shingle
+#: sets that a task keeps, cells of the matrix of a larger group, and line ids up to which
+#: they are broadcast.
+BLOCK, FEW, KEPT_SETS, MATRIX_CELLS, BROADCAST_IDS = 2000, 12, 3000, 8_000_000, 1_000_000
 
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+_BLANKS = re.compile(r"[ \t\r\x0b\x0c]+")
+
+
 def normal_lines(text: str) -> list[str]:
-    return [" ".join(line.split()) for line in text.lower().split("\n")]
+    """The lines of a text in lower case, runs of ASCII blanks being one space."""
+    lines = text.lower().split("\n")
+    if any(c in text for c in ("  ", "\t", "\r", "\x0b", "\x0c")):
+        lines = [_BLANKS.sub(" ", line) for line in lines]
+    return [line.strip(" ") for line in lines]
 
 
 def line_hash(line: str) -> int:
@@ -71,11 +83,13 @@ def band_keys(lines: list[str]) -> np.ndarray:
     np.minimum.at(signature, line * _BINS + bin_, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
     signature = signature.reshape(-1, _BINS)
     filled = signature.copy()
+    row, col = np.nonzero(signature == _EMPTY)
     for k in range(_BINS):
-        row, col = np.nonzero(filled == _EMPTY)
         if not len(row):
             break
-        filled[row, col] = signature[row, _ORDER[col, k]]
+        found = signature[row, _ORDER[col, k]]
+        filled[row, col] = found
+        row, col = row[found == _EMPTY], col[found == _EMPTY]
     keys = np.full((len(lines), BANDS), np.uint64(0), np.uint64)
     with np.errstate(over="ignore"):
         keys += np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -89,22 +103,26 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
-def jaccard(a: str, b: str) -> float:
-    """Similarity of the shingle sets of two lines of at least SHINGLE characters."""
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def _packed(part: np.ndarray, *columns: np.ndarray):
+    """(part, packed columns) for each value of part."""
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
+        yield int(part[order[a]]), *(c[order[a:z]].tobytes() for c in columns)
 
 
-def extract_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, bands): every line that is compared, by its hash. bands come
-    with the first of equal lines in a batch only."""
-    schema = "doc_id long, line_no int, line long, bands array<long>"
+def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows (doc_id, line_no, line) of every line that is compared, by its hash, and rows
+    (bucket, keys, members): the band keys that fall in a bucket of a batch's lines, and the
+    lines they belong to, packed."""
+    schema = "doc_id long, line_no int, line long, bucket int, keys binary, members binary"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(columns):
         ids, texts = columns
-        for a in range(0, len(ids), 500):  # so that the shingles of few documents are held at once
-            yield from block(ids[a : a + 500], texts[a : a + 500])
+        for a in range(0, len(ids), 1000):
+            yield from block(ids[a : a + 1000], texts[a : a + 1000])
 
     def block(ids, texts):
         rows, new = [], {}
@@ -112,26 +130,30 @@ def extract_lines(docs: DataFrame) -> DataFrame:
             for no, line in enumerate(normal_lines(text or "")):
                 if len(line) >= LEAST_CHARS:
                     h = line_hash(line)
-                    rows.append((doc_id, no, h, h not in new))
+                    rows.append((doc_id, no, h))
                     new.setdefault(h, line)
         if not rows:
             return
         keys, fresh, at = [], list(new.values()), 0
-        while at < len(fresh):  # about two million characters a step
+        while at < len(fresh):  # few enough characters a step for the cache
             to, size = at, 0
-            while to < len(fresh) and (size < 2_000_000 or to == at):
+            while to < len(fresh) and (size < 150_000 or to == at):
                 size += len(fresh[to])
                 to += 1
             keys.append(band_keys(fresh[at:to]))
             at = to
-        flat = np.concatenate(keys).view(np.int64)
-        doc_ids, numbers, hashes, first = zip(*rows)
-        offsets = np.concatenate([[0], np.cumsum(np.where(first, BANDS, 0))]).astype(np.int32)
-        # lines come first in the order in which new holds them
-        bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+        flat = np.concatenate(keys).ravel()
+        member = np.repeat(np.fromiter(new, np.uint64, len(new)), BANDS)
+        doc_ids, numbers, hashes = zip(*rows)
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc_ids, kinds[0]), pa.array(numbers, kinds[1]), pa.array(np.array(hashes, np.uint64).view(np.int64)),
+             *(pa.nulls(n, k) for k in kinds[3:])], names=names,
+        )
+        packed = list(zip(*_packed((flat % np.uint64(buckets)).astype(np.int64), flat, member)))
+        n = len(packed[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), bands],
-            names=["doc_id", "line_no", "line", "bands"],
+            [*(pa.nulls(n, k) for k in kinds[:3]), *(pa.array(c, k) for c, k in zip(packed, kinds[3:]))], names=names
         )
 
     return by_text(
@@ -139,56 +161,73 @@ def extract_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b, bucket): a bucket of few lines gives all its pairs, with bucket null; a larger
-    one the pairs of its least line with each other one. Nothing grows with the square of a
-    bucket."""
-
-    def pairs(batches):
-        rest_key, rest = None, []
-
-        def of(members: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            members = np.unique(members)
-            if len(members) <= SMALL_BUCKET:
-                i, j = np.triu_indices(len(members), 1)
-                return members[i], members[j], np.full(len(i), 0), np.full(len(i), False)
-            n = len(members) - 1
-            return np.full(n, members[0]), members[1:], np.full(n, key), np.full(n, True)
-
-        def batch_of(found):
-            if not found:
-                return []
-            a, b, bucket, large = (np.concatenate(x) for x in zip(*found))
-            return [
-                pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(bucket, pa.int64(), mask=~large)], names=["a", "b", "bucket"]
-                )
-            ]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        return x ^ (x >> np.uint64(27))
+
+
+def group_members(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home, unit, line): the lines of each key that two or more lines share.
+
+    A unit is named by its lines, so keys with the same lines are one unit; home is the
+    place where it is compared: its least line for small units, so that a line's shingle
+    set is made once for several, else the unit itself. A key with more than BLOCK lines
+    becomes a unit for every two of its blocks: no unit grows with its key, and every two
+    lines meet in one.
+    """
+    order = np.lexsort((members, keys))
+    keys, members = keys[order], members[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
+    keys, members = keys[new], members[new]
+    start = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(keys)))
+    found = []
+    fits = (size > 1) & (size <= BLOCK)
+    if fits.any():
+        n, first = size[fits], start[fits]
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        line = members[at]
+        unit = _mixed(np.add.reduceat(_mixed(line), np.cumsum(n) - n) + n.astype(np.uint64))
+        home = np.where(n <= FEW, members[first], unit)
+        found.append((np.repeat(home, n), np.repeat(unit, n), line))
+    for a, n in zip(start[size > BLOCK].tolist(), size[size > BLOCK].tolist()):
+        blocks = [members[a + k : min(a + k + BLOCK, a + n)] for k in range(0, n, BLOCK)]
+        for i, x in enumerate(blocks):
+            for y in blocks[i + 1 :] or [members[:0]]:
+                line = np.concatenate([x, y])
+                unit = np.full(len(line), _mixed(np.add.reduce(_mixed(line), keepdims=True) + np.uint64(len(line)))[0])
+                found.append((unit, unit, line))
+    if not found:
+        return members[:0], members[:0], members[:0]
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def candidate_units(lines: DataFrame) -> DataFrame:
+    """(home, unit, line): the groups of lines that share a band, each once."""
+
+    def run(batches):
+        at, held = None, []
+
+        def flush():
+            keys, members = (np.frombuffer(b"".join(c), np.uint64) for c in zip(*held))
+            home, unit, line = group_members(keys, members)
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (home, unit, line)], names=["home", "unit", "line"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, line = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            found = []
-            if key[0] != rest_key and rest:
-                found.append(of(np.concatenate(rest), rest_key))
-                rest = []
-            inner = np.flatnonzero(np.diff(edge)[:-1] > 1).tolist()
-            if len(edge) > 2:
-                if rest:
-                    found.append(of(np.concatenate([*rest, line[: edge[1]]]), rest_key))
-                    inner = [k for k in inner if k]
-                found += [of(line[edge[k] : edge[k + 1]], key[edge[k]]) for k in inner]
-                rest = []
-            rest.append(line[edge[-2] :])
-            rest_key = key[-1]
-            yield from batch_of(found)
-        if rest:
-            yield from batch_of([of(np.concatenate(rest), rest_key)])
-
-    rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "line")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long, bucket long")
+            for bucket, keys, members in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at and held:
+                    yield flush()
+                    held = []
+                at = bucket
+                held.append((keys, members))
+        if held:
+            yield flush()
+
+    packed = lines.where("bucket IS NOT NULL").select("bucket", "keys", "members")
+    units = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "home long, unit long, line long")
+    return units.distinct()
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,43 +254,94 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return by_text(found, ["text", "wanted"], "line long, text string", run).dropDuplicates(["line"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose lines are similar enough."""
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b"
-    )
-
-    def run(columns):
-        a, b, x, y = columns
-        keep = [i for i in range(len(a)) if similar(x[i], y[i])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"]
-        )
-
-    return by_text(both, ["a", "b", "x", "y"], "a long, b long", run)
-
-
-def similar(a: str, b: str) -> bool:
-    return jaccard(a, b) >= SIMILARITY
+def similar(a: set[str], b: set[str]) -> bool:
+    """Whether two shingle sets have at least SIMILARITY of their union in common."""
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def _reach(n: int, near) -> list[tuple[int, int]]:
+    """Links that connect what near(one, others) connects among n members: from each member
+    reached, only those not yet reached are looked at."""
+    left, links = np.arange(n), []
+    while len(left) > 1:
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            one = todo.pop()
+            hit = near(one, left)
+            reached, left = left[hit].tolist(), left[~hit]
+            links += [(one, k) for k in reached]
+            todo += reached
+    return links
+
+
+def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tuple[int, int]]:
+    """Links among the lines of a unit. Few lines are compared by their sets; for many,
+    intersections are counted by a matrix of the shingles that two or more of them have."""
+    n = len(texts)
+    if n <= FEW:
+        sets = sets or [shingles(t) for t in texts]
+        return _reach(n, lambda one, left: np.array([similar(sets[one], sets[k]) for k in left.tolist()], bool))
+    number: dict[str, int] = {}
+    own = [np.unique([number.setdefault(s, len(number)) for s in shingles(t)]) for t in texts]
+    size = np.array([len(o) for o in own], np.float32)
+    shared = np.bincount(np.concatenate(own), minlength=len(number)) > 1
+    column = np.cumsum(shared) - 1
+    width = int(shared.sum())
+    if n * width > MATRIX_CELLS:
+        sets = [set(o.tolist()) for o in own]
+        return _reach(n, lambda one, left: np.array([similar(sets[one], sets[k]) for k in left.tolist()], bool))
+    has = np.zeros((n, width), np.float32)
+    for row, o in zip(has, own):
+        row[column[o[shared[o]]]] = 1
+
+    def near(one, left):
+        both = has[left] @ has[one]
+        # sums of small whole numbers are exact
+        return both >= np.float64(SIMILARITY) * (size[left] + size[one] - both).astype(np.float64)
+
+    return _reach(n, near)
 
 
 def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v): similar lines, so linked that components are those of all verified candidates.
+    """(u, v): links that connect all lines that share a band and are similar.
 
-    In a large bucket every line is compared with the least one. Lines that match it are in
-    one component, so only those that do not are compared with the rest.
+    Only lines in a unit have their texts looked up. A unit is compared by one task; it
+    gives fewer links than it has lines.
     """
-    pairs = stored(candidate_pairs(lines), "pairs")
-    some = pairs.select("a", "b").distinct()
-    ids = some.select(F.col("a").alias("line")).unionByName(some.select(F.col("b").alias("line"))).distinct()
+    units = stored(candidate_units(lines), "units")
+    ids = units.select("line").distinct()
     texts = stored(texts_of(docs, ids.join(classes, "line").select("line", "first.doc_id", "first.line_no")), "texts")
-    links = stored(verified(some, texts), "links")
-    large = pairs.where("bucket IS NOT NULL")
-    apart = large.join(links, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("u"))
-    rest = apart.join(large.select("bucket", F.col("b").alias("v")), "bucket").where("u <> v")
-    rest = rest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    links = links.unionByName(verified(rest.join(some, ["a", "b"], "left_anti"), texts))
-    return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def run(batches):
+        at, ids, held, kept = None, [], [], {}
+
+        def flush():
+            sets = None
+            if len(ids) <= FEW:
+                if len(kept) > KEPT_SETS:
+                    kept.clear()
+                sets = [kept[i] if i in kept else kept.setdefault(i, shingles(t)) for i, t in zip(ids, held)]
+            return [(ids[a], ids[b]) for a, b in unit_links(held, sets)]
+
+        for batch in batches:
+            found = []
+            for unit, line, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if unit != at:
+                    if len(ids) > 1:
+                        found += flush()
+                    at, ids, held = unit, [], []
+                ids.append(line)
+                held.append(text)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+        if len(ids) > 1 and (found := flush()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+
+    placed = units.join(texts, "line").select("home", "unit", "line", "text").repartition("home")
+    return placed.sortWithinPartitions("home", "unit", "line").mapInArrow(run, "u long, v long").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -261,10 +351,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     doc_id are left out of the comparison; of rows with equal ids, equal lines with equal
     numbers are one line.
     """
-    lines = stored(extract_lines(docs), "lines")
+    # a few buckets for each shuffle partition, so that a task holds a bucket at a time
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = stored(extract_lines(docs, buckets), "lines")
+    lines = both.where("line IS NOT NULL").select("doc_id", "line_no", "line")
     place = F.struct("doc_id", "line_no")
     classes = stored(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
-    found = components(line_links(docs, lines, classes)).withColumnRenamed("node", "line")
+    found = components(line_links(docs, both, classes)).withColumnRenamed("node", "line")
     rooted = classes.join(found, "line", "left").withColumn("root", F.coalesce("root", "line"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     repeated = rooted.select("line", "root").join(kept.select("root", "keep"), "root").select("line", "keep")
@@ -300,7 +393,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
-    joined = docs.join(removed_lines(docs), "doc_id", "left").select(*names, "removed")
+    gone = free_name(docs, "removed")
+    joined = docs.join(removed_lines(docs).withColumnRenamed("removed", gone), "doc_id", "left").select(*names, gone)
 
     def run(batches):
         for batch in batches:

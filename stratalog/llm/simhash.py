@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, stored
+from stratalog.llm.common import by_text, components, free_name, stored
 
 #: Words of a shingle, hash seed, and differing bits up to which fingerprints link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -205,5 +205,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = stored(fingerprints(docs), "prints")
     ids = component_labels(prints).select(F.col("component_id").alias("doc_id")).dropna().distinct()
     named = docs.join(ids, "doc_id", "left_semi")
-    once = named.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return once.where("_nth = 1").drop("_nth").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    nth = free_name(docs, "nth")
+    once = named.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    return once.where(F.col(nth) == 1).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
