@@ -6,6 +6,8 @@ made up from it where a query parses text.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -505,3 +507,19 @@ def strategy_comparison(spark, sf_dir):
         "fixed": config(window_size="6h"), "sliding": config(strategy="sliding", window_size="6h", step_size="3h"),
         "session": config(strategy="session", session_timeout="10m"), "adaptive": config(strategy="adaptive", min_window_size="1h", max_window_size="9h"),
     })
+
+
+@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS "Window", event_type AS "EventTemplate", count(*) AS cnt FROM events GROUP BY ALL""")
+def stream_fixed_counts(spark, sf_dir):
+    """The events as a stream of one bounded run: what the watermark released, and the flush."""
+    from stratalog.streaming.pipeline import flush_counts, start, window_counts
+
+    rows = events(spark, sf_dir)
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stream.select(F.col("ts").alias("Timestamp"), F.col("event_type").alias("EventTemplate"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stratalog-')}"
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    start(window_counts(stream, "6h"), folder, f"{folder}/checkpoint").awaitTermination()
+    emitted = spark.read.schema("Window timestamp_ntz, EventTemplate string, cnt long").parquet(f"{folder}/event_matrix.parquet")
+    return emitted.unionByName(flush_counts(rows, emitted, "6h"))
