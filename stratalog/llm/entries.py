@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from stratalog.llm import oracles
 from stratalog.llm.decontaminate import find_contamination
 from stratalog.llm.lines import dedup_report
 from stratalog.llm.media import store_texts
@@ -74,4 +75,6 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op9_warc": oracles.WARC}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
