@@ -9,6 +9,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Rows that a task turns into python objects at once, and bytes of a batch that goes to it.
+SLICE_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +40,21 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches bounded by bytes (texts can be long, and what a batch holds
+    is in memory several times over) and buffers given back when a task ends: its Python
+    worker lives on."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(task, schema)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores put before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
@@ -44,16 +64,23 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def by_text(
-    docs: DataFrame, columns: list[str], schema: str, per_batch: Callable[[list], Iterator[pa.RecordBatch] | list]
+    docs: DataFrame,
+    columns: list[str],
+    schema: str,
+    per_batch: Callable[[list], Iterator[pa.RecordBatch]],
+    done: Callable[[], None] = lambda: None,
 ) -> DataFrame:
-    """Apply per_batch(rows of python lists, one list per column) to each Arrow batch."""
+    """Apply per_batch(one python list per column) to slices of the Arrow batches: of a batch
+    that may hold many texts, few are python objects at a time. done: called as a task ends."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from per_batch([batch.column(i).to_pylist() for i in range(len(columns))])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                yield from per_batch([part.column(i).to_pylist() for i in range(len(columns))])
+        done()
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return map_batches(docs.select(*columns), run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import free_name
+from stratalog.llm.common import free_name, map_batches
 
 #: Words of a window, share of hit words that contaminates, words of a shard's index, suffix
 #: sampling step, and benchmark bytes that one broadcast block may hold.
 WINDOW, SHARE, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 13, 20, 2_000_000, 8, 32_000_000
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word before A-Z become lower case.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of words stay, A-Z become lower case, all else separates; bytes of non-ASCII
 #: characters are bytes of words.
 _FOLD = bytes(
@@ -278,7 +279,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                     names=names,
                 )
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_batches(out, run, out.schema)
     return out
 
 
@@ -310,8 +311,8 @@ def find_contamination(
             )
 
     marked = mark_hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_bytes)
-    counted = marked.drop("text").mapInArrow(
-        count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+    counted = map_batches(
+        marked.drop("text"), count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
     )
     return _judged(counted, F.col("n_hit"))
 
@@ -342,5 +343,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns[:-3], names=names).filter(pa.array(keep))
 
-    out = mark_hits(docs, benchmark, window).mapInArrow(cut, docs.schema)
+    out = map_batches(mark_hits(docs, benchmark, window), cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, free_name, stored
+from stratalog.llm.common import by_text, components, free_name, map_batches, stored
 
 #: Characters of a shingle, bands, values of a band, least similarity, and characters (after
 #: normalisation) that a line must have to be compared.
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY, LEAST_CHARS = 8, 12, 4, 0.8, 16
-#: Lines of a block of a large group, lines of a group that is compared set by set, shingle
-#: sets that a task keeps, cells of the matrix of a larger group, and line ids up to which
-#: they are broadcast.
-BLOCK, FEW, KEPT_SETS, MATRIX_CELLS, BROADCAST_IDS = 2000, 12, 3000, 8_000_000, 1_000_000
+#: Lines of a block of a large group, lines of a group that is compared set by set, shingles
+#: in the sets that a task keeps, cells of the matrix of a larger group, and line ids up to
+#: which they are broadcast.
+BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_IDS = 2000, 12, 300_000, 8_000_000, 1_000_000
 
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -121,10 +121,6 @@ def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(columns):
         ids, texts = columns
-        for a in range(0, len(ids), 1000):
-            yield from block(ids[a : a + 1000], texts[a : a + 1000])
-
-    def block(ids, texts):
         rows, new = [], {}
         for doc_id, text in zip(ids, texts):
             for no, line in enumerate(normal_lines(text or "")):
@@ -226,7 +222,8 @@ def candidate_units(lines: DataFrame) -> DataFrame:
             yield flush()
 
     packed = lines.where("bucket IS NOT NULL").select("bucket", "keys", "members")
-    units = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "home long, unit long, line long")
+    placed = packed.repartition("bucket").sortWithinPartitions("bucket")
+    units = map_batches(placed, run, "home long, unit long, line long")
     return units.distinct()
 
 
@@ -279,13 +276,15 @@ def _reach(n: int, near) -> list[tuple[int, int]]:
 
 def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tuple[int, int]]:
     """Links among the lines of a unit. Few lines are compared by their sets; for many,
-    intersections are counted by a matrix of the shingles that two or more of them have."""
+    intersections are counted by a matrix of the shingles, known by 64-bit hashes, that two
+    or more of them have."""
     n = len(texts)
     if n <= FEW:
         sets = sets or [shingles(t) for t in texts]
         return _reach(n, lambda one, left: np.array([similar(sets[one], sets[k]) for k in left.tolist()], bool))
-    number: dict[str, int] = {}
-    own = [np.unique([number.setdefault(s, len(number)) for s in shingles(t)]) for t in texts]
+    hashes = [np.unique(shingle_hashes(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32))) for t in texts]
+    number, flat = np.unique(np.concatenate(hashes), return_inverse=True)
+    own = np.split(flat, np.cumsum([len(h) for h in hashes])[:-1])
     size = np.array([len(o) for o in own], np.float32)
     shared = np.bincount(np.concatenate(own), minlength=len(number)) > 1
     column = np.cumsum(shared) - 1
@@ -316,14 +315,20 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
     texts = stored(texts_of(docs, ids.join(classes, "line").select("line", "first.doc_id", "first.line_no")), "texts")
 
     def run(batches):
-        at, ids, held, kept = None, [], [], {}
+        at, ids, held, kept, size = None, [], [], {}, 0
 
         def flush():
+            nonlocal size
             sets = None
             if len(ids) <= FEW:
-                if len(kept) > KEPT_SETS:
+                if size > KEPT_SHINGLES:
                     kept.clear()
-                sets = [kept[i] if i in kept else kept.setdefault(i, shingles(t)) for i, t in zip(ids, held)]
+                    size = 0
+                for i, t in zip(ids, held):
+                    if i not in kept:
+                        kept[i] = shingles(t)
+                        size += len(kept[i])
+                sets = [kept[i] for i in ids]
             return [(ids[a], ids[b]) for a, b in unit_links(held, sets)]
 
         for batch in batches:
@@ -341,7 +346,7 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
 
     placed = units.join(texts, "line").select("home", "unit", "line", "text").repartition("home")
-    return placed.sortWithinPartitions("home", "unit", "line").mapInArrow(run, "u long, v long").distinct()
+    return map_batches(placed.sortWithinPartitions("home", "unit", "line"), run, "u long, v long").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -408,5 +413,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    out = joined.mapInArrow(run, schema)
+    out = map_batches(joined, run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import map_batches
 from stratalog.llm.tokens import chunk_tokenizer, vocabulary_path
 
 #: Tokens of a sequence, id that ends a document, tokens of a shard, terms of a query,
@@ -174,6 +175,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHA
         if held:
             packer.shard(ids, held)
         packer.finish()
+        tokenizer.forget()
         yield rows()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _PIECES)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text
+from stratalog.llm.common import by_text, map_batches
 
 #: Hashed word terms and shape terms, weight of the word part, latent dimensions, labelled
 #: rows of each class that are fitted at most, and neighbours that vote.
@@ -176,4 +176,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 terms = np.stack([term_vector(t) for t in part.column(text_at).to_pylist()])
                 yield part.filter(pa.array(model.value.scores(terms) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

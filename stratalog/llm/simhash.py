@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, free_name, stored
+from stratalog.llm.common import by_text, components, free_name, map_batches, stored
 
 #: Words of a shingle, hash seed, and differing bits up to which fingerprints link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -170,8 +170,8 @@ def links(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
         yield flush()
 
-    keyed = fps.select("fp").mapInArrow(expand, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(connect, "u long, v long")
+    keyed = map_batches(fps.select("fp"), expand, "key long, fp long")
+    return map_batches(keyed.repartition("key").sortWithinPartitions("key"), connect, "u long, v long")
 
 
 def component_labels(prints: DataFrame) -> DataFrame:

@@ -58,7 +58,10 @@ def fill_cache(docs: DataFrame, cache_path: str, vocabulary: str, version: str)
             }
         )
 
-    by_text(misses, ["digest", "content"], CACHE_SCHEMA, encode).write.mode("append").parquet(cache_path)
+    def done():
+        chunk_tokenizer(vocabulary).forget()
+
+    by_text(misses, ["digest", "content"], CACHE_SCHEMA, encode, done).write.mode("append").parquet(cache_path)
 
 
 def count_tokens(

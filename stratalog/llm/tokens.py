@@ -10,7 +10,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker's cache holds before it is emptied, and bytes of a chunk worth keeping.
-CACHE_CHUNKS, CACHE_BYTES = 600_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -121,6 +121,10 @@ class ChunkTokenizer:
             parts = map(known.__getitem__, chunks)
         return b"".join(parts)
 
+    def forget(self) -> None:
+        """Empty the cache: a worker that lives on has other work to do."""
+        self.ids.clear()
+
     def count(self, text: str) -> int:
         return len(self.encode(text)) // 4
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import fresh_dir
+from stratalog.llm.common import fresh_dir, map_batches
 
 #: Compressed bytes at which a file is closed, and the date that records carry.
 ROLL_BYTES, WARC_DATE = 16_000_000, "2024-01-01T00:00:00Z"
@@ -170,7 +170,7 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, m
         done.append(roller.close())
         yield _batch([r for r in done if r], _MANIFEST)
 
-    ranged.mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
+    map_batches(ranged, write, _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -227,7 +227,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                             rows = []
                 yield _batch(rows, _READ)
 
-    return manifest.select("file").repartition("file").mapInArrow(read, _READ)
+    return map_batches(manifest.select("file").repartition("file"), read, _READ)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
