@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from stratalog.llm.common import by_text, fresh_dir
+from stratalog.llm.common import by_text, fresh_dir, stored
 from stratalog.llm.tokens import chunk_tokenizer, version_digest, vocabulary_path
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
@@ -80,10 +80,11 @@ def count_tokens(
     version = version_digest(vocabulary)
     keyed = with_digest(docs.select("doc_id", "text"))
     fill_cache(keyed, cache_path, vocabulary, version)
-    counts = read_cache(spark, cache_path, version)
     n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes")
+    keys = stored(keyed.select("doc_id", n_bytes, "digest"), "token-keys")
+    # both are written out, so that their join meets plain shuffles, whose hot partitions Spark splits
+    counts = read_cache(spark, cache_path, version).join(keys.select("digest").distinct(), "digest", "left_semi")
     return (
-        keyed.select("doc_id", n_bytes, "digest")
-        .join(counts, "digest", "left")
+        keys.join(stored(counts, "token-counts"), "digest", "left")
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
