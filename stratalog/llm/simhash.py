@@ -192,7 +192,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id. An empty table gives none; other columns are not read.
     """
     prints = stored(fingerprints(docs), "prints")
-    return prints.join(component_labels(prints), "fp").select(
+    # written out, so that the join meets plain shuffles, whose hot partitions Spark splits
+    labels = stored(component_labels(prints), "labels")
+    return prints.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
