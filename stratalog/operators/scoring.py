@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -153,25 +154,23 @@ def fit_pca(vectors: DataFrame, p: int, config: AnomalyConfig) -> PcaModel | Non
     return PcaModel(mean, deviation, axes, residual_limit(values, kept, config.alpha))
 
 
-def score_windows(counts: DataFrame, config: AnomalyConfig) -> DataFrame:
-    """(Window, AnomalyScore, IsAnomaly) of the windows in counts(Window, EventTemplate, cnt).
-
-    Two passes over the long form: sums and products, then scores. Without features or with
-    one window the score is 0 and nothing is flagged; an empty table stays empty.
-    """
+def _dictionary(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(feature, feature_id) and their number, which is checked before anything is gathered."""
     dictionary = feature_dictionary(counts).withColumnRenamed("EventTemplate", "feature")
     p = dictionary.limit(MOST_FEATURES + 1).count()
     if p > MOST_FEATURES:
         raise ValueError(f"more than {MOST_FEATURES} templates: lower max_clusters or mask more")
-    features = counts.select("Window", F.col("EventTemplate").alias("feature"), F.col("cnt").cast("double").alias("value"))
-    vectors = _vectors(tfidf(features) if config.use_tfidf else features, dictionary)
-    model = vectors.sparkSession.sparkContext.broadcast(fit_pca(vectors, p, config))
-    kind = dict(counts.dtypes)["Window"]
+    return dictionary, p
+
+
+def _scored(vectors: DataFrame, model: PcaModel | None, p: int, kind: str) -> DataFrame:
+    """Scores of sparse vectors by a broadcast model; 0 and unflagged without one."""
+    shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                part, m = batch.slice(at, 1024), model.value
+                part, m = batch.slice(at, 1024), shared.value
                 if m is None:
                     s = np.zeros(part.num_rows)
                     flag = np.zeros(part.num_rows, bool)
@@ -185,6 +184,57 @@ def score_windows(counts: DataFrame, config: AnomalyConfig) -> DataFrame:
     return vectors.mapInArrow(score, f"Window {kind}, AnomalyScore double, IsAnomaly boolean")
 
 
+def score_windows(counts: DataFrame, config: AnomalyConfig) -> DataFrame:
+    """(Window, AnomalyScore, IsAnomaly) of the windows in counts(Window, EventTemplate, cnt).
+
+    Two passes over the long form: sums and products, then scores. Without features or with
+    one window the score is 0 and nothing is flagged; an empty table stays empty.
+    """
+    dictionary, p = _dictionary(counts)
+    features = counts.select("Window", F.col("EventTemplate").alias("feature"), F.col("cnt").cast("double").alias("value"))
+    vectors = _vectors(tfidf(features) if config.use_tfidf else features, dictionary)
+    return _scored(vectors, fit_pca(vectors, p, config), p, dict(counts.dtypes)["Window"])
+
+
+@dataclass
+class FittedDetector:
+    """A model with the templates that it knows: fitted once, kept as JSON, applied to later
+    windows batch by batch. Templates that it does not know are left out of a window."""
+
+    templates: list[str]
+    model: PcaModel
+
+    def to_json(self) -> str:
+        m = self.model
+        return json.dumps(
+            {"templates": self.templates, "mean": m.mean.tolist(), "deviation": m.deviation.tolist(), "axes": m.axes.tolist(), "limit": m.limit}
+        )
+
+    @classmethod
+    def from_json(cls, text: str) -> FittedDetector:
+        d = json.loads(text)
+        p = len(d["templates"])
+        model = PcaModel(np.array(d["mean"]), np.array(d["deviation"]), np.array(d["axes"]).reshape(p, -1), d["limit"])
+        return cls(d["templates"], model)
+
+    def score(self, counts: DataFrame) -> DataFrame:
+        """(Window, AnomalyScore, IsAnomaly) of the windows in counts(Window, EventTemplate, cnt)."""
+        known = counts.sparkSession.createDataFrame(list(enumerate(self.templates)), "feature_id int, EventTemplate string")
+        placed = counts.join(F.broadcast(known), "EventTemplate", "left")
+        pairs = F.filter(F.collect_list(F.struct("feature_id", F.col("cnt").cast("double").alias("value"))), lambda x: x["feature_id"].isNotNull())
+        vectors = placed.groupBy("Window").agg(F.array_sort(pairs).alias("_v"))
+        vectors = vectors.select("Window", F.col("_v.feature_id").alias("ids"), F.col("_v.value").alias("values"))
+        return _scored(vectors, self.model, len(self.templates), dict(counts.dtypes)["Window"])
+
+
+def fit_detector(counts: DataFrame, config: AnomalyConfig) -> FittedDetector | None:
+    """Fit on all windows of counts; None where there are fewer than two."""
+    dictionary, p = _dictionary(counts)
+    features = counts.select("Window", F.col("EventTemplate").alias("feature"), F.col("cnt").cast("double").alias("value"))
+    model = fit_pca(_vectors(features, dictionary), p, config)
+    return FittedDetector([r.feature for r in dictionary.orderBy("feature_id").collect()], model) if model else None
+
+
 Detector = Callable[[DataFrame, AnomalyConfig], DataFrame]
 
 #: Detectors by the name that a config's algorithm gives; register() adds to them.

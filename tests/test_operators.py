@@ -151,3 +151,19 @@ def test_profile(spark):
     with m.timer("x"):
         m.add("n", 1)
     assert m.summary()["metrics"] == {"n": 1} and m.summary()["total_time"] >= 0
+
+
+def test_fitted_detector_scores_later_windows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.poisson(5, (40, 6))
+    data = [(i, f"e{j}", int(x[i, j])) for i in range(40) for j in range(6) if x[i, j]]
+    counts = spark.createDataFrame(data, "Window long, EventTemplate string, cnt long")
+    config = AnomalyConfig(variance_threshold=0.7)
+    fitted = scoring.FittedDetector.from_json(scoring.fit_detector(counts, config).to_json())
+    want = {r.Window: r.AnomalyScore for r in scoring.detect(counts, config).collect()}
+    got = {r.Window: r.AnomalyScore for r in fitted.score(counts).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    new = spark.createDataFrame([(99, "unknown", 3), (98, "e0", 400)], counts.schema)
+    flags = {r.Window: r.IsAnomaly for r in fitted.score(new).collect()}
+    assert flags[98] and set(flags) == {98, 99}
+    assert scoring.fit_detector(counts.where("Window = 0"), config) is None
