@@ -53,6 +53,20 @@ def term_vector(text: str | None) -> np.ndarray:
     return out
 
 
+def _sparse(vector: np.ndarray) -> bytes:
+    """The places and values of a term vector that are not 0."""
+    at = np.flatnonzero(vector).astype("<u2")
+    return at.tobytes() + vector[at].astype("<f4").tobytes()
+
+
+def _dense(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), WORDS + SHAPES), np.float32)
+    for vector, raw in zip(out, rows):
+        n = len(raw) // 6
+        vector[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return out
+
+
 @dataclass
 class Neighbours:
     """Term weights, latent axes, and the labelled vectors with their labels."""
@@ -90,7 +104,7 @@ def _weighted(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(terms: np.ndarray, labels: np.ndarray) -> Neighbours:
     """Latent semantic axes of the sample by a randomised range search with a fixed seed."""
     weight = (np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1).astype(np.float32)
-    x = _weighted(terms.copy(), weight)
+    x = _weighted(terms, weight)
     basis = np.random.default_rng(7).standard_normal((x.shape[1], min(DIMENSIONS + 16, *x.shape))).astype(np.float32)
     for _ in range(4):
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
@@ -121,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nei
     def run(columns):
         vectors = [term_vector(t) for t in columns[2]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())],
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array([_sparse(v) for v in vectors], pa.binary())],
             names=["doc_id", "quality", "terms"],
         )
 
@@ -129,8 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nei
     sample = sorted(vectors.groupBy("doc_id").agg(F.min(F.struct("quality", "terms")).alias("r")).collect())
     if not sample:
         return None
-    terms = np.stack([np.frombuffer(r.r.terms, np.float32) for r in sample])
-    return fit(terms, np.array([r.r.quality for r in sample]))
+    return fit(_dense([r.r.terms for r in sample]), np.array([r.r.quality for r in sample]))
 
 
 _SCORED = "doc_id long, score double"
