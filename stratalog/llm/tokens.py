@@ -9,8 +9,8 @@ import re
 
 import numpy as np
 
-#: Chunks that a worker's cache holds before it is emptied, and bytes of a chunk worth keeping.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
+#: Chunks in each of a cache's two generations, and bytes of a chunk worth keeping.
+CACHE_CHUNKS, CACHE_BYTES = 250_000, 64
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -86,7 +86,8 @@ class ChunkTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.plain = _plain_encoder(path)
-        self.ids: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}  # lately used chunks
+        self.older: dict[bytes, bytes] = {}  # those of the generation before
 
     def _merged(self, chunks: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
         if not chunks:
@@ -106,24 +107,31 @@ class ChunkTokenizer:
         hard = [t for t, e in zip(texts, easy) if not e]
         got = self.tokenizer.encode_batch_fast(hard, add_special_tokens=False) if hard else []
         found |= {c: np.array(g.ids, "<u4").tobytes() for c, g in zip([c for c, e in zip(new, easy) if not e], got)}
+        return found
+
+    def _keep(self, found: dict[bytes, bytes]) -> None:
+        """Add to the cache. A full generation becomes the older one, whose chunks come back
+        when they are met again: frequent ones stay."""
         if len(self.ids) + len(found) > CACHE_CHUNKS:
-            self.ids.clear()
+            self.ids, self.older = {}, self.ids
         self.ids.update((c, i) for c, i in found.items() if len(c) <= CACHE_BYTES)
-        return found
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit numbers."""
         chunks = text.encode("utf-8", "replace").split()
         parts = list(map(self.ids.get, chunks))
         if None in parts:
-            known = {c: p for c, p in zip(chunks, parts) if p is not None}
-            known |= self._learn(list({c for c, p in zip(chunks, parts) if p is None}))
-            parts = map(known.__getitem__, chunks)
+            missed = {c for c, p in zip(chunks, parts) if p is None}
+            found = {c: p for c in missed if (p := self.older.get(c)) is not None}
+            if len(found) < len(missed):
+                found |= self._learn([c for c in missed if c not in found])
+            parts = [found[c] if p is None else p for c, p in zip(chunks, parts)]
+            self._keep(found)
         return b"".join(parts)
 
     def forget(self) -> None:
         """Empty the cache: a worker that lives on has other work to do."""
-        self.ids.clear()
+        self.ids, self.older = {}, {}
 
     def count(self, text: str) -> int:
         return len(self.encode(text)) // 4
