@@ -48,6 +48,11 @@ def parse_time(text: Column, fmt: str | None) -> Column:
         micros = (text.try_cast("double") * 1_000_000).cast("long")
         return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
     pattern, groups = _layout(fmt)
+    if {"Y", "m", "d"} <= set(groups) <= set("YmdHMSf"):
+        # numbers only: one rewrite to ISO order, where a cast checks the ranges
+        at = lambda k: f"${groups[k]}" if k in groups else "0"
+        iso = " ".join(("-".join(map(at, "Ymd")), ":".join(map(at, "HMS")))) + (f".{at('f')}" if "f" in groups else "")
+        return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("timestamp_ntz"))
     part = lambda k: F.regexp_extract(text, pattern, groups[k])
     number = lambda k, default: part(k).try_cast("int") if k in groups else F.lit(default)
     if "Y" in groups:
