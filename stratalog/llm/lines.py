@@ -26,6 +26,10 @@ SHINGLE, BANDS, BAND_ROWS, SIMILARITY, LEAST_CHARS = 8, 12, 4, 0.8, 16
 #: in the sets that a task keeps, cells of the matrix of a larger group, and line ids up to
 #: which they are broadcast.
 BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_IDS = 2000, 12, 300_000, 8_000_000, 1_000_000
+#: Lines of a batch on one key from which the key is hot whatever else it has, (key, line)
+#: entries that a task holds before it looks for hot keys, and lines of a hot key that all
+#: its lines are compared with before blocks are paired.
+HOT_IN_BATCH, HELD, PIVOTS = 256, 2_000_000, 8
 
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -104,9 +108,9 @@ def shingles(line: str) -> set[str]:
 
 
 def _packed(part: np.ndarray, *columns: np.ndarray):
-    """(part, packed columns) for each value of part."""
+    """(part, packed columns) for each value of part, -1 or more."""
     order = np.argsort(part, kind="stable")
-    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    cut = np.flatnonzero(np.diff(part[order], prepend=-2))
     for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
         yield int(part[order[a]]), *(c[order[a:z]].tobytes() for c in columns)
 
@@ -114,7 +118,8 @@ def _packed(part: np.ndarray, *columns: np.ndarray):
 def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (doc_id, line_no, line) of every line that is compared, by its hash, and rows
     (bucket, keys, members): the band keys that fall in a bucket of a batch's lines, and the
-    lines they belong to, packed."""
+    lines they belong to, packed. Entries of keys that are hot in a batch are in bucket -1,
+    which goes to no single task; their own bucket has the keys, without members."""
     schema = "doc_id long, line_no int, line long, bucket int, keys binary, members binary"
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -146,7 +151,13 @@ def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
             [pa.array(doc_ids, kinds[0]), pa.array(numbers, kinds[1]), pa.array(np.array(hashes, np.uint64).view(np.int64)),
              *(pa.nulls(n, k) for k in kinds[3:])], names=names,
         )
-        packed = list(zip(*_packed((flat % np.uint64(buckets)).astype(np.int64), flat, member)))
+        number, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+        hot, bucket = number[count >= HOT_IN_BATCH], (flat % np.uint64(buckets)).astype(np.int64)
+        bucket[count[back] >= HOT_IN_BATCH] = -1
+        packed = list(_packed(bucket, flat, member))
+        if len(hot):
+            packed += [(b, k, b"") for b, k in _packed((hot % np.uint64(buckets)).astype(np.int64), hot)]
+        packed = list(zip(*packed))
         n = len(packed[0])
         yield pa.RecordBatch.from_arrays(
             [*(pa.nulls(n, k) for k in kinds[:3]), *(pa.array(c, k) for c, k in zip(packed, kinds[3:]))], names=names
@@ -200,31 +211,131 @@ def group_members(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def split_hot(keys: np.ndarray, members: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries of hot keys, the others, hot keys) of distinct (key, member) entries, as
+    pairs of arrays: hot are known keys and those with more than BLOCK members."""
+    order = np.lexsort((members, keys))
+    keys, members = keys[order], members[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (members[1:] != members[:-1])
+    keys, members = keys[new], members[new]
+    number, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    known = np.union1d(known, number[count > BLOCK])
+    hot = np.isin(number, known)[back]
+    return (keys[hot], members[hot]), (keys[~hot], members[~hot]), known
+
+
 def candidate_units(lines: DataFrame) -> DataFrame:
-    """(home, unit, line): the groups of lines that share a band, each once."""
+    """(home, unit, line): the groups of lines that share a band, each once. Rows without
+    home are the lines of hot keys, unit being the key: they leave the task as they come."""
+
+    def rows(home, unit, line):
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(unit), pa.int64()) if home is None else pa.array(home.view(np.int64)),
+             *(pa.array(c.view(np.int64)) for c in (unit, line))], names=["home", "unit", "line"],
+        )
 
     def run(batches):
-        at, held = None, []
+        at, held, hot, n, limit = None, [], np.zeros(0, np.uint64), 0, HELD
 
-        def flush():
+        def sort_out():
+            nonlocal held, hot, n
             keys, members = (np.frombuffer(b"".join(c), np.uint64) for c in zip(*held))
-            home, unit, line = group_members(keys, members)
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (home, unit, line)], names=["home", "unit", "line"])
+            gone, left, hot = split_hot(keys, members, hot)
+            held, n = [tuple(c.tobytes() for c in left)], len(left[0])
+            for k in range(0, len(gone[0]), 100_000):
+                yield rows(None, *(c[k : k + 100_000] for c in gone))
+
+        def flush():
+            yield from sort_out()
+            yield rows(*group_members(*(np.frombuffer(c, np.uint64) for c in held[0])))
 
         for batch in batches:
             for bucket, keys, members in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != at and held:
-                    yield flush()
-                    held = []
+                if bucket != at:
+                    if held:
+                        yield from flush()
+                    held, hot, n, limit = [], hot[:0], 0, HELD
                 at = bucket
+                if not members:
+                    hot = np.union1d(hot, np.frombuffer(keys, np.uint64))
+                    continue
                 held.append((keys, members))
+                n += len(keys) // 8
+                if n > limit:
+                    yield from sort_out()
+                    limit = max(HELD, 2 * n)
         if held:
-            yield flush()
+            yield from flush()
+
+    def unpack(batches):
+        for batch in batches:
+            for keys, members in zip(*(c.to_pylist() for c in batch.columns)):
+                yield rows(None, np.frombuffer(keys, np.uint64), np.frombuffer(members, np.uint64))
 
     packed = lines.where("bucket IS NOT NULL").select("bucket", "keys", "members")
-    placed = packed.repartition("bucket").sortWithinPartitions("bucket")
-    units = map_batches(placed, run, "home long, unit long, line long")
-    return units.distinct()
+    placed = packed.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
+    schema = "home long, unit long, line long"
+    hot = map_batches(packed.where("bucket < 0").select("keys", "members"), unpack, schema)
+    return map_batches(placed, run, schema).unionByName(hot).distinct()
+
+
+def _size_band(n: int) -> int:
+    """Sets with numbers of shingles that let them be similar are in one band or in two that
+    follow each other (the base leaves room for rounding)."""
+    return int(np.log(n) / -np.log(SIMILARITY - 0.001))
+
+
+def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v), and units (home, unit, line) still to be compared, of hot(key, line).
+
+    Each line of a key is compared with PIVOTS of its lines and linked to the first that is
+    similar: lines of one pivot are connected and need no more comparing among each other.
+    Of the rest, blocks of about BLOCK lines are paired, but for those whose sizes differ too
+    much. A line names the pairs of its block itself, row by row; no task has a key's list.
+    """
+    chosen = hot.groupBy("key").agg(*(F.min_by("line", F.xxhash64("line", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
+    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("line"))
+    pivots = chosen.join(texts, "line").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("pivots"))
+    met = hot.join(texts, "line").join(stored(pivots, "pivots"), "key").select("key", "line", "text", "pivots")
+    schema = "key long, line long, band int, pivot long"
+
+    def mark(batches):
+        sets = {}
+        for batch in batches:
+            out = []
+            for key, line, text, some in zip(*(c.to_pylist() for c in batch.columns)):
+                if key not in sets:
+                    if len(sets) * PIVOTS >= 1000:
+                        sets.clear()
+                    sets[key] = [(p["line"], shingles(p["text"])) for p in some]
+                own = shingles(text)
+                out.append((key, line, _size_band(len(own)), next((p for p, other in sets[key] if similar(own, other)), None)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
+                if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())],
+                names=["key", "line", "band", "pivot"],
+            )
+
+    marked = stored(map_batches(met, mark, schema), "marked")
+    links = marked.where("pivot <> line").select(F.col("line").alias("u"), F.col("pivot").alias("v"))
+    # line ids can be any number, so a line without a pivot has a group of its own kind
+    group = F.struct(F.col("pivot").isNull().alias("loose"), F.coalesce("pivot", F.lit(0)).alias("pivot"), "band")
+    grouped = marked.select("key", "line", group.alias("g"))
+    blocks = stored(grouped.groupBy("key", "g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    others = blocks.select("key", F.col("g").alias("h"), F.col("blocks").alias("h_blocks"))
+    near = (F.abs(F.col("g.band") - F.col("h.band")) <= 1) & (
+        F.col("g.loose") | F.col("h.loose") | (F.col("g.pivot") != F.col("h.pivot"))
+    )
+    pairs = stored(blocks.join(others, "key").where(near), "blocks")
+    own = F.struct("g", F.pmod(F.xxhash64("line"), "blocks").alias("block"))
+    units = (
+        grouped.join(pairs, ["key", "g"])
+        .select("key", "line", "h", own.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("h_blocks") - 1)).alias("k"))
+        .withColumn("y", F.struct(F.col("h").alias("g"), F.col("k").alias("block")))
+        .select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("unit"), "line")
+    )
+    return links, units.select(F.col("unit").alias("home"), "unit", "line")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -310,9 +421,14 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
     Only lines in a unit have their texts looked up. A unit is compared by one task; it
     gives fewer links than it has lines.
     """
-    units = stored(candidate_units(lines), "units")
-    ids = units.select("line").distinct()
+    found = stored(candidate_units(lines), "units")
+    units, hot = found.where("home IS NOT NULL"), found.where("home IS NULL").select(F.col("unit").alias("key"), "line")
+    ids = found.select("line").distinct()
     texts = stored(texts_of(docs, ids.join(classes, "line").select("line", "first.doc_id", "first.line_no")), "texts")
+    links = None
+    if not hot.isEmpty():
+        links, more = hot_links(hot, texts)
+        units = units.unionByName(more)
 
     def run(batches):
         at, ids, held, kept, size = None, [], [], {}, 0
@@ -346,7 +462,8 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
 
     placed = units.join(texts, "line").select("home", "unit", "line", "text").repartition("home")
-    return map_batches(placed.sortWithinPartitions("home", "unit", "line"), run, "u long, v long").distinct()
+    compared = map_batches(placed.sortWithinPartitions("home", "unit", "line"), run, "u long, v long")
+    return (compared if links is None else compared.unionByName(links)).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

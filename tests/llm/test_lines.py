@@ -102,3 +102,40 @@ def test_unit_links(monkeypatch, cells):
         links = L.unit_links(texts)
         want = union_find([(i, j) for i in range(len(texts)) for j in range(i) if L.similar(sets[i], sets[j])])
         assert union_find(links) == want and len(links) < len(texts)
+
+
+def test_hot_keys(make, monkeypatch):
+    """Near copies and templated lines on one key: all are found, no unit is beyond two blocks,
+    and near copies leave nothing to pair."""
+    monkeypatch.setattr(L, "BLOCK", 8)
+    monkeypatch.setattr(L, "HOT_IN_BATCH", 20)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    same, template = word(200), word(60)
+    near = [same[:k] + "z" + same[k + 1 :] for k in range(150)]
+    loose = [template + word(rng.choice([8, 20, 30, 45])) for _ in range(150)]
+    rows = list(enumerate(near + loose + [s[:-2] + "zz" for s in loose[:40]]))
+    got = {r.doc_id: r.removed for r in L.dedup_report(make(rows)).collect() if r.removed}
+    want = {i: ",".join(map(str, g)) for i, g in brute(rows).items()}
+    assert got == want and len(want) > 170
+    spark = make(rows).sparkSession
+    for texts, pairs in ((near, False), (loose, True)):
+        ids = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
+        links, units = L.hot_links(ids.selectExpr("7L AS key", "line"), ids)
+        edges = {(r.u, r.v) for r in links.collect()}
+        held = {}
+        for r in units.collect():
+            held.setdefault(r.unit, []).append(r.line)
+        assert (len(held) > 0) == pairs and max(map(len, held.values()), default=0) <= 40
+        found = union_find([*edges, *((g[a], g[b]) for g in held.values() for a, b in L.unit_links([texts[i] for i in g]))])
+        sets = [L.shingles(t) for t in texts]
+        assert found == union_find([(i, j) for i in range(150) for j in range(i) if L.similar(sets[i], sets[j])])
+
+
+def test_a_hot_key_leaves_as_it_is(spark):
+    """30,000 lines on one key are 30,000 rows, not one for each two blocks and line."""
+    keys, members = np.full(30_000, 5, np.uint64), np.arange(30_000, dtype=np.uint64)
+    cold = np.array([9, 9], np.uint64), np.array([1, 2], np.uint64)
+    packed = [(0, bytearray(k.tobytes()), bytearray(m.tobytes())) for k, m in ((keys, members), cold)]
+    got = L.candidate_units(spark.createDataFrame(packed, "bucket int, keys binary, members binary"))
+    assert got.where("home IS NULL AND unit = 5").count() == 30_000 and got.where("home IS NOT NULL").count() == 2
