@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +38,17 @@ _IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 your_api_key_here changeme example "
     b"xxxxxxxxxxxxxxxx ---------------- ================ ________________ ................ 0000000000000000"
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may stand between a string and the one that directly follows it, and the short last
+#: line of a key.
+_BETWEEN = re.compile(r"(?:\\[nr]|[\s\"'`\\+.,:;|>#*]){0,80}")
+_LAST_LINE = re.compile(r"\s{1,80}([A-Za-z0-9+/=]{1,15})\s{1,80}-----END")
 
 #: Characters on each side that count as surroundings, and the least marginal bytes per
-#: character of a string that is reported.
-CONTEXT_CHARS, LEAST_NOVELTY = 512, 0.8
+#: character of a string that is reported: LEAST_NOVELTY, or this share of what random text
+#: of its alphabet and length costs, if two of its characters are equal at most so many times
+#: as often as there.
+CONTEXT_CHARS, LEAST_NOVELTY, RANDOM_SHARE, MOST_UNEVEN = 512, 0.8, 0.9, 1.35
 
 
 def plain_secrets(text: str, low: bytes) -> list[tuple[str, int, int]]:
@@ -65,21 +74,67 @@ def novelty(candidate: str, around: str) -> float:
     return (len(compressor.compress(raw)) - len(compressor.compress(b""))) / len(raw)
 
 
+def alphabet(s: str) -> str:
+    """The characters that s seems drawn from: its classes, letters being hexadecimal ones
+    and digits those of base32 if s has no others. Classes with hardly a character are left
+    out, so that a prefix or padding does not count."""
+    found = ""
+    for some in ("abcdef", "ABCDEF", "234567", "+/", "-_"):
+        full = next((c for c in (string.ascii_lowercase, string.ascii_uppercase, string.digits) if some[0] in c), some)
+        own = [c for c in s if c in full]
+        if 16 * len(own) > len(s):
+            found += some if set(own) <= set(some) else full
+    return found or string.ascii_letters + string.digits
+
+
+@lru_cache(4096)
+def random_novelty(letters: str, n: int) -> float:
+    """novelty of random text of n characters."""
+    return novelty("".join(random.Random(n).choices(letters, k=n)), "")
+
+
+def is_novel(s: str, around: str) -> bool:
+    """Whether s costs as many bytes as a secret. Words cost nearly as many as random text of
+    their letters, but have some letters much more often."""
+    cost = novelty(s, around)
+    if cost >= LEAST_NOVELTY:
+        return True
+    letters = alphabet(s)
+    n = len(s) if len(s) < 64 else min(-(-len(s) // 32) * 32, 4096)
+    if cost < RANDOM_SHARE * random_novelty(letters, n):
+        return False
+    counts = [s.count(c) for c in letters]
+    total = sum(counts)
+    return len(letters) * sum(k * (k - 1) for k in counts) <= MOST_UNEVEN * total * (total - 1)
+
+
 def novel_secrets(text: str, low: bytes, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Mixed strings after a sensitive word that their surroundings do not explain."""
+    """Mixed strings after a sensitive word, or directly after a string reported there, that
+    their surroundings do not explain."""
     if not _SENSITIVE_HINT.search(low):
         return []
     found = []
     taken = sorted((a, b) for _, a, b in plain)
+    ends, at, before = sorted(b for k, _, b in plain if k == "assign"), 0, -1
     for m in _CANDIDATE.finditer(text):
         s, a, b = m.group(), m.start(), m.end()
         if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
             continue
-        if any(x < b and a < y for x, y in taken) or not _SENSITIVE.search(text, max(0, a - 64), a):
+        if any(x < b and a < y for x, y in taken):
+            continue
+        # the reported string before it, if any, carries its place on
+        while at < len(ends) and ends[at] <= a:
+            before = max(before, ends[at])
+            at += 1
+        follows = before >= 0 and a - before <= 80 and _BETWEEN.fullmatch(text, before, a)
+        if not follows and not _SENSITIVE.search(text, max(0, a - 64), a):
             continue
         around = text[max(0, a - CONTEXT_CHARS) : a] + "\n" + text[b : b + CONTEXT_CHARS]
-        if novelty(s, around) >= LEAST_NOVELTY:
+        if is_novel(s, around):
             found.append(("novel", a, b))
+            before = b
+            if tail := _LAST_LINE.match(text, b):
+                found.append(("novel", tail.start(1), tail.end(1)))
     return found
 
 
