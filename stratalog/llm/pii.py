@@ -120,7 +120,6 @@ _DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
     "eight": "8", "nine": "9",
 }
-_DIGIT_BYTES = [w.encode() for w in _DIGITS]
 
 
 def _homoglyph_table() -> dict[int, str]:
@@ -139,12 +138,12 @@ _TABLE = _homoglyph_table()
 _ODD = re.compile(rb"\xc2[\xa0\xad]|\xc4\xb1|[\xcd-\xf4]")
 _WORD = "(?:" + "|".join(_DIGITS) + ")"
 _SPELLED = re.compile(rf"(?<![a-z])(?:plus[\s-]+)?{_WORD}(?:[\s,.-]{{1,3}}{_WORD}|[\s-]?[0-9])*(?![a-z])", re.I | re.A)
-_SPELLED_RUN = re.compile(rf"(?<![a-z]){_WORD}(?:[\s,-]{{1,3}}(?:dot\s+|point\s+)?{_WORD}){{3}}", re.I | re.A)
 _ONE_WORD = re.compile(rf"(plus)|({_WORD})|([\s,.-]+)", re.I | re.A)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+(?=[a-z0-9-]+(?:\s*[\[({<]?\s*\b(?:dot|point)\b|\.[a-z0-9]))", re.I | re.A)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*|(?<=[a-z0-9-])\s+(?:dot|point)\s+(?=[a-z0-9])", re.I | re.A)
-_BRACKET = re.compile(rb"[\[({<]\s*(?:at|@|\.)\s*[\])}>]")
-_HINT = re.compile(r"\b(?:[dD][oO][tT]|[pP][oO][iI][nN][tT])\b|[\[({<]\s*(?:[aA][tT]|@|\.)\s*[\])}>]")
+# each blank run is entered once, at its start, so that a long one costs its length
+_AT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<!\s)\s+at\s+(?=[a-z0-9-]+(?:\s*(?:[\[({<]\s*)?\b(?:dot|point)\b|\.[a-z0-9]))", re.I | re.A)
+_DOT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*|(?<=[a-z0-9-])\s+(?:dot|point)\s+(?=[a-z0-9])", re.I | re.A)
+_AT_HINT = re.compile(r"\sat\s|[\[({<]\s*(?:at|@)\s*[\])}>]", re.I | re.A)
+_DOT_HINT = re.compile(r"\s(?:dot|point)\s|[\[({<]\s*(?:dot|point|\.)\s*[\])}>]", re.I | re.A)
 
 
 class Mapped:
@@ -194,20 +193,19 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that show only after normalisation, as spans of the source text."""
-    low = text.encode("utf-8", "replace").lower()
-    odd = not text.isascii() and _ODD.search(low)
-    spelled = sum(low.count(w) for w in _DIGIT_BYTES) >= 4 and _SPELLED_RUN.search(text)
-    hinted = (b"dot" in low or b"point" in low) and _HINT.search(text) or _BRACKET.search(low)
-    if not (odd or spelled or hinted):
-        return []
     mapped = Mapped(text)
-    if odd:
+    if not text.isascii() and _ODD.search(text.encode("utf-8", "replace").lower()):
         mapped.rewrite([(i, i + 1, _TABLE[ord(c)]) for i, c in enumerate(text) if ord(c) in _TABLE])
-    if spelled or odd:
+    # each transducer runs where its own pattern is found, whatever else the text has
+    low = mapped.text.lower()
+    if any(w in low for w in _DIGITS):
         mapped.rewrite(_spelled_edits(mapped.text))
-    if hinted or odd:
+    if _AT_HINT.search(mapped.text):
         mapped.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(mapped.text)])
+    if _DOT_HINT.search(mapped.text):
         mapped.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(mapped.text)])
+    if not any(mapped.changed):
+        return []
     have, found = set(plain), []
     for kind, a, b in plain_spans(mapped.text):
         if any(mapped.changed[a:b]):

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -54,6 +55,32 @@ def test_prose_is_left_alone(text):
     assert pii.disguised_spans(text, []) == []
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("mail jane.doe at example.com now", "jane.doe at example.com"),
+        ("call +49 one five two 345 six seven 890 now", "+49 one five two 345 six seven 890"),
+        ("host one nine two.one six eight.one.two five up", "one nine two.one six eight.one.two five"),
+        ("call +49 30 one2345678 now", "+49 30 one2345678"),
+        ("john (at) example.org", "john (at) example.org"),
+        ("john@example (dot) org", "john@example (dot) org"),
+        ("we met at noon", None),
+    ],
+)
+@pytest.mark.parametrize("other", ["", "the point is; ", "it’s; ", "one two three four; ", "a [.] b; ", "dot; "])
+def test_other_text_never_changes_the_spans(text, found, other):
+    for whole, at in ((other + text, len(other)), (text + "; " + other, 0)):
+        spans = [s for s in pii.disguised_spans(whole, pii.plain_spans(whole)) if at <= s.start < at + len(text)]
+        assert [whole[s.start : s.end] for s in spans] == ([found] if found else [])
+
+
+def test_long_blanks_cost_their_length():
+    for text in (" " * 200_000 + "at x", "a at x" + " " * 200_000 + "y", "one at b [dot] c" + " " * 200_000, "< at" * 3 + " " * 200_000):
+        start = time.perf_counter()
+        pii.disguised_spans(text, [])
+        assert time.perf_counter() - start < 5
+
+
 def test_pii_rows(make, odd_rows):
     rows = [*odd_rows, (20, "a@b.co 1.2.3.4 +49 (30) 123456-78 x 4111 1111 1111 1111"), (21, "x" * 200_000 + "@"), (22, "1" * 200_000 + "." * 9)]
     got = pii.detect_pii(make(rows)).collect()
