@@ -107,11 +107,12 @@ class Packer:
         while True:
             if self.window:
                 full = self.next_id
-                for i in index.neighbours(self.terms, unused):
+                near = index.neighbours(self.terms, unused)
+                for i in near:
                     take(i)
                     if self.next_id != full:
                         break
-                if self.next_id != full:
+                if near:  # a full window, or one that asks for more
                     continue
             while first < len(docs) and not unused[first]:
                 first += 1

@@ -61,3 +61,15 @@ def test_like_documents_share_a_sequence(make):
         if r.length > 700:
             kinds[r.sequence_id].add(r.doc_id % 2)
     assert sum(len(k) == 1 for k in kinds.values()) >= len(kinds) - 1
+
+
+def test_short_neighbours_are_used_up():
+    """More than NEIGHBOURS short documents of a kind stay together."""
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(10, 40, 30) + 1000 * (i % 2), 2).astype(np.uint32) for i in range(160)]
+    packer = P.Packer(0)
+    # the end id, which all share, tells next to nothing
+    packer.shard(list(range(160)), [d[:-1] for d in docs])
+    packer.finish()
+    kinds = [r[0] % 2 for r in packer.rows]
+    assert kinds[:80] == [0] * 80 and kinds[80:160] == [1] * 80
