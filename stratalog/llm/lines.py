@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: MinHash over character shingles, verified, one line of each
 component kept.
 
-Lines are compared in lower case with single spaces. A one-permutation MinHash signature,
+Lines are compared in lower case with single spaces; those shorter than a shingle are alike
+only if equal, and blank ones are not compared. A one-permutation MinHash signature,
 its empty bins filled from others, is cut into bands; lines that share a band are
 candidates, candidates are verified by the exact Jaccard similarity of their shingle sets,
 and verified links are joined into components. Band keys travel as packed arrays, a row for
@@ -17,15 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, free_name, map_batches, stored
+from stratalog.llm.common import by_text, components, discard, free_name, map_batches, row_key, stored
 
-#: Characters of a shingle, bands, values of a band, least similarity, and characters (after
-#: normalisation) that a line must have to be compared.
-SHINGLE, BANDS, BAND_ROWS, SIMILARITY, LEAST_CHARS = 8, 12, 4, 0.8, 16
+#: Characters of a shingle, bands, values of a band, and least similarity.
+SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 12, 4, 0.8
 #: Lines of a block of a large group, lines of a group that is compared set by set, shingles
-#: in the sets that a task keeps, cells of the matrix of a larger group, and line ids up to
-#: which they are broadcast.
-BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_IDS = 2000, 12, 300_000, 8_000_000, 1_000_000
+#: in the sets that a task keeps, cells of the matrix of a larger group, and bytes of
+#: line ids up to which they are broadcast.
+BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_BYTES = 2000, 12, 300_000, 8_000_000, 32 << 20
 #: Lines of a batch on one key from which the key is hot whatever else it has, (key, line)
 #: entries that a task holds before it looks for hot keys, and lines of a hot key that all
 #: its lines are compared with before blocks are paired.
@@ -104,7 +104,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def _packed(part: np.ndarray, *columns: np.ndarray):
@@ -116,25 +116,33 @@ def _packed(part: np.ndarray, *columns: np.ndarray):
 
 
 def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (doc_id, line_no, line) of every line that is compared, by its hash, and rows
+    """Rows (id, row, line_no, line) of every line that is not blank, by its hash, and rows
     (bucket, keys, members): the band keys that fall in a bucket of a batch's lines, and the
     lines they belong to, packed. Entries of keys that are hot in a batch are in bucket -1,
     which goes to no single task; their own bucket has the keys, without members."""
-    schema = "doc_id long, line_no int, line long, bucket int, keys binary, members binary"
+    schema = "id long, row long, line_no int, line long, bucket int, keys binary, members binary"
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(columns):
-        ids, texts = columns
         rows, new = [], {}
-        for doc_id, text in zip(ids, texts):
+        for doc, row, text in zip(*columns):
             for no, line in enumerate(normal_lines(text or "")):
-                if len(line) >= LEAST_CHARS:
+                if line:
                     h = line_hash(line)
-                    rows.append((doc_id, no, h))
-                    new.setdefault(h, line)
+                    rows.append((doc, row, no, h))
+                    if len(line) >= SHINGLE:
+                        new.setdefault(h, line)
         if not rows:
             return
+        *places, hashes = zip(*rows)
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, k) for c, k in zip(places, kinds)), pa.array(np.array(hashes, np.uint64).view(np.int64)),
+             *(pa.nulls(n, k) for k in kinds[4:])], names=names,
+        )
+        if not new:
+            return
         keys, fresh, at = [], list(new.values()), 0
         while at < len(fresh):  # few enough characters a step for the cache
             to, size = at, 0
@@ -145,12 +153,6 @@ def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
             at = to
         flat = np.concatenate(keys).ravel()
         member = np.repeat(np.fromiter(new, np.uint64, len(new)), BANDS)
-        doc_ids, numbers, hashes = zip(*rows)
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, kinds[0]), pa.array(numbers, kinds[1]), pa.array(np.array(hashes, np.uint64).view(np.int64)),
-             *(pa.nulls(n, k) for k in kinds[3:])], names=names,
-        )
         number, back, count = np.unique(flat, return_inverse=True, return_counts=True)
         hot, bucket = number[count >= HOT_IN_BATCH], (flat % np.uint64(buckets)).astype(np.int64)
         bucket[count[back] >= HOT_IN_BATCH] = -1
@@ -160,12 +162,10 @@ def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
         packed = list(zip(*packed))
         n = len(packed[0])
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(n, k) for k in kinds[:3]), *(pa.array(c, k) for c, k in zip(packed, kinds[3:]))], names=names
+            [*(pa.nulls(n, k) for k in kinds[:4]), *(pa.array(c, k) for c, k in zip(packed, kinds[4:]))], names=names
         )
 
-    return by_text(
-        docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), ["doc_id", "text"], schema, run
-    )
+    return by_text(docs.select(*row_key(docs), "text"), ["id", "row", "text"], schema, run)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -286,8 +286,9 @@ def _size_band(n: int) -> int:
     return int(np.log(n) / -np.log(SIMILARITY - 0.001))
 
 
-def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v), and units (home, unit, line) still to be compared, of hot(key, line).
+def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links (u, v), and units (home, unit, line) still to be compared, of hot(key, line); and
+    the tables to discard after both were read.
 
     Each line of a key is compared with PIVOTS of its lines and linked to the first that is
     similar: lines of one pivot are connected and need no more comparing among each other.
@@ -297,7 +298,8 @@ def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = hot.groupBy("key").agg(*(F.min_by("line", F.xxhash64("line", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
     chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("line"))
     pivots = chosen.join(texts, "line").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("pivots"))
-    met = hot.join(texts, "line").join(stored(pivots, "pivots"), "key").select("key", "line", "text", "pivots")
+    pivots = stored(pivots, "pivots")
+    met = hot.join(texts, "line").join(pivots, "key").select("key", "line", "text", "pivots")
     schema = "key long, line long, band int, pivot long"
 
     def mark(batches):
@@ -335,16 +337,17 @@ def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("y", F.struct(F.col("h").alias("g"), F.col("k").alias("block")))
         .select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("unit"), "line")
     )
-    return links, units.select(F.col("unit").alias("home"), "unit", "line")
+    return links, units.select(F.col("unit").alias("home"), "unit", "line"), [pivots, marked, blocks, pairs]
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text) of wanted(line, doc_id, line_no): the documents that hold them are read
-    again. Their ids are broadcast where they were counted to be few, and joined otherwise."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
+    """(line, text) of wanted(line, id, row, line_no): the documents that hold them are read
+    again. What is wanted is broadcast where its bytes were counted to be few, and joined
+    otherwise."""
+    by_doc = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
     by_doc = stored(by_doc, "wanted")
-    few = by_doc.select(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= BROADCAST_IDS
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(by_doc) if few else by_doc, "doc_id")
+    few = by_doc.select(F.coalesce(F.sum(64 + 32 * F.size("wanted")), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    found = docs.select(*row_key(docs), "text").join(F.broadcast(by_doc) if few else by_doc, ["id", "row"])
 
     def run(columns):
         texts, lists = columns
@@ -415,8 +418,9 @@ def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tup
     return _reach(n, near)
 
 
-def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v): links that connect all lines that share a band and are similar.
+def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v): links that connect all lines that share a band and are similar; and the tables
+    to discard after they were read.
 
     Only lines in a unit have their texts looked up. A unit is compared by one task; it
     gives fewer links than it has lines.
@@ -424,11 +428,12 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
     found = stored(candidate_units(lines), "units")
     units, hot = found.where("home IS NOT NULL"), found.where("home IS NULL").select(F.col("unit").alias("key"), "line")
     ids = found.select("line").distinct()
-    texts = stored(texts_of(docs, ids.join(classes, "line").select("line", "first.doc_id", "first.line_no")), "texts")
-    links = None
+    texts = stored(texts_of(docs, ids.join(classes, "line").select("line", "first.id", "first.row", "first.line_no")), "texts")
+    links, used = None, [found, texts]
     if not hot.isEmpty():
-        links, more = hot_links(hot, texts)
+        links, more, tables = hot_links(hot, texts)
         units = units.unionByName(more)
+        used += tables
 
     def run(batches):
         at, ids, held, kept, size = None, [], [], {}, 0
@@ -463,42 +468,52 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFra
 
     placed = units.join(texts, "line").select("home", "unit", "line", "text").repartition("home")
     compared = map_batches(placed.sortWithinPartitions("home", "unit", "line"), run, "u long, v long")
-    return (compared if links is None else compared.unionByName(links)).distinct()
+    return compared if links is None else compared.unionByName(links), used
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the sorted numbers, from 0, of the lines that go from a document.
+    """(id, row, removed): the sorted numbers, from 0, of the lines that go from a row, which
+    row_key names.
 
-    Of each component the line with the least (doc_id, line number) stays. Rows without
-    doc_id are left out of the comparison; of rows with equal ids, equal lines with equal
-    numbers are one line.
+    Of each component the line with the least (id, row, line number) stays. Rows with equal
+    ids and texts are one row, met several times.
     """
     # a few buckets for each shuffle partition, so that a task holds a bucket at a time
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = stored(extract_lines(docs, buckets), "lines")
-    lines = both.where("line IS NOT NULL").select("doc_id", "line_no", "line")
-    place = F.struct("doc_id", "line_no")
+    lines = both.where("line IS NOT NULL").select("id", "row", "line_no", "line")
+    place = F.struct("id", "row", "line_no")
     classes = stored(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
-    found = components(line_links(docs, both, classes)).withColumnRenamed("node", "line")
-    rooted = classes.join(found, "line", "left").withColumn("root", F.coalesce("root", "line"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    repeated = rooted.select("line", "root").join(kept.select("root", "keep"), "root").select("line", "keep")
-    gone = lines.select("doc_id", "line_no", "line").join(repeated, "line").where(place != F.col("keep"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    links, used = line_links(docs, both, classes)
+    found = components(links)
+    discard(*used)
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "line")
+    some = stored(classes.join(members, "line", "left").where("root IS NOT NULL OR n > 1"), "repeated")
+    linked, alone = some.where("root IS NOT NULL"), some.where("root IS NULL")
+    # written out, like what is joined next: a join of plain shuffles, whose hot partitions Spark splits
+    kept = stored(linked.groupBy("root").agg(F.min("first").alias("keep")), "kept")
+    keep = linked.join(kept, "root").select("line", "keep").unionByName(alone.select("line", F.col("first").alias("keep")))
+    keep = stored(keep, "keep")
+    gone = lines.join(keep, "line").where(place != F.col("keep"))
+    out = stored(gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
+    discard(both, classes, some, kept, keep)
+    return out
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) for every row of docs(doc_id, text).
 
     removed: line numbers from 0, comma-joined. A null text has no lines, an empty one has one
-    empty line; lines shorter than LEAST_CHARS always stay. Repeated rows come back as given;
-    an empty table gives none; other columns are not read.
+    empty line; blank lines always stay. Rows with one id and different texts are compared
+    like any others, rows with equal ids and texts count as one row and come back as given,
+    rows without id come after all others; an empty table gives none; other columns are not
+    read.
     """
     n_lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     gone = removed_lines(docs)
     return (
-        docs.select(F.col("doc_id").cast("long"), n_lines.cast("long").alias("n_lines"))
-        .join(gone, "doc_id", "left")
+        docs.select(F.col("doc_id").cast("long"), n_lines.cast("long").alias("n_lines"), *row_key(docs))
+        .join(gone, ["id", "row"], "left")
         .select(
             "doc_id",
             "n_lines",
@@ -511,12 +526,16 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs without the lines that go; a document that loses all its text goes too.
 
-    All columns are kept; n_chars, where there is one, follows the text.
+    All columns are kept; n_chars, where there is one, follows the text. Ids may repeat or be
+    null, as in dedup_report: no line goes that is not found in a line that stays. Null and
+    blank texts stay as they are; an empty table gives none.
     """
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
-    gone = free_name(docs, "removed")
-    joined = docs.join(removed_lines(docs).withColumnRenamed("removed", gone), "doc_id", "left").select(*names, gone)
+    key = {c: free_name(docs, c) for c in ("id", "row", "removed")}
+    gone = removed_lines(docs).withColumnsRenamed(key)
+    keyed = docs.select("*", *(c.alias(key[n]) for n, c in zip(("id", "row"), row_key(docs))))
+    joined = keyed.join(gone, [key["id"], key["row"]], "left").select(*names, key["removed"])
 
     def run(batches):
         for batch in batches:

@@ -8,6 +8,7 @@ is compared with all of them in blocks.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -121,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nei
     """Fit on at most per_class labelled rows of each class outside the held-out fold.
 
     Which rows: those whose ids have the least hashes, so the choice depends on nothing else.
-    At most 2 * per_class ids and term vectors reach the driver. None without labelled rows
-    that have a document.
+    One task fits them, 2 * per_class sparse vectors; the driver gets the model, some MB. None
+    without labelled rows that have a document.
     """
     rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).dropna()
     rows = rows.where(_fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -139,11 +140,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nei
             names=["doc_id", "quality", "terms"],
         )
 
+    def fit_all(batches):
+        sample = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        if sample:
+            model = fit(_dense([t for _, _, t in sample]), np.array([q for _, q, _ in sample]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
     vectors = by_text(found, ["doc_id", "quality", "text"], "doc_id long, quality int, terms binary", run)
-    sample = sorted(vectors.groupBy("doc_id").agg(F.min(F.struct("quality", "terms")).alias("r")).collect())
-    if not sample:
-        return None
-    return fit(_dense([r.r.terms for r in sample]), np.array([r.r.quality for r in sample]))
+    sample = vectors.groupBy("doc_id").agg(F.min(F.struct("quality", "terms")).alias("r")).select("doc_id", "r.quality", "r.terms")
+    model = map_batches(sample.repartition(1), fit_all, "model binary").first()
+    return pickle.loads(model[0]) if model else None
 
 
 _SCORED = "doc_id long, score double"
@@ -177,14 +183,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that the classifier accepts, with all their columns."""
+    """docs that the classifier accepts, with all their columns.
+
+    Null, empty and termless texts score 0 and go. Where no labelled row has a document there
+    is no classifier, and all rows stay. Repeated rows and null ids are judged as given; an
+    empty table gives none.
+    """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels))
+    if (found := train(docs, labels)) is None:
+        return docs
+    model = spark.sparkContext.broadcast(found)
     text_at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows if model.value else 0, BLOCK):
+            for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
                 terms = np.stack([term_vector(t) for t in part.column(text_at).to_pylist()])
                 yield part.filter(pa.array(model.value.scores(terms) >= 0.5))

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, free_name, map_batches, stored
+from stratalog.llm.common import by_text, components, discard, free_name, map_batches, row_key, stored
 
 #: Words of a shingle, hash seed, and differing bits up to which fingerprints link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
+#: Fingerprints of a bucket above which it is searched by a further byte.
+LARGE_BUCKET = 4096
 
 # Fixed value: a generator polynomial of the binary (23, 12, 7) Golay code.
 _GENERATOR = 0b101011100011
@@ -35,14 +37,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: list | None = None) -> DataFrame:
+    """(doc_id, fp), or the given long columns in place of doc_id: fp is the fingerprint as a
+    signed long."""
+    keyed = docs.select(*(key or [F.col("doc_id").cast("long")]), "text")
+    names = keyed.columns[:-1]
 
     def run(columns):
-        fps = np.array([fingerprint(t) for t in columns[1]], np.uint64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+        fps = np.array([fingerprint(t) for t in columns[-1]], np.uint64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(fps)], names=[*names, "fp"])
 
-    return by_text(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id", "text"], "doc_id long, fp long", run)
+    return by_text(keyed, keyed.columns, ", ".join(f"{n} long" for n in (*names, "fp")), run)
 
 
 def _nearest_codeword() -> np.ndarray:
@@ -120,6 +125,22 @@ def spanning_links(members: np.ndarray, distance: int = DISTANCE) -> list[tuple[
     return links
 
 
+def bucket_links(key: int, members: np.ndarray) -> list[tuple[int, int]]:
+    """spanning_links of the members of a bucket. Of the four bytes outside the two segments
+    of its key at least one is equal in fingerprints that link, so a large bucket is searched
+    by the values of each of them."""
+    if len(members) <= LARGE_BUCKET:
+        return spanning_links(members)
+    place, found = (key >> 28) & 3, []
+    for i in ((place + 2) % 4, (place + 3) % 4):
+        for shift in (48 - 16 * i, 56 - 16 * i):
+            value = (members >> np.uint64(shift)).astype(np.uint8)
+            order = np.argsort(value, kind="stable")
+            for part in np.split(members[order], np.flatnonzero(np.diff(value[order])) + 1):
+                found += spanning_links(part)
+    return found
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(u, v) fingerprints, both of fps(fp) (distinct), whose links connect all that differ in
     at most three bits.
@@ -141,7 +162,7 @@ def links(fps: DataFrame) -> DataFrame:
         last, rest = None, []
 
         def flush():
-            found = spanning_links(np.concatenate(rest).view(np.uint64)) if rest else []
+            found = bucket_links(int(last), np.concatenate(rest).view(np.uint64)) if rest else []
             u = np.array([a for a, _ in found], np.uint64).astype(np.int64)
             v = np.array([b for _, b in found], np.uint64).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -157,8 +178,9 @@ def links(fps: DataFrame) -> DataFrame:
             # buckets that begin and end inside this batch; only those with company matter
             for a, b in zip(bounds[1:-1], bounds[2:-1]):
                 if b - a > 1:
-                    found += spanning_links(fp[a:b].view(np.uint64))
+                    found += bucket_links(int(key[a]), fp[a:b].view(np.uint64))
             if len(bounds) > 2:
+                last = key[0]
                 rest.append(fp[: bounds[1]])
                 yield flush()
                 rest = [fp[bounds[-2] :]]
@@ -174,14 +196,18 @@ def links(fps: DataFrame) -> DataFrame:
     return map_batches(keyed.repartition("key").sortWithinPartitions("key"), connect, "u long, v long")
 
 
-def component_labels(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of prints(doc_id, fp): the least doc_id that links reach."""
-    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+def component_labels(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(fp, component_id) of prints(key, fp), stored: the least key that links reach."""
+    least = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
     found = components(links(least))
-    of = found.join(least, found.node == least.fp).select("root", "node", "least")
-    roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = of.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    return least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(least, F.col("node") == F.col("fp"))
+    of = stored(of.select("root", "fp", "least"), "linked")
+    # written out, so that the join meets plain shuffles, whose hot partitions Spark splits
+    roots = stored(of.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    alone = least.join(of, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    out = stored(of.join(roots, "root").select("fp", "component_id").unionByName(alone), "labels")
+    discard(least, of, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -192,21 +218,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id. An empty table gives none; other columns are not read.
     """
     prints = stored(fingerprints(docs), "prints")
-    # written out, so that the join meets plain shuffles, whose hot partitions Spark splits
-    labels = stored(component_labels(prints), "labels")
+    labels = component_labels(prints)
     return prints.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the least doc_id, once.
+    """docs with one row of each component: that with the least doc_id and then the least hash
+    of id and text; of rows equal in both, that whose columns have the least hash.
 
-    Rows without doc_id cannot be told apart and stay. All columns are kept.
+    Rows are told apart by id and text, so that unlike texts under one id are judged each for
+    itself. Rows without id come after all others. Null, empty and blank texts are alike. All
+    columns are kept; an empty table gives none.
     """
-    prints = stored(fingerprints(docs), "prints")
-    ids = component_labels(prints).select(F.col("component_id").alias("doc_id")).dropna().distinct()
-    named = docs.join(ids, "doc_id", "left_semi")
-    nth = free_name(docs, "nth")
-    once = named.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return once.where(F.col(nth) == 1).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    prints = stored(fingerprints(docs, row_key(docs)).withColumn("place", F.struct("id", "row")), "prints")
+    labels = component_labels(prints, "place")
+    key = {c: free_name(docs, c) for c in ("id", "row", "nth")}
+    kept = labels.select(F.col("component_id.id").alias(key["id"]), F.col("component_id.row").alias(key["row"])).distinct()
+    keyed = docs.select("*", *(c.alias(key[n]) for n, c in zip(("id", "row"), row_key(docs))))
+    named = keyed.join(kept, [key["id"], key["row"]], "left_semi")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy(key["id"], key["row"]).orderBy(F.xxhash64(*plain))
+    once = named.withColumn(key["nth"], F.row_number().over(order))
+    discard(prints)
+    return once.where(F.col(key["nth"]) == 1).select(*docs.columns)

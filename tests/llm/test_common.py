@@ -1,5 +1,9 @@
+import os
 import random
 
+import pytest
+
+from stratalog.llm import common
 from stratalog.llm.common import components, free_name, shared_dir
 
 
@@ -17,15 +21,36 @@ def union_find(edges):
     return {x: find(x) for x in parent}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [3, 200_000])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(common, "EDGES", block)
     random.seed(1)
     chain = [(i, i + 1) for i in range(100, 170)]
-    star = [(1000, i) for i in range(1001, 1060)]
+    zigzag = [(300 + i // 2 if i % 2 else 400 - i // 2, 300 + (i + 1) // 2 if i % 2 == 0 else 400 - (i + 1) // 2) for i in range(60)]
+    star = [(1000, i) for i in range(1001, 1060)] + [(1900, i) for i in range(1800, 1860)]
     loose = [(random.randrange(2000, 2200), random.randrange(2000, 2200)) for _ in range(120)]
-    edges = chain + star + [e for e in loose if e[0] != e[1]] + chain[:3]
+    edges = chain + star + zigzag + [e for e in loose if e[0] != e[1]] + chain[:3]
     random.shuffle(edges)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges + [(5, 5)], "u long, v long")).collect()}
-    assert got == union_find(edges)
+    found = components(spark.createDataFrame(edges + [(5, 5)], "u long, v long").repartition(7)).collect()
+    got = {r.node: r.root for r in found}
+    assert len(got) == len(found) and got == {n: r for n, r in union_find(edges).items() if n != r}
+
+
+def test_discarded_tables_are_gone(spark):
+    table = common.stored(spark.range(3), "some")
+    path = table.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert os.path.exists(path)
+    common.discard(table, spark.range(2))
+    assert not os.path.exists(path)
+
+
+def test_clusters_need_a_shared_folder():
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host", "getCheckpointDir": lambda self=None: None})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
 
 
 def test_no_edges(spark):

@@ -2,14 +2,25 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from stratalog.llm import lines as L
 from tests.llm.test_common import union_find
 
 
+def row_hash(i, t):
+    """As Spark's xxhash64 of a long and a string: nulls leave the seed as it is."""
+    seed = 42
+    if i is not None:
+        seed = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed)
+    if t is not None:
+        seed = xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
 def brute(rows):
-    """Removed lines by comparing every two lines."""
-    lines = [(i, no, s) for i, t in rows if i is not None for no, s in enumerate(L.normal_lines(t or "")) if len(s) >= L.LEAST_CHARS]
+    """Removed lines, by (id is null, id, row hash), from comparing every two lines."""
+    lines = [((i is None, i, row_hash(i, t)), no, s) for i, t in rows for no, s in enumerate(L.normal_lines(t or "")) if s]
     texts = sorted({s for _, _, s in lines})
     sets = {s: L.shingles(s) for s in texts}
     edges = [(a, b) for k, a in enumerate(texts) for b in texts[:k] if len(sets[a] & sets[b]) >= L.SIMILARITY * len(sets[a] | sets[b])]
@@ -30,25 +41,40 @@ def test_report(make, odd_rows, corpus):
     got = L.dedup_report(make(rows)).collect()
     want = brute(rows)
     assert len(got) == len(rows) and sum(map(len, want.values())) > 40
-    for r in got:
-        gone = want.get(r.doc_id, []) if r.doc_id is not None else []
-        assert (r.n_removed, r.removed) == (len(gone), ",".join(map(str, gone))), r
+    found = sorted((str(r.doc_id), r.n_lines, r.n_removed, r.removed) for r in got)
+    gone = [(i, t, want.get((i is None, i, row_hash(i, t)), [])) for i, t in rows]
+    assert found == sorted((str(i), 0 if t is None else t.count("\n") + 1, len(g), ",".join(map(str, g))) for i, t, g in gone)
     assert {r.n_lines for r in got if r.doc_id == 2} == {0} and {r.n_lines for r in got if r.doc_id == 3} == {1}
     assert L.dedup_report(make([])).count() == 0
 
 
 def test_cleaned_documents(make, corpus, odd_rows):
-    rows = [(100 + i, t) for i, t in corpus] + [r for r in odd_rows if r[0] is None or r[0] in (2, 3)]
+    rows = [(100 + i, t) for i, t in corpus] + [r for r in odd_rows if len(r[1] or "") < 10_000]
     gone = brute(rows)
-    want = {}
+    want = []
     for i, t in rows:
-        if i is not None:
-            left = t if t is None or i not in gone else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in gone[i])
-            if i not in gone or left.strip():
-                want[i] = left
+        g = gone.get((i is None, i, row_hash(i, t)))
+        left = t if not g else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in g)
+        if not g or left.strip():
+            want.append((i, left))
+    got = L.without_repeats(make(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str) and all(r.removed == "x" for r in got)
+
+
+def test_no_unique_line_is_lost(make):
+    """Repeated ids with equal, unlike and null texts: every line that goes stays somewhere."""
+    shared = "a line that stands in more than one row of the table"
+    rows = [(3, shared), (5, f"{shared}\nonly in row A, at its second place"), (5, f"only in row B, at its first place\n{shared}"),
+            (5, f"only in row B, at its first place\n{shared}"), (5, None), (None, shared), (None, f"{shared}\nno id, but own text"), (None, None),
+            (7, "Of.\n\n}\n\nown"), (8, "of.\n}\nmine")]
     got = L.without_repeats(make(rows)).collect()
-    assert {r.doc_id: r.text for r in got if r.doc_id is not None} == want
-    assert sum(r.doc_id is None for r in got) == 2 and all(r.removed == "x" for r in got)
+    lines = lambda texts: {s for t in texts for s in L.normal_lines(t or "")}
+    assert lines(r.text for r in got) == lines(t for _, t in rows)
+    texts = sorted(str(r.text) for r in got)
+    assert texts == sorted([
+        shared, "only in row A, at its second place", "only in row B, at its first place", "only in row B, at its first place",
+        "None", "no id, but own text", "None", "Of.\n\n}\n\nown", "mine",
+    ])
 
 
 def test_recall_of_bands():
@@ -116,12 +142,12 @@ def test_hot_keys(make, monkeypatch):
     loose = [template + word(rng.choice([8, 20, 30, 45])) for _ in range(150)]
     rows = list(enumerate(near + loose + [s[:-2] + "zz" for s in loose[:40]]))
     got = {r.doc_id: r.removed for r in L.dedup_report(make(rows)).collect() if r.removed}
-    want = {i: ",".join(map(str, g)) for i, g in brute(rows).items()}
+    want = {i: ",".join(map(str, g)) for (_, i, _), g in brute(rows).items()}
     assert got == want and len(want) > 170
     spark = make(rows).sparkSession
     for texts, pairs in ((near, False), (loose, True)):
         ids = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
-        links, units = L.hot_links(ids.selectExpr("7L AS key", "line"), ids)
+        links, units, _ = L.hot_links(ids.selectExpr("7L AS key", "line"), ids)
         edges = {(r.u, r.v) for r in links.collect()}
         held = {}
         for r in units.collect():

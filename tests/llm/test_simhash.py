@@ -7,6 +7,7 @@ import xxhash
 
 from stratalog.llm import simhash as S
 from tests.llm.test_common import union_find
+from tests.llm.test_lines import row_hash
 
 
 def by_definition(text):
@@ -80,8 +81,25 @@ def test_rows(make, odd_rows, corpus):
 
 
 def test_one_of_each_stays(make, odd_rows):
-    kept = S.keep_one(make(odd_rows)).collect()
-    named = sorted(r.doc_id for r in kept if r.doc_id is not None)
-    want = sorted({c for i, _, c in brute([r for r in odd_rows if len(r[1] or "") < 10_000]) if c is not None} | {6})
-    assert named == want and sum(r.doc_id is None for r in kept) == 2
-    assert all(r.nth == "x" for r in kept)
+    rows = [r for r in odd_rows if len(r[1] or "") < 10_000] + [(None, "same"), (None, "all alone and without id"), (None, "all alone and without id")]
+    kept = S.keep_one(make(rows)).collect()
+    fps = {t: by_definition(t) for _, t in rows}
+    root = union_find([(a, b) for a in fps.values() for b in fps.values() if a > b and bin(a ^ b).count("1") <= 3])
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(root.get(fps[t], fps[t]), []).append((i is None, i or 0, row_hash(i, t), t))
+    assert sorted((r.doc_id is None, r.doc_id or 0, row_hash(r.doc_id, r.text), r.text) for r in kept) == sorted(min(g) for g in groups.values())
+    assert all(r.nth == "x" for r in kept) and {(r.doc_id, r.text) for r in kept} >= {(5, "same"), (5, "other text under one id")}
+
+
+def test_large_buckets(monkeypatch):
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    for place in range(4):
+        low = [48 - 16 * ((place + k) % 4) for k in (2, 3)]
+        members = {base ^ (rng.getrandbits(16) << low[0]) ^ (rng.getrandbits(16) << low[1]) for _ in range(300)}
+        members |= {m ^ (1 << low[0] + rng.randrange(16)) for m in list(members)[:100]}
+        members = np.array(sorted(members), np.uint64)
+        monkeypatch.setattr(S, "LARGE_BUCKET", 10)
+        parts = union_find([(int(a), int(b)) for a, b in S.bucket_links(place << 28, members)])
+        assert parts == union_find([(int(a), int(b)) for a, b in S.spanning_links(members)]) and parts
