@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -18,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import free_name, map_batches
+from stratalog.llm.common import discard, free_name, map_batches, stored
 
 #: Words of a window, share of hit words that contaminates, words of a shard's index, suffix
 #: sampling step, and benchmark bytes that one broadcast block may hold.
-WINDOW, SHARE, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 13, 20, 2_000_000, 8, 32_000_000
+WINDOW, SHARE, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 13, 20, 2_000_000, 8, 8_000_000
 
 #: A word before A-Z become lower case.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -38,27 +40,28 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, as symbol rows of equal length per group."""
+    """The windows of a block of benchmark items, as right-aligned rows of symbols."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                owners.setdefault(tuple(ids[i : i + n]), set()).add(item)
-        self.items = sorted({i for s in owners.values() for i in s})
+        self.items = sorted({item for item, _ in items})
         at = {item: k for k, item in enumerate(self.items)}
-        self.windows = sorted(owners, key=len)
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.symbols = np.zeros((len(self.windows), window), np.int64)
-        for k, w in enumerate(self.windows):
-            self.symbols[k, window - len(w) :] = w
-        owned = [[at[i] for i in owners[w]] for w in self.windows]
-        self.owner_start = np.concatenate([[0], np.cumsum([len(o) for o in owned])]).astype(np.int64)
-        self.owner = np.array([x for o in owned for x in o], np.int64)
-        self.shortest = int(self.lengths.min()) if len(self.windows) else 0
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for item, text in items:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
+            if len(ids):
+                ids = np.concatenate([np.zeros(max(0, window - len(ids)), np.int32), ids])
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+                owner.append(np.full(len(rows[-1]), at[item]))
+        flat = np.concatenate(rows)
+        # equal rows become one, by their bytes
+        flat, back = np.unique(flat.view(np.dtype((np.void, 4 * window))).ravel(), return_inverse=True)
+        self.symbols = flat.view(np.int32).reshape(-1, window)
+        self.lengths = (self.symbols > 0).sum(1)
+        owned = np.unique(back * len(self.items) + np.concatenate(owner))
+        self.owner = owned % max(1, len(self.items))
+        self.owner_start = np.searchsorted(owned, np.arange(len(flat) + 1) * len(self.items))
+        self.shortest = int(self.lengths.min()) if len(flat) else 0
 
     def owners(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in windows, item) for every item of each window."""
@@ -218,8 +221,22 @@ def removal_spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     return [(found[a][0], found[b - 1][1]) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
-    """The benchmark in blocks of at most about block_bytes, each small enough to broadcast.
+class Block:
+    """The items of a block, as they are broadcast; a Python worker makes phrases of them once."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.items, self.window = items, window
+
+    def __getstate__(self):
+        return {"items": self.items, "window": self.window}
+
+    @cached_property
+    def phrases(self) -> Phrases:
+        return Phrases(self.items, self.window)
+
+
+def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Block]:
+    """The benchmark in blocks of at most about block_bytes, one at a time.
 
     A benchmark is a stated query set; its size is measured before anything is collected.
     Rows without item_id or text have no windows.
@@ -227,11 +244,9 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[P
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).dropna().distinct()
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
-    blocks = []
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else rows
-        blocks.append(Phrases(sorted((r[0], r[1]) for r in part.collect()), window))
-    return blocks
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
+        yield Block(sorted((r[0], r[1]) for r in part.toLocalIterator()), window)
 
 
 def _shards(batches, text_at: int):
@@ -250,7 +265,8 @@ def _shards(batches, text_at: int):
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with three more columns, by one narrow pass for each block of the benchmark: the
-    number of words, the hit ones (a bit per word, null for none), and the items."""
+    number of words, the hit ones (a bit per word, null for none), and the items. Between two
+    passes lies a table, so that neither the driver nor a task holds two blocks."""
     spark = docs.sparkSession
     out = docs.withColumns(
         {
@@ -261,12 +277,19 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     )
     names = out.columns
     text_at = names.index("text")
-    for phrases in phrase_blocks(benchmark, window, block_bytes):
-        shared = spark.sparkContext.broadcast(phrases)
+    shared, passed = None, None
+    for block in phrase_blocks(benchmark, window, block_bytes):
+        if shared:
+            out = stored(out, "marked")
+            shared.destroy()
+            if passed:
+                discard(passed)
+            passed = out
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             for shard in _shards(batches, text_at):
-                n, masks, items = scan_shard(shard.column(text_at).to_pylist(), shared.value)
+                n, masks, items = scan_shard(shard.column(text_at).to_pylist(), shared.value.phrases)
                 before, had = shard.column(len(names) - 2).to_pylist(), shard.column(len(names) - 1).to_pylist()
                 bits = []
                 for mask, old in zip(masks, before):
@@ -320,8 +343,9 @@ def find_contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones; where fewer words are hit, without their spans.
 
-    All columns are kept; text is cut and n_chars, where there is one, follows. Null texts
-    stay null.
+    All columns are kept; text is cut and n_chars, where there is one, follows. Null and empty
+    texts stay as they are, and so do all rows where the benchmark is empty. Repeated rows and
+    ids are judged row by row; an empty table gives none.
     """
     names, text_at = docs.columns, docs.columns.index("text")
 

@@ -94,3 +94,15 @@ def test_removal(spark, make):
 def test_empty_tables(spark, make):
     assert D.find_contamination(make([]), benchmark(spark, ITEMS)).count() == 0
     assert D.find_contamination(make([(1, PASSAGE)]), benchmark(spark, [])).first().n_hit == 0
+
+
+def test_a_large_benchmark_is_a_small_broadcast():
+    """What is sent is the texts of a block, not its windows."""
+    import pickle
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(words, k=500))) for i in range(600)]
+    size = sum(len(t) for _, t in items)
+    block = D.Block(items, 13)
+    assert len(block.phrases.symbols) > 250_000 and len(pickle.dumps(block)) < 1.2 * size + 20_000
