@@ -32,7 +32,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*[0-9]")
+# a run of digits is entered once, at its start, so that a long one costs its length
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++\.[0-9.]+")
 _GROUP = re.compile(r"[0-9]+")
 
 

@@ -23,9 +23,13 @@ _ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
+#: Characters of a line that may stand between a sensitive word and what it makes sensitive,
+#: and characters that may stand between a reported string and the one directly after it.
+NEAR, BETWEEN = 40, 80
+
 # Words that make a place sensitive, and identifiers that code is full of.
 _SENSITIVE = re.compile(
-    r"(?ai:key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|cookie)[^\n]{0,40}$"
+    r"(?ai:key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|cookie)[^\n]{0,%d}$" % NEAR
 )
 _SENSITIVE_HINT = re.compile(rb"key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|cookie")
 _IDENTIFIERS = (
@@ -41,8 +45,8 @@ _IDENTIFIERS = (
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: What may stand between a string and the one that directly follows it, and the short last
 #: line of a key.
-_BETWEEN = re.compile(r"(?:\\[nr]|[\s\"'`\\+.,:;|>#*]){0,80}")
-_LAST_LINE = re.compile(r"\s{1,80}([A-Za-z0-9+/=]{1,15})\s{1,80}-----END")
+_BETWEEN = re.compile(r"(?:\\[nr]|[\s\"'`\\+.,:;|>#*]){0,%d}" % BETWEEN)
+_LAST_LINE = re.compile(r"\s{1,%d}([A-Za-z0-9+/=]{1,15})\s{1,%d}-----END" % (BETWEEN, BETWEEN))
 
 #: Characters on each side that count as surroundings, and the least marginal bytes per
 #: character of a string that is reported: LEAST_NOVELTY, or this share of what random text
@@ -114,20 +118,24 @@ def novel_secrets(text: str, low: bytes, plain: list[tuple[str, int, int]]) -> l
     if not _SENSITIVE_HINT.search(low):
         return []
     found = []
-    taken = sorted((a, b) for _, a, b in plain)
+    # plain spans by start; of those that start before a string's end, the greatest end
+    taken, taken_at, taken_end = sorted((a, b) for _, a, b in plain), 0, 0
     ends, at, before = sorted(b for k, _, b in plain if k == "assign"), 0, -1
     for m in _CANDIDATE.finditer(text):
         s, a, b = m.group(), m.start(), m.end()
+        while taken_at < len(taken) and taken[taken_at][0] < b:
+            taken_end = max(taken_end, taken[taken_at][1])
+            taken_at += 1
         if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
             continue
-        if any(x < b and a < y for x, y in taken):
+        if a < taken_end:
             continue
         # the reported string before it, if any, carries its place on
         while at < len(ends) and ends[at] <= a:
             before = max(before, ends[at])
             at += 1
-        follows = before >= 0 and a - before <= 80 and _BETWEEN.fullmatch(text, before, a)
-        if not follows and not _SENSITIVE.search(text, max(0, a - 64), a):
+        follows = before >= 0 and a - before <= BETWEEN and _BETWEEN.fullmatch(text, before, a)
+        if not follows and not _SENSITIVE.search(text, max(0, a - NEAR - 24), a):
             continue
         around = text[max(0, a - CONTEXT_CHARS) : a] + "\n" + text[b : b + CONTEXT_CHARS]
         if is_novel(s, around):
