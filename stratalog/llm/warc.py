@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import fresh_dir, map_batches
 
-#: Compressed bytes at which a file is closed, and the date that records carry.
-ROLL_BYTES, WARC_DATE = 16_000_000, "2024-01-01T00:00:00Z"
+#: Compressed bytes at which a file is closed, payload bytes of a task's range, tasks at most,
+#: and the date that records carry.
+ROLL_BYTES, RANGE_BYTES, MOST_RANGES, WARC_DATE = 16_000_000, 16_000_000, 20_000, "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("00000000-0000-0000-0000-000000000000")
 _MANIFEST = "file string, n_records long, n_bytes long, sha256 string, first_page_id long, last_page_id long"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -145,12 +146,16 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, m
     of min_revisit_bytes or more, that with the largest page_id is the response; should rows
     repeat that id, each is one. Rows without page_id are always responses. An empty table gives an archive
     without files. Other columns are not read. folder: a URI that every executor can write.
+    Records have the same order and bytes in every run; where a range, and so a file, ends
+    follows Spark's sample of the page ids.
     """
     spark = pages.sparkSession
     fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)
-    ranged = plan_records(pages, min_revisit_bytes).repartitionByRange("page_id")
-    ranged = ranged.sortWithinPartitions("page_id", F.col("refers_to").isNull(), "url")
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n = min(MOST_RANGES, size // RANGE_BYTES + 1)
+    ranged = plan_records(pages, min_revisit_bytes).repartitionByRange(n, "page_id")
+    ranged = ranged.sortWithinPartitions("page_id", F.col("refers_to").isNull(), "url", "digest")
 
     def write(batches):
         from pyspark import TaskContext
@@ -211,8 +216,10 @@ def parse_record(raw: bytes) -> tuple:
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the files in the archive's manifest; files are read in streams."""
+    """One row per record of the files in the archive's manifest; files are read in streams, by
+    as many tasks as there are files."""
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+    n = min(MOST_RANGES, max(1, manifest.count()))
 
     def read(batches):
         fs, path = _file_system(folder)
@@ -227,7 +234,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                             rows = []
                 yield _batch(rows, _READ)
 
-    return map_batches(manifest.select("file").repartition("file"), read, _READ)
+    return map_batches(manifest.select("file").repartitionByRange(n, "file"), read, _READ)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
