@@ -1,7 +1,9 @@
 """Training sequences of related documents, by a sharded BM25 index over each task's blocks.
 
-A shard is a block of consecutive documents of a task, so nothing is shuffled and a task
-holds one block at a time. The first unused document of a shard seeds a window; its most
+Documents are routed to shards by content: range-sorted by the least hash of their long
+words, so that documents with the same rare words come to lie side by side, wherever they
+were stored. A shard is a block of documents of a task, which holds one block at a time; a
+route that very many documents share is a range of several tasks. The first unused document of a shard seeds a window; its most
 telling terms query the shard's inverted index, and the unused neighbours that it returns
 fill the window, the last one being cut. The rest of a cut document seeds the next window.
 """
@@ -19,8 +21,9 @@ from stratalog.llm.common import map_batches
 from stratalog.llm.tokens import chunk_tokenizer, vocabulary_path
 
 #: Tokens of a sequence, id that ends a document, tokens of a shard, terms of a query,
-#: neighbours that one query returns, and the usual BM25 parameters.
-SEQUENCE, END_ID, SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS, K1, B = 4096, 2, 4_000_000, 24, 32, 1.2, 0.75
+#: neighbours that one query returns, the usual BM25 parameters, and characters of a word that
+#: can route its document.
+SEQUENCE, END_ID, SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS, K1, B, LONG_WORD = 4096, 2, 4_000_000, 24, 32, 1.2, 0.75, 7
 
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -138,13 +141,24 @@ class Packer:
         self.window, self.room = [], SEQUENCE
 
 
+def routed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ranges of the least hash of the words of LONG_WORD characters or more;
+    without any, of all words."""
+    words = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
+    least = lambda some: F.array_min(F.transform(some, lambda w: F.xxhash64(w)))
+    route = F.coalesce(least(F.filter(words, lambda w: F.length(w) >= LONG_WORD)), least(words))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", route.alias("route"))
+    order = ["route", "doc_id", F.xxhash64("text")]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece of docs(doc_id, text): where it lies in its document and sequence.
 
     A document is its token ids and an end id, so null and empty texts are one token. All
     sequences have SEQUENCE tokens but the last few of a task, which have powers of two.
     sequence_id holds the task's number and a count; a task that runs again makes the same
-    rows from the same split. Repeated rows, null and equal ids are packed as given; an empty
+    rows, since its range is sorted. Repeated rows, null and equal ids are packed as given; an empty
     table gives none; other columns are not read.
     """
     vocabulary = vocabulary or vocabulary_path()
@@ -179,4 +193,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHA
         tokenizer.forget()
         yield rows()
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _PIECES)
+    return map_batches(routed(docs), run, _PIECES)

@@ -55,7 +55,7 @@ def test_neighbours_share_terms():
 def test_like_documents_share_a_sequence(make):
     a, b = "volcano lava magma crater eruption ash", "violin sonata cello quartet fugue opus"
     rows = [(i, ((a if i % 2 else b) + " ") * 150) for i in range(16)]
-    got = P.pack(make(rows).coalesce(1)).collect()
+    got = P.pack(make(rows).repartition(4)).collect()
     kinds = defaultdict(set)
     for r in got:
         if r.length > 700:
@@ -73,3 +73,13 @@ def test_short_neighbours_are_used_up():
     packer.finish()
     kinds = [r[0] % 2 for r in packer.rows]
     assert kinds[:80] == [0] * 80 and kinds[80:160] == [1] * 80
+
+
+def test_routes(make, odd_rows):
+    """Documents with equal long words lie side by side, whatever partition they were in."""
+    rng = np.random.default_rng(1)
+    kinds = ["volcano magma", "violins sonatas", "harbour sailors", "glacier moraine"]
+    rows = [(i, f"{kinds[i % 4]} of {rng.integers(99)}") for i in range(80)] + odd_rows
+    got = [r.doc_id for r in P.routed(make(rows).repartition(7)).collect()]
+    places = [[k for k, i in enumerate(got) if i is not None and i < 80 and i % 4 == kind and i > 8] for kind in range(4)]
+    assert len(got) == len(rows) and all(p[-1] - p[0] <= len(p) + 3 for p in places)
