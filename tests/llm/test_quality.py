@@ -52,3 +52,19 @@ def test_odd_rows(spark, make, odd_rows):
     assert all(r.score == 0 and r.predicted == 0 for r in got if r.doc_id in (1002, 1003))
     assert Q.score_quality(make([]), labels).count() == 0
     assert all(r.score == 0 for r in Q.score_quality(docs, labels.limit(0)).collect())
+
+
+def test_scores_against_loops(spark, make):
+    """Every labelled vector compared with every document, one number at a time."""
+    rows = texts(120)
+    docs, labels = frames(spark, make, rows)
+    model = Q.train(docs, labels)
+    assert len(model.labels) == sum(i % 2 == 0 and not held_out(i) for i, _, _ in rows)
+    got = {r.doc_id: r.score for r in Q.score_quality(docs, labels).collect()}
+    for i, t, _ in rows[::7]:
+        v = [float(x) for x in model.latent(Q.term_vector(t)[None])[0]]
+        cosine = [sum(a * float(b) for a, b in zip(v, w)) for w in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[: Q.NEIGHBOURS]
+        votes = [min(max(cosine[k], 0), 1) ** Q.SHARPNESS for k in near]
+        want = sum(x * model.labels[k] for x, k in zip(votes, near)) / sum(votes)
+        assert abs(got[i] - want) < 1e-4, i
