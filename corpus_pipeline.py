@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out, in five stages.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the
-last return the columns of documents.
+last return the columns of documents. Nulls, empty texts, repeated and null ids, empty tables
+and further columns are handled as the operator that a stage calls says.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm.common import stored
+from stratalog.llm.common import discard, stored
 from stratalog.llm.decontaminate import decontaminate
 from stratalog.llm.lines import without_repeats
 from stratalog.llm.packing import pack
@@ -58,8 +59,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps goes through a table in the shared folder."""
+    """All stages over documents; what each keeps goes through a table in the shared folder,
+    which goes when the next stage has its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
