@@ -142,11 +142,10 @@ class Packer:
 
 
 def routed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) in ranges of the least hash of the words of LONG_WORD characters or more;
-    without any, of all words."""
-    words = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
-    least = lambda some: F.array_min(F.transform(some, lambda w: F.xxhash64(w)))
-    route = F.coalesce(least(F.filter(words, lambda w: F.length(w) >= LONG_WORD)), least(words))
+    """(doc_id, text) in ranges of the least hash of the words, cut at spaces, of LONG_WORD
+    characters or more; without any, of the text."""
+    words = F.filter(F.split("text", " "), lambda w: F.length(w) >= LONG_WORD)
+    route = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
     keyed = docs.select(F.col("doc_id").cast("long"), "text", route.alias("route"))
     order = ["route", "doc_id", F.xxhash64("text")]
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
