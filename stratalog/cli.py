@@ -11,9 +11,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.config import load_config
-from stratalog.operators.views import box_by_class, histogram, score_series
+from stratalog.operators.views import box_by_class, count_and_score, histogram, score_series
 from stratalog.plans.pipeline import BatchPipeline
 from stratalog.sources.readers import read_results
+from stratalog.sources.writers import write_stage
 
 
 def setup_logging(level: str = "INFO", log_file: str | None = None) -> None:
@@ -37,6 +38,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("-v", "--verbose", action="store_true")
     show = commands.add_parser("visualize")
     show.add_argument("results")
+    show.add_argument("--format", choices=("table", "csv", "json", "parquet"), default="table", help="files go to RESULTS/plots")
+    show.add_argument("--interactive", action="store_true", help="whole tables instead of their first rows")
     args = parser.parse_args(argv)
     setup_logging("DEBUG" if getattr(args, "verbose", False) else "INFO")
     try:
@@ -48,9 +51,15 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(summary, indent=2, default=str))
         else:
             anomalies = read_results(_session(), args.results).withColumn("IsAnomaly", F.col("IsAnomaly").cast("boolean"))
-            for title, data in (("scores", score_series(anomalies)), ("histogram", histogram(anomalies, "AnomalyScore")), ("box", box_by_class(anomalies))):
+            plots = {"scores": score_series(anomalies), "histogram": histogram(anomalies, "AnomalyScore"), "box": box_by_class(anomalies)}
+            if "LogCount" in anomalies.columns:
+                plots["count_and_score"] = count_and_score(anomalies)
+            for title, data in plots.items():
+                if args.format != "table":
+                    print(write_stage(data, f"{args.results}/plots", title, args.format, "overwrite"))
+                    continue
                 print(title)
-                data.show(50, truncate=False)
+                data.show(data.count() if args.interactive else 50, truncate=False)
     except Exception:
         logging.getLogger("stratalog").exception("failed")
         return 1

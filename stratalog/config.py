@@ -9,6 +9,7 @@ from typing import Any
 import yaml
 
 
+# The keys and defaults of the six sections are the public form of a config.
 @dataclass
 class DatasetConfig:
     type: str = "file"

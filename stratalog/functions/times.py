@@ -21,6 +21,10 @@ _FIELDS = {
 _IGNORED = {"a": f"(?:{'|'.join(d[:3] for d in _DAYS)})", "A": f"(?:{'|'.join(_DAYS)})", "%": "%"}
 
 
+#: Formats that are tried, in this order, for texts that are not ISO 8601 where none is set.
+INFERRED = tuple(f"{d}{t}" for d in ("%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y") for t in ("", " %H:%M:%S", " %H:%M:%S.%f"))
+
+
 def _layout(fmt: str) -> tuple[str, dict[str, int]]:
     """Java pattern of a format, and the group of each field."""
     pattern, groups, at = "", {}, 0
@@ -41,9 +45,9 @@ def _layout(fmt: str) -> tuple[str, dict[str, int]]:
 
 def parse_time(text: Column, fmt: str | None) -> Column:
     """text as TIMESTAMP_NTZ; null where it does not fit fmt, in which a year that is missing
-    is 1900. "UNIX" takes seconds since the epoch, in UTC; None takes ISO 8601."""
+    is 1900. "UNIX" takes seconds since the epoch, in UTC; None takes ISO 8601 and INFERRED."""
     if fmt is None:
-        return text.try_cast("timestamp_ntz")
+        return F.coalesce(text.try_cast("timestamp_ntz"), *(parse_time(text, f) for f in INFERRED))
     if fmt.upper() == "UNIX":
         micros = (text.try_cast("double") * 1_000_000).cast("long")
         return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))

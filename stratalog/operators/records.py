@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,5 +79,28 @@ def forwarded(rows: DataFrame) -> DataFrame:
 
 
 def ingest_status(parsed: Column, template: Column) -> Column:
-    """skipped where a line did not parse, no_template where none was found, else ok."""
+    """As the ingest service answers: skipped where a line did not parse, no_template where none was found, else ok."""
     return F.when(~parsed, "skipped").when(template.isNull(), "no_template").otherwise("ok")
+
+
+def config_of_stream(stream: str, names: Iterable[str]) -> str:
+    """The config that a stream goes by: the one of its name, else the first by name, in any
+    case, that begins with it. An unknown stream is an error."""
+    names = sorted(names)
+    if stream in names:
+        return stream
+    found = next((n for n in names if n.lower().startswith(stream.lower())), None)
+    if not stream or found is None:
+        raise LookupError(f"Unknown datastream {stream!r}")
+    return found
+
+
+def routed_requests(requests: DataFrame, names: Iterable[str]) -> DataFrame:
+    """requests with config, by the rule of config_of_stream, null where the stream is unknown.
+    Streams are matched with the few configs once each, by a broadcast table."""
+    known = requests.sparkSession.createDataFrame([(n,) for n in sorted(names)], "config string")
+    streams = requests.select("datastream").distinct().where("datastream <> ''")
+    begins = F.startswith(F.lower("config"), F.lower("datastream"))
+    best = F.min(F.struct((F.col("config") != F.col("datastream")).alias("other"), "config"))
+    found = streams.join(F.broadcast(known), begins).groupBy("datastream").agg(best["config"].alias("config"))
+    return requests.join(found, "datastream", "left")

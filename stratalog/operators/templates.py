@@ -119,13 +119,18 @@ class TemplateTree:
         self.templates.move_to_end(best)
         return best, " ".join(self.templates[best][1])
 
-    def parameters(self, template: str, raw: list[str]) -> list[str]:
-        """The raw tokens that stand where the template has a wildcard or a mask."""
-        prefix, suffix = self.config.mask_prefix, self.config.mask_suffix
-        words = template.split(" ")
-        if len(words) != len(raw):
-            return []
-        return [r for w, r in zip(words, raw) if w == WILDCARD or prefix in w and suffix in w]
+
+def parameters(content: Column, template: Column, config: ParsingConfig) -> Column:
+    """What stands in a message, its words one blank apart, for each wildcard or mask of its
+    template; none where the rest of the template does not fit."""
+    mark = "|".join(f"\\Q{a}\\E{b}" for a, b in ((WILDCARD, ""), (config.mask_prefix, f".+?\\Q{config.mask_suffix}\\E")))
+    fixed = F.split(template, mark)
+    pattern = F.concat(F.lit(r"(?s)\A\Q"), F.array_join(fixed, r"\E(.+?)\Q"), F.lit(r"\E\z"))
+    groups = F.transform(F.sequence(F.lit(1), F.size(fixed) - 1), lambda i: F.concat(F.lit("$"), i.cast("string")))
+    words = F.array_join(tokens(content, config), " ")
+    found = F.split(F.regexp_replace(words, pattern, F.array_join(groups, "\u0001")), "\u0001")
+    none = F.array().cast("array<string>")
+    return F.when((F.size(fixed) > 1) & F.regexp(words, pattern), found).otherwise(none)
 
 
 def mined_templates(rows: DataFrame, config: ParsingConfig, stream: str | None = None) -> DataFrame:
@@ -136,30 +141,29 @@ def mined_templates(rows: DataFrame, config: ParsingConfig, stream: str | None =
     was when the row was seen. For streams too long for that, see distinct_templates.
     """
     rows = _checked(rows)
-    rows = rows.withColumns({"_words": tokens(masked(F.col("Content"), config), config), "_raw": tokens(F.col("Content"), config)})
+    rows = rows.withColumn("_words", tokens(masked(F.col("Content"), config), config))
     schema = T.StructType(
         [f for f in rows.schema.fields if not f.name.startswith("_")]
-        + [T.StructField("EventTemplate", T.StringType()), T.StructField("TemplateId", T.LongType()), T.StructField("Parameters", T.ArrayType(T.StringType()))]
+        + [T.StructField("EventTemplate", T.StringType()), T.StructField("TemplateId", T.LongType())]
     )
 
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, at = None, None
         for batch in batches:
-            ids, names, parameters = [], [], []
+            ids, names = [], []
             keys = batch[stream].tolist() if stream else [None] * len(batch)
-            for key, words, raw in zip(keys, batch["_words"], batch["_raw"]):
+            for key, words in zip(keys, batch["_words"]):
                 if tree is None or key != at:
                     tree, at = TemplateTree(config), key
                 i, name = tree.add(list(words))
                 ids.append(i)
                 names.append(name)
-                parameters.append(tree.parameters(name, list(raw)))
-            out = batch.drop(columns=["_words", "_raw"])
-            yield out.assign(EventTemplate=names, TemplateId=ids, Parameters=parameters)
+            yield batch.drop(columns=["_words"]).assign(EventTemplate=names, TemplateId=ids)
 
     keys = [stream] if stream else []
     placed = rows.repartition(*keys) if keys else rows.repartition(1)
-    return placed.sortWithinPartitions(*keys, *_order(rows)).mapInPandas(mine, schema)
+    mined = placed.sortWithinPartitions(*keys, *_order(rows)).mapInPandas(mine, schema)
+    return mined.withColumn("Parameters", parameters(F.col("Content"), F.col("EventTemplate"), config))
 
 
 def distinct_templates(rows: DataFrame, config: ParsingConfig, stream: str | None = None) -> DataFrame:
@@ -177,7 +181,7 @@ def distinct_templates(rows: DataFrame, config: ParsingConfig, stream: str | Non
     last = mined.groupBy(*keys, "TemplateId").agg(F.max_by("EventTemplate", F.struct(*order)).alias("EventTemplate"))
     by_message = mined.select(*keys, F.col("Content").alias("_masked"), "TemplateId").join(last, [*keys, "TemplateId"])
     joined = rows.join(by_message, [*keys, "_masked"])
-    out = joined.withColumn("Parameters", F.array().cast("array<string>"))
+    out = joined.withColumn("Parameters", parameters(F.col("Content"), F.col("EventTemplate"), config))
     return out.select(*[c for c in rows.columns if c != "_masked"], "EventTemplate", "TemplateId", "Parameters")
 
 

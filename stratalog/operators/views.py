@@ -68,15 +68,24 @@ def score_series(anomalies: DataFrame) -> DataFrame:
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """(bin from 0, low, high, n) of equal bins between the extremes; the last is closed."""
-    ends = rows.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
+    """(bin from 0, low, high, n, mean) of equal bins between the extremes, empty ones too; the
+    last is closed. mean is that of all values."""
+    value = F.col(column).cast("double")
+    ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("mean")).where("_lo IS NOT NULL")
     width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col(column) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
-    binned = rows.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).select(at.cast("int").alias("bin"), "_lo", width.alias("_w"))
-    return binned.groupBy("bin").agg(
-        F.min(F.col("_lo") + F.col("bin") * F.col("_w")).alias("low"),
-        F.min(F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("high"), F.count("*").alias("n"),
-    )
+    at = F.when(width > 0, F.least(F.floor((value - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+    binned = rows.where(value.isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(ends))
+    low = F.col("_lo") + F.col("bin") * width
+    return every.join(F.broadcast(binned), "bin", "left").select(
+        "bin", low.alias("low"), (low + width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"), "mean"
+    )
+
+
+def count_and_score(anomalies: DataFrame) -> DataFrame:
+    """(LogCount, AnomalyScore, IsAnomaly) of each window: the dashboard's volume-against-score
+    panel."""
+    return anomalies.select("Window", "LogCount", "AnomalyScore", "IsAnomaly")
 
 
 def box_by_class(anomalies: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.config import DatasetConfig
@@ -14,11 +14,20 @@ from stratalog.functions.patterns import strip
 from stratalog.operators.preprocess import with_line_numbers
 
 
+def _decoded(value: Column) -> Column:
+    """UTF-8 bytes as text without those that are not UTF-8, and without carriage returns at the
+    end. A replacement character that was written stays: it is put aside meanwhile."""
+    aside = F.lit("\uFDD0")
+    broken = F.replace(F.make_valid_utf8(F.replace(value, F.lit("\uFFFD"), aside)), F.lit("\uFFFD"), F.lit(""))
+    text = F.when(F.is_valid_utf8(value), value).otherwise(F.replace(broken, aside, F.lit("\uFFFD")))
+    return F.regexp_replace(text, "\\r+$", "")
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(raw_log, line_no) of UTF-8 lines that are not blank; bytes that are not UTF-8 are left
     out, line numbers count from 1 over what is left."""
     lines = with_line_numbers(spark.read.text(path).where(F.length(strip(F.col("value"))) > 0))
-    return lines.select(F.regexp_replace("value", "\uFFFD|\\r+$", "").alias("raw_log"), "line_no")
+    return lines.select(_decoded(F.col("value")).alias("raw_log"), "line_no")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +40,10 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A document that is an array of rows."""
-    return spark.read.option("multiLine", True).json(path)
+    """JSON lines, which are read split by split, or a document that is an array of rows, which
+    one task reads: the first character that is not blank tells."""
+    first = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).limit(1).select(strip(F.col("value"))).first()
+    return spark.read.option("multiLine", bool(first) and first[0].startswith("[")).json(path)
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -74,7 +85,7 @@ def stream_text(spark: SparkSession, folder: str, files_per_batch: int | None =
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.text(folder).where(F.length("value") > 0)
-    return lines.select(F.regexp_replace("value", "\uFFFD|\\r+$", "").alias("raw_log"))
+    return lines.select(_decoded(F.col("value")).alias("raw_log"))
 
 
 def stream_json_lines(spark: SparkSession, host: str, port: int) -> DataFrame:

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.operators.records import flat_for_csv
 
 FORMATS = ("parquet", "csv", "json")
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new, not yet existing folder below spark.checkpoint.dir, which the driver and all
+    executors see; only where all runs in one process may that setting be missing."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='stratalog-')}"
+    return f"{found.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def run_folder(directory: str, now: datetime | None = None) -> str:
     """The folder of one run, named by its time."""
     return f"{directory.rstrip('/')}/{(now or datetime.now()):%Y%m%d-%H%M%S}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -17,13 +18,16 @@ from stratalog.config import ParsingConfig, PipelineConfig, PreprocessingConfig
 from stratalog.functions.durations import positive_duration
 from stratalog.operators.matrix import event_counts
 from stratalog.operators.preprocess import parse_lines
-from stratalog.operators.templates import TemplateTree, extract_templates, masked, tokens
+from stratalog.operators.templates import TemplateTree, extract_templates, masked, parameters, tokens
 from stratalog.operators.windows import assign_windows, fixed_windows, window_table
 from stratalog.plans.pipeline import scored
 from stratalog.sources.readers import from_lines
 from stratalog.sources.writers import append_stage
 
 
+_log = logging.getLogger("stratalog")
+
+
 def parsed_stream(lines: DataFrame, config: PreprocessingConfig, clock: datetime | None = None) -> DataFrame:
     """Typed rows of a stream of raw_log; a stream has no line numbers, so they are null."""
     return parse_lines(lines.withColumn("line_no", F.lit(None).cast("long")), config, clock)
@@ -81,25 +85,24 @@ def mined_stream(rows: DataFrame, config: ParsingConfig, stream: str = "datastre
     stream, its templates being the query's checkpointed state."""
     content = F.col("Content")
     prepared = rows.where(content.isNotNull()).select(
-        F.col(stream).cast("string").alias("datastream"), "Timestamp", "Content",
-        tokens(masked(content, config), config).alias("_words"), tokens(content, config).alias("_raw"),
+        F.col(stream).cast("string").alias("datastream"), "Timestamp", "Content", tokens(masked(content, config), config).alias("_words"),
     )
 
     def mine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tree = pickle.loads(state.get[0]) if state.exists else TemplateTree(config)
         for batch in batches:
             batch = batch.sort_values("Timestamp", kind="stable")
-            ids, names, parameters = [], [], []
-            for words, raw in zip(batch["_words"], batch["_raw"]):
+            ids, names = [], []
+            for words in batch["_words"]:
                 i, name = tree.add(list(words))
                 ids.append(i)
                 names.append(name)
-                parameters.append(tree.parameters(name, list(raw)))
-            yield batch[["datastream", "Timestamp", "Content"]].assign(EventTemplate=names, TemplateId=ids, Parameters=parameters)
+            yield batch[["datastream", "Timestamp", "Content"]].assign(EventTemplate=names, TemplateId=ids)
         state.update((pickle.dumps(tree),))
 
-    schema = "datastream string, Timestamp timestamp_ntz, Content string, EventTemplate string, TemplateId long, Parameters array<string>"
-    return prepared.groupBy("datastream").applyInPandasWithState(mine, schema, "tree binary", "append", GroupStateTimeout.NoTimeout)
+    schema = "datastream string, Timestamp timestamp_ntz, Content string, EventTemplate string, TemplateId long"
+    mined = prepared.groupBy("datastream").applyInPandasWithState(mine, schema, "tree binary", "append", GroupStateTimeout.NoTimeout)
+    return mined.withColumn("Parameters", parameters(content, F.col("EventTemplate"), config))
 
 
 def start(counts: DataFrame, folder: str, checkpoint: str, stage: str = "event_matrix", once: bool = True) -> StreamingQuery:
@@ -174,6 +177,8 @@ class ChunkPipeline:
             rows = placed.where(F.col("Window") < F.lit(last)).drop("Window")
             if rows.isEmpty():
                 return {}, state
+        elif not state.chunks:
+            _log.warning("%s windows are cut at the ends of chunks", self.config.windowing.strategy)
         state.chunks += 1
         return self._finish(rows, state), state
 
