@@ -29,7 +29,9 @@ def to_java(pattern: str, anchored: bool = False) -> str:
     out = re.sub(r"(?<!\\)((?:\\\\)*)\[\[", r"\1[\\[", out)
     flags = "".join(f for f, bit in (("i", re.I), ("m", re.M), ("s", re.S), ("x", re.X)) if compiled.flags & bit)
     out = re.sub(r"\A\(\?[aiLmsux]+\)", "", out)
-    return f"(?dU{flags})" + (rf"\A(?:{out})" if anchored else out)
+    if anchored:  # a comment that ends the pattern ends before the bracket
+        out = rf"\A(?:{out}" + ("\n)" if "x" in flags else ")")
+    return f"(?dU{flags})" + out
 
 
 def _may_be_unmatched(parsed, inside: bool = False) -> set[int]:
@@ -58,13 +60,30 @@ def group_names(pattern: str) -> list[str]:
     return sorted(index, key=index.get)
 
 
-def named_groups(text: Column, pattern: str) -> dict[str, Column]:
-    """A column for each named group of a match at the start of text; null where unmatched."""
-    java, optional = to_java(pattern, anchored=True), _may_be_unmatched(P.parse(pattern))
+#: Separates groups while they are one text: not a character.
+_SEPARATOR = "\uFDD1"
+
+
+def match_groups(text: Column, pattern: str) -> Column:
+    """An array whose elements from 1 on are the named groups of a match at the start of text,
+    in order; of one element where there is none. The pattern runs once for all groups."""
+    java, index = to_java(pattern, anchored=True), re.compile(pattern).groupindex
+    numbers = [index[n] for n in group_names(pattern)]
+    each = F.array(F.lit(""), *(F.regexp_extract(text, java, i) for i in numbers))
+    one_by_one = F.when(matches(text, pattern), each).otherwise(F.array(F.lit("")))
+    if re.compile(pattern).flags & re.X:
+        return one_by_one
+    joined = F.regexp_replace(text, rf"{java}(?s:.*)\z", "".join(f"{_SEPARATOR}${i}" for i in numbers))
+    return F.when(F.contains(text, F.lit(_SEPARATOR)), one_by_one).otherwise(F.split(joined, _SEPARATOR))
+
+
+def named_groups(groups: Column, pattern: str) -> dict[str, Column]:
+    """A column for each named group of what match_groups gave; null where it is unmatched."""
+    optional, index = _may_be_unmatched(P.parse(pattern)), re.compile(pattern).groupindex
     out = {}
-    for name, i in re.compile(pattern).groupindex.items():
-        value = F.regexp_extract(text, java, i)
-        out[name] = F.nullif(value, F.lit("")) if i in optional else value
+    for at, name in enumerate(group_names(pattern), 1):
+        value = F.get(groups, F.lit(at))
+        out[name] = F.nullif(value, F.lit("")) if index[name] in optional else value
     return out
 
 

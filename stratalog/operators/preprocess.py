@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.config import PreprocessingConfig
-from stratalog.functions.patterns import group_names, matches, named_groups, strip
+from stratalog.functions.patterns import group_names, match_groups, named_groups, strip
 from stratalog.functions.times import parse_time
 
 
@@ -50,6 +50,12 @@ def parsed_columns(config: PreprocessingConfig) -> list[str]:
     return names + added
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row: filters that use it are not pushed below
+    it, where they would hold copies of its expression."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_lines(lines: DataFrame, config: PreprocessingConfig, clock: datetime | None = None) -> DataFrame:
     """Typed rows of lines(raw_log, line_no).
 
@@ -61,8 +67,9 @@ def parse_lines(lines: DataFrame, config: PreprocessingConfig, clock: datetime |
     if "raw_log" not in lines.columns:
         raise ValueError("Input DataFrame must have 'raw_log' column")
     text = strip(F.col("raw_log"))
-    rows = lines.withColumn("_text", text).where(F.length("_text") > 0)
-    hit, groups, names = matches(F.col("_text"), config.log_pattern), named_groups(F.col("_text"), config.log_pattern), parsed_columns(config)
+    rows = once(lines, "_text", text).where(F.length("_text") > 0)
+    rows = once(rows, "_groups", match_groups(F.col("_text"), config.log_pattern))
+    hit, groups, names = F.size("_groups") > 1, named_groups(F.col("_groups"), config.log_pattern), parsed_columns(config)
     now = F.lit(clock).cast("timestamp_ntz") if clock else F.localtimestamp()
     if config.strict_mode:
         rows, instead = rows.where(hit), {}

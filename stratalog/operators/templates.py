@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from stratalog.config import ParsingConfig
 from stratalog.functions.patterns import to_java
+from stratalog.operators.preprocess import once
 
 # The masks of a run that sets none.
 DEFAULT_MASKS = [
@@ -57,7 +58,7 @@ def masked_templates(rows: DataFrame, config: ParsingConfig) -> DataFrame:
     Templates are first reduced to one row each, so what is numbered in one place is the
     number of distinct templates, not of lines; the numbers join back by template.
     """
-    rows = _checked(rows).withColumn("EventTemplate", masked(F.col("Content"), config))
+    rows = once(_checked(rows), "EventTemplate", masked(F.col("Content"), config))
     patterns = [f"(?:{to_java(r['regex_pattern'])})" for r in config.masking_rules]
     found = F.regexp_extract_all("Content", F.lit("|".join(patterns)), F.lit(0)) if patterns else F.array()
     rows = rows.withColumn("Parameters", found.cast("array<string>"))
@@ -125,7 +126,8 @@ def parameters(content: Column, template: Column, config: ParsingConfig) -> Colu
     template; none where the rest of the template does not fit."""
     mark = "|".join(f"\\Q{a}\\E{b}" for a, b in ((WILDCARD, ""), (config.mask_prefix, f".+?\\Q{config.mask_suffix}\\E")))
     fixed = F.split(template, mark)
-    pattern = F.concat(F.lit(r"(?s)\A\Q"), F.array_join(fixed, r"\E(.+?)\Q"), F.lit(r"\E\z"))
+    quoted = F.transform(fixed, lambda x: F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")))
+    pattern = F.concat(F.lit(r"(?s)\A\Q"), F.array_join(quoted, r"\E(.+?)\Q"), F.lit(r"\E\z"))
     groups = F.transform(F.sequence(F.lit(1), F.size(fixed) - 1), lambda i: F.concat(F.lit("$"), i.cast("string")))
     words = F.array_join(tokens(content, config), " ")
     found = F.split(F.regexp_replace(words, pattern, F.array_join(groups, "\u0001")), "\u0001")
@@ -172,7 +174,7 @@ def distinct_templates(rows: DataFrame, config: ParsingConfig, stream: str | Non
 
     Only distinct messages pass through one task; lines are counted and joined in parallel.
     """
-    rows = _checked(rows).withColumn("_masked", masked(F.col("Content"), config))
+    rows = once(_checked(rows), "_masked", masked(F.col("Content"), config))
     keys = [stream] if stream else []
     order = _order(rows)
     first = rows.groupBy(*keys, "_masked").agg(F.min(F.struct(*order)).alias("_first"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions.durations import parse_duration, positive_duration
-from stratalog.functions.patterns import UnsupportedPattern, group_names, matches, named_groups, strip, to_java
+from stratalog.functions.patterns import UnsupportedPattern, group_names, match_groups, matches, named_groups, strip, to_java
 from stratalog.functions.times import parse_time
 
 
@@ -26,7 +26,7 @@ def test_patterns_match_as_in_python(spark):
     pattern = r"(?P<a>\w+)\s+(?P<b>\d+)?(?P<rest>.*)$"
     texts = ["ab 12 x", "é x", "ab  ", " ab", "a ١٢y", "x  1 "]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = rows.select("t", matches(F.col("t"), pattern).alias("hit"), *[c.alias(n) for n, c in named_groups(F.col("t"), pattern).items()]).collect()
+    got = rows.select("t", matches(F.col("t"), pattern).alias("hit"), *[c.alias(n) for n, c in named_groups(match_groups(F.col("t"), pattern), pattern).items()]).collect()
     for r in got:
         m = re.match(pattern, r.t)
         assert r.hit == bool(m)
