@@ -25,7 +25,7 @@ SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 12, 4, 0.8
 #: Lines of a block of a large group, lines of a group that is compared set by set, shingles
 #: in the sets that a task keeps, cells of the matrix of a larger group, and bytes of
 #: line ids up to which they are broadcast.
-BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_BYTES = 2000, 12, 300_000, 8_000_000, 32 << 20
+BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_BYTES = 500, 12, 300_000, 8_000_000, 32 << 20
 #: Lines of a batch on one key from which the key is hot whatever else it has, (key, line)
 #: entries that a task holds before it looks for hot keys, and lines of a hot key that all
 #: its lines are compared with before blocks are paired.
