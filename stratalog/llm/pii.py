@@ -35,6 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # a run of digits is entered once, at its start, so that a long one costs its length
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++\.[0-9.]+")
 _GROUP = re.compile(r"[0-9]+")
+#: What every ip has; its first character is found fast.
+_IP_TAIL = re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]")
 
 
 def _emails(text: str) -> list[Span]:
@@ -58,6 +60,8 @@ def _small(part: str) -> bool:
 def _ips(text: str) -> list[Span]:
     """Four digit groups with single dots between them: each run of digits and dots is cut
     into groups once, so a long run costs its length."""
+    if not _IP_TAIL.search(text):
+        return []
     found = []
     for run in _DOTTED.finditer(text):
         groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, run.start(), run.end())]
@@ -178,6 +182,21 @@ class Mapped:
         self.text, self.starts, self.ends, self.changed = "".join(parts), starts, ends, changed
 
 
+def _may_spell(text: str) -> bool:
+    """Whether a digit's name begins somewhere where no letter a-z stands before it: no run of
+    spelled digits is without."""
+    low = text.lower()
+    if "\u212a" in text:  # its lower case is k, which it is not
+        return True
+    for name in _DIGITS:
+        at = low.find(name)
+        while at >= 0:
+            if not (at and "a" <= low[at - 1] <= "z"):
+                return True
+            at = low.find(name, at + 1)
+    return False
+
+
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits become digits; what separates them goes, except a lone dot."""
     edits = []
@@ -198,8 +217,7 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     if not text.isascii() and _ODD.search(text.encode("utf-8", "replace").lower()):
         mapped.rewrite([(i, i + 1, _TABLE[ord(c)]) for i, c in enumerate(text) if ord(c) in _TABLE])
     # each transducer runs where its own pattern is found, whatever else the text has
-    low = mapped.text.lower()
-    if any(w in low for w in _DIGITS):
+    if _may_spell(mapped.text):
         mapped.rewrite(_spelled_edits(mapped.text))
     if _AT_HINT.search(mapped.text):
         mapped.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(mapped.text)])

@@ -100,6 +100,13 @@ def test_many_plain_secrets_take_seconds():
     assert time.perf_counter() - start < 10
 
 
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(["one", "Two", "zero", "oh", "plus ", "st", "K", "\u212a", "\u0130", "é", " ", "-", "7", "S", "n."]), max_size=8))
+def test_the_gate_of_spelled_digits_is_necessary(parts):
+    text = "".join(parts)
+    assert pii._may_spell(text) or not pii._SPELLED.search(text)
+
+
 def test_every_lookalike_opens_its_gate():
     assert all(pii._ODD.search(chr(c).encode().lower()) for c in pii._TABLE)
 
