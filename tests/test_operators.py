@@ -1,12 +1,15 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.config import AnomalyConfig, ParsingConfig, PreprocessingConfig
+from stratalog.config import AnomalyConfig, ParsingConfig, PipelineConfig, PreprocessingConfig, WindowingConfig
 from stratalog.operators import evaluate, matrix, profile, records, scoring, templates
 from stratalog.operators.preprocess import parse_lines
+from stratalog.operators.windows import assign_windows
+from stratalog.plans.pipeline import compare_strategies
 from stratalog.sources.readers import from_lines
 
 APACHE = PreprocessingConfig(r"\[(?P<Timestamp>.+?)\]\s+\[(?P<LogLevel>\w+)]\s+(?P<Content>.+)", "%a %b %d %H:%M:%S %Y")
@@ -167,3 +170,37 @@ def test_fitted_detector_scores_later_windows(spark):
     flags = {r.Window: r.IsAnomaly for r in fitted.score(new).collect()}
     assert flags[98] and set(flags) == {98, 99}
     assert scoring.fit_detector(counts.where("Window = 0"), config) is None
+
+
+@pytest.mark.parametrize("share", [0.95, 0.6])
+def test_strategies_against_numpy(spark, share):
+    """Windows and flagged share of each strategy, from a count table of its own windows."""
+    rng = np.random.default_rng(3)
+    start = datetime(2024, 1, 1)
+    kinds = rng.choice(list("abcde"), 600, p=[0.4, 0.3, 0.15, 0.1, 0.05])
+    kinds[500:520] = "e"
+    seconds = np.cumsum(rng.integers(20, 700, 600))
+    rows = spark.createDataFrame(
+        [(start + timedelta(seconds=int(s)), str(k), i) for i, (s, k) in enumerate(zip(seconds, kinds))],
+        "Timestamp timestamp, EventTemplate string, line_no long",
+    )
+    settings = {
+        "fixed": {"window_size": "1h"},
+        "sliding": {"strategy": "sliding", "window_size": "2h", "step_size": "1h"},
+        "session": {"strategy": "session", "session_timeout": "10m"},
+        "adaptive": {"strategy": "adaptive", "min_window_size": "10m", "max_window_size": "2h", "target_logs_per_window": 20},
+    }
+    configs = {
+        name: PipelineConfig(None, APACHE, windowing=WindowingConfig(**w), anomaly_detection=AnomalyConfig(variance_threshold=share))
+        for name, w in settings.items()
+    }
+    got = {r.strategy: (r.windows, r.anomaly_rate) for r in compare_strategies(rows, configs).collect()}
+    assert set(got) == set(settings)
+    rates = []
+    for name, c in configs.items():
+        table = assign_windows(rows, c.windowing).select("Window", "EventTemplate").toPandas()
+        x = pd.crosstab(table["Window"], table["EventTemplate"]).to_numpy(float)
+        scores, limit = direct_scores(x, share, c.anomaly_detection.alpha)
+        rates.append(float((scores > limit).mean()))
+        assert got[name] == (len(x), pytest.approx(rates[-1])), name
+    assert share > 0.9 or any(rates)
