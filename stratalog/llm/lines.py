@@ -12,6 +12,7 @@ each batch and bucket of keys, so that their exchange costs bytes and not rows.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 12, 4, 0.8
 BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_BYTES = 2000, 12, 300_000, 8_000_000, 32 << 20
 #: Lines of a batch on one key from which the key is hot whatever else it has, (key, line)
 #: entries that a task holds before it looks for hot keys, and lines of a hot key that all
-#: its lines are compared with before blocks are paired.
-HOT_IN_BATCH, HELD, PIVOTS = 256, 2_000_000, 8
+#: its lines are compared with before blocks are paired, and times that the lines of a hot
+#: key are told apart.
+HOT_IN_BATCH, HELD, PIVOTS, LEVELS = 256, 2_000_000, 8, 3
 
 _BINS = BANDS * BAND_ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -286,58 +288,137 @@ def _size_band(n: int) -> int:
     return int(np.log(n) / -np.log(SIMILARITY - 0.001))
 
 
-def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Links (u, v), and units (home, unit, line) still to be compared, of hot(key, line); and
-    the tables to discard after both were read.
+def telling(tokens: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
+    """Those of a line's distinct shingle hashes by which it can meet all that are similar, and
+    how many of these suffice to meet lines with no fewer shingles.
 
-    Each line of a key is compared with PIVOTS of its lines and linked to the first that is
-    similar: lines of one pivot are connected and need no more comparing among each other.
-    Of the rest, blocks of about BLOCK lines are paired, but for those whose sizes differ too
-    much. A line names the pairs of its block itself, row by row; no task has a key's list.
+    Shingles are ordered by how many of some sampled lines have a shingle (common, times), then
+    by their hash. Two similar sets have at least 0.8 of the larger and 1.6 / 1.8 of the
+    smaller in common, so that the first shingle they share stands in each before which no
+    more than the rest can be, and one. Any order is exact; this one makes few meet.
     """
-    chosen = hot.groupBy("key").agg(*(F.min_by("line", F.xxhash64("line", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
-    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("line"))
-    pivots = chosen.join(texts, "line").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("pivots"))
+    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    seen = np.where(common[at] == tokens, times[at], 0)
+    n, share = len(tokens), 2 * SIMILARITY / (1 + SIMILARITY)
+    size, enough = (n - int(np.ceil(t * n - 1e-9)) + 1 for t in (SIMILARITY, share))
+    return tokens[np.lexsort((_mixed(tokens), seen))][:size], enough
+
+
+def _tokens(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)))
+
+
+def _marked(hot: DataFrame, texts: DataFrame, shingles_from: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, line, band, pivot, tokens, enough): each line of a key with its size band and the
+    first of PIVOTS lines of the key that is similar; and what telling() gives for lines of keys
+    that have at least shingles_from lines. With tables to discard."""
+    some = [F.min_by("line", F.xxhash64("line", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = hot.groupBy("key").agg(F.count("*").alias("n"), *some)
+    chosen = chosen.select("key", "n", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("line"))
+    pivots = chosen.join(texts, "line").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("pivots"))
     pivots = stored(pivots, "pivots")
-    met = hot.join(texts, "line").join(pivots, "key").select("key", "line", "text", "pivots")
-    schema = "key long, line long, band int, pivot long"
+    met = hot.join(texts, "line").join(pivots, "key").select("key", "line", "text", "n", "pivots")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32())
 
     def mark(batches):
         sets = {}
         for batch in batches:
             out = []
-            for key, line, text, some in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, line, text, n, some in zip(*(c.to_pylist() for c in batch.columns)):
                 if key not in sets:
                     if len(sets) * PIVOTS >= 1000:
                         sets.clear()
-                    sets[key] = [(p["line"], shingles(p["text"])) for p in some]
+                    many = shingles_from is not None and n >= shingles_from
+                    counts = np.unique(np.concatenate([_tokens(p["text"]) for p in some]), return_counts=True) if many else None
+                    sets[key] = [(p["line"], shingles(p["text"])) for p in some], counts
+                pivots, counts = sets[key]
                 own = shingles(text)
-                out.append((key, line, _size_band(len(own)), next((p for p, other in sets[key] if similar(own, other)), None)))
+                pivot = next((p for p, other in pivots if similar(own, other)), None)
+                tokens, enough = telling(_tokens(text), *counts) if counts else (None, None)
+                out.append((key, line, _size_band(len(own)), pivot, tokens if tokens is None else tokens.view(np.int64), enough))
+            columns = zip(*out) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-                if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())],
-                names=["key", "line", "band", "pivot"],
-            )
-
-    marked = stored(map_batches(met, mark, schema), "marked")
-    links = marked.where("pivot <> line").select(F.col("line").alias("u"), F.col("pivot").alias("v"))
-    # line ids can be any number, so a line without a pivot has a group of its own kind
-    group = F.struct(F.col("pivot").isNull().alias("loose"), F.coalesce("pivot", F.lit(0)).alias("pivot"), "band")
-    grouped = marked.select("key", "line", group.alias("g"))
-    blocks = stored(grouped.groupBy("key", "g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
-    others = blocks.select("key", F.col("g").alias("h"), F.col("blocks").alias("h_blocks"))
-    near = (F.abs(F.col("g.band") - F.col("h.band")) <= 1) & (
-        F.col("g.loose") | F.col("h.loose") | (F.col("g.pivot") != F.col("h.pivot"))
-    )
-    pairs = stored(blocks.join(others, "key").where(near), "blocks")
-    own = F.struct("g", F.pmod(F.xxhash64("line"), "blocks").alias("block"))
-    units = (
-        grouped.join(pairs, ["key", "g"])
-        .select("key", "line", "h", own.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("h_blocks") - 1)).alias("k"))
-        .withColumn("y", F.struct(F.col("h").alias("g"), F.col("k").alias("block")))
-        .select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("unit"), "line")
-    )
-    return links, units.select(F.col("unit").alias("home"), "unit", "line"), [pivots, marked, blocks, pairs]
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "line", "band", "pivot", "tokens", "enough"]
+            )
+
+    schema = "key long, line long, band int, pivot long, tokens array<long>, enough int"
+    return stored(map_batches(met, mark, schema), "marked"), [pivots]
+
+
+def _by_shingles(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unit, line) of marked lines that share a key and a telling shingle, (key, line) of such
+    meetings that are hot themselves, and a table to discard.
+
+    A meeting is needed where a line is present by one of its first `enough` shingles, unless
+    all its lines have one pivot. Such lines meet every block of the others.
+    """
+    met = marked.select("line", "key", "pivot", "enough", F.posexplode("tokens").alias("at", "token"))
+    met = met.select("line", "pivot", F.xxhash64("key", "token").alias("key"), (F.col("at") < F.col("enough")).alias("first"))
+    sizes = met.groupBy("key").agg(
+        F.count("*").alias("n"), F.count_if("first").alias("n_first"), F.count("pivot").alias("n_pivot"),
+        F.min("pivot").alias("a"), F.max("pivot").alias("b"),
+    )
+    needed = (F.col("n") > 1) & (F.col("n_first") > 0) & ((F.col("n_pivot") < F.col("n")) | (F.col("a") != F.col("b")))
+    is_hot = (F.col("n_first") > BLOCK).alias("is_hot")
+    sizes = stored(sizes.where(needed).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), is_hot), "sizes")
+    met = met.join(sizes, "key")
+    own = F.array(F.pmod(F.xxhash64("line"), "blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    units = met.where("NOT is_hot").select("key", "line", F.explode(F.when(F.col("first"), every).otherwise(own)).alias("block"))
+    return units.select(F.xxhash64("key", "block").alias("unit"), "line"), met.where("is_hot").select("key", "line"), sizes
+
+
+def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links (u, v), and units (home, unit, line) still to be compared, of hot(key, line); and
+    the tables to discard after both were read.
+
+    Each line of a key is compared with PIVOTS of its lines and linked to the first that is
+    similar: lines of one pivot are connected and need no more comparing among each other.
+    Of the rest, blocks of about BLOCK lines are paired, but for those whose sizes differ too
+    much. A line names the pairs of its block itself, row by row; no task has a key's list.
+    Where a line would be in more pairs of blocks than it has telling shingles, lines meet by
+    these instead, which also misses none; meetings that are hot again are treated alike, the
+    last of LEVELS times by blocks alone.
+    """
+    links, units, used = [], [], []
+    for level in range(LEVELS):
+        last = level + 1 == LEVELS
+        marked, tables = _marked(hot, texts, None if last else 10 * BLOCK)
+        links.append(marked.where("pivot <> line").select(F.col("line").alias("u"), F.col("pivot").alias("v")))
+        # line ids can be any number, so a line without a pivot has a group of its own kind
+        group = F.struct(F.col("pivot").isNull().alias("loose"), F.coalesce("pivot", F.lit(0)).alias("pivot"), "band")
+        grouped = marked.select("key", "line", group.alias("g"), F.coalesce(F.array_size("tokens"), F.lit(0)).alias("rows"))
+        sizes = grouped.groupBy("key", "g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.sum("rows").alias("rows"))
+        blocks = stored(sizes, "blocks")
+        others = blocks.select("key", F.col("g").alias("h"), F.col("blocks").alias("h_blocks"))
+        near = (F.abs(F.col("g.band") - F.col("h.band")) <= 1) & (
+            F.col("g.loose") | F.col("h.loose") | (F.col("g.pivot") != F.col("h.pivot"))
+        )
+        pairs = stored(blocks.join(others, "key").where(near), "blocks")
+        used += [*tables, marked, blocks, pairs]
+        dear = pairs.groupBy("key").agg(F.sum(F.col("blocks") * F.col("h_blocks")).alias("pairs"))
+        rows = blocks.groupBy("key").agg(F.sum("rows").alias("rows")).where("rows > 0")
+        dear = stored(dear.join(rows, "key").where(F.col("pairs") * BLOCK > F.col("rows")).select("key"), "dear")
+        used.append(dear)
+        few = last or dear.isEmpty()
+        own = F.struct("g", F.pmod(F.xxhash64("line"), "blocks").alias("block"))
+        units.append(
+            grouped.join(pairs if few else pairs.join(dear, "key", "left_anti"), ["key", "g"])
+            .select("key", "line", "h", own.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("h_blocks") - 1)).alias("k"))
+            .withColumn("y", F.struct(F.col("h").alias("g"), F.col("k").alias("block")))
+            .select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("unit"), "line")
+        )
+        if few:
+            break
+        met, again, table = _by_shingles(marked.join(dear, "key"))
+        units.append(met)
+        used.append(table)
+        if table.where("is_hot").isEmpty():
+            break
+        hot = stored(again, "hot")
+        used.append(hot)
+    links, units = (reduce(DataFrame.unionByName, part) for part in (links, units))
+    return links, units.select(F.col("unit").alias("home"), "unit", "line"), used
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

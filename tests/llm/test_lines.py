@@ -165,3 +165,48 @@ def test_a_hot_key_leaves_as_it_is(spark):
     packed = [(0, bytearray(k.tobytes()), bytearray(m.tobytes())) for k, m in ((keys, members), cold)]
     got = L.candidate_units(spark.createDataFrame(packed, "bucket int, keys binary, members binary"))
     assert got.where("home IS NULL AND unit = 5").count() == 30_000 and got.where("home IS NOT NULL").count() == 2
+
+
+def test_telling_shingles():
+    """Of two similar sets one of the smaller's first tokens is among the larger's."""
+    rng = random.Random(5)
+    pool = np.array(sorted(rng.getrandbits(64) for _ in range(90)), np.uint64)
+    common = pool[::2]
+    times = np.array([rng.randint(1, 8) for _ in common])
+    tried = 0
+    for _ in range(4000):
+        a = set(rng.sample(range(90), rng.randint(1, 60)))
+        b = (a | set(rng.sample(range(90), rng.randint(0, 6)))) - set(rng.sample(range(90), rng.randint(0, 8)))
+        if b and L.similar(a, b):
+            tried += 1
+            small, large = sorted((a, b), key=len)
+            (x, enough), (y, _) = (L.telling(pool[sorted(s)], common, times) for s in (small, large))
+            assert set(x[:enough].tolist()) & set(y.tolist()) and enough <= len(x) <= len(small)
+    assert tried > 1500
+
+
+def test_templated_lines_meet_by_shingles(spark, monkeypatch):
+    """Lines on one key, most of them unlike though they share four fifths, among them groups of near
+    copies, one large: every similar pair is connected, in fewer rows than blocks take."""
+    monkeypatch.setattr(L, "BLOCK", 8)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    template = word(70)
+    texts = [template + word(rng.choice([8, 10, 14])) for _ in range(500)]
+    for size in (3, 3, 12, 90):
+        tail = template[:50] + word(40)
+        texts += [tail[:-3] + word(3) for _ in range(size)]
+    texts = list(dict.fromkeys(texts))
+    ids = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
+    hot = ids.selectExpr("7L AS key", "line")
+    links, units, _ = L.hot_links(hot, ids)
+    held = {}
+    for r in units.collect():
+        held.setdefault(r.unit, []).append(r.line)
+    found = union_find([*((r.u, r.v) for r in links.collect()), *((g[a], g[b]) for g in held.values() for a, b in L.unit_links([texts[i] for i in g]))])
+    sets = [L.shingles(t) for t in texts]
+    want = union_find([(i, j) for i in range(len(texts)) for j in range(i) if L.similar(sets[i], sets[j])])
+    assert found == want and len(want) > 90
+    monkeypatch.setattr(L, "LEVELS", 1)
+    by_blocks = L.hot_links(hot, ids)[1].count()
+    assert sum(map(len, held.values())) < by_blocks
