@@ -12,6 +12,7 @@ from stratalog.llm.media import store_texts
 from stratalog.llm.packing import pack
 from stratalog.llm.pii import detect_pii
 from stratalog.llm.quality import score_quality
+from stratalog.llm.runs import run_report
 from stratalog.llm.secrets import scan_secrets
 from stratalog.llm.simhash import near_duplicates
 from stratalog.llm.token_counts import count_tokens
@@ -62,6 +63,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op11_runs": op11_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op9_warc": oracles.WARC}
