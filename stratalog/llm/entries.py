@@ -8,6 +8,7 @@ import corpus_pipeline
 from stratalog.llm import oracles
 from stratalog.llm.decontaminate import find_contamination
 from stratalog.llm.lines import dedup_report
+from stratalog.llm.manifest import verified_manifest
 from stratalog.llm.media import store_texts
 from stratalog.llm.packing import pack
 from stratalog.llm.pii import detect_pii
@@ -67,6 +68,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -79,8 +84,9 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
     "op11_runs": op11_runs,
+    "op12_manifest": op12_manifest,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op9_warc": oracles.WARC}
+ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op9_warc": oracles.WARC, "op12_manifest": oracles.MANIFEST}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

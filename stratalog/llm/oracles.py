@@ -30,3 +30,39 @@ m AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM m
 """
+
+# bit by bit over the decimal digits
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda k: CAST(ascii(substr(s, k, 1)) AS BIGINT))),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [CAST(0 AS BIGINT) for i in range(8)]),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+# key: the tree of a language; '^' is the tree over the languages, whose leaves are their tops
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s, coalesce('+' || lang, '') AS key FROM documents),
+c AS (SELECT *, CASE WHEN s IS NOT NULL THEN {_CRC} END AS crc FROM d),
+l AS (SELECT doc_id, key, {_leaf("n_chars")} AS leaf, CASE WHEN crc % 7 = 0 THEN {_leaf("n_chars + 1")} END AS other FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM l),
+t AS (SELECT key, 0 AS level, idx, n, leaf AS h FROM o
+  UNION ALL SELECT key, level + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY key, level, idx // 2),
+top AS (SELECT key, h AS subroot, level AS height, row_number() OVER (ORDER BY encode(key)) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, place AS idx, n, subroot AS h FROM top
+  UNION ALL SELECT level + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, idx // 2),
+root AS (SELECT h AS root FROM u WHERE n = 1),
+every AS (SELECT t.key, t.level, t.idx, t.h FROM t JOIN top USING (key) WHERE t.n > 1 UNION ALL SELECT '^', level, idx, h FROM u WHERE n > 1),
+f AS (SELECT row_number() OVER () AS r, o.doc_id, o.leaf, top.subroot, o.key, o.idx, o.n, 0 AS level, top.place, top.n AS langs, false AS over, coalesce(other, leaf) AS cur, '' AS proof
+    FROM o JOIN top USING (key)
+  UNION ALL SELECT r, doc_id, leaf, subroot, CASE WHEN f.n = 1 THEN '^' ELSE f.key END, CASE WHEN f.n = 1 THEN place ELSE f.idx // 2 END, CASE WHEN f.n = 1 THEN langs ELSE (f.n + 1) // 2 END,
+    CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END, place, langs, over OR f.n = 1,
+    CASE WHEN f.n = 1 THEN cur WHEN e.h IS NULL THEN sha256(cur) WHEN e.idx < f.idx THEN sha256(e.h || cur) ELSE sha256(cur || e.h) END, proof || coalesce(e.h, '')
+    FROM f LEFT JOIN every e ON f.n > 1 AND e.key = f.key AND e.level = f.level AND e.idx = xor(f.idx, 1) WHERE NOT (over AND f.n = 1))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM f, root WHERE over AND n = 1
+"""
