@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from stratalog.llm import oracles
 from stratalog.llm.decontaminate import find_contamination
+from stratalog.llm.language import predict_languages
 from stratalog.llm.lines import dedup_report
 from stratalog.llm.manifest import verified_manifest
 from stratalog.llm.media import store_texts
@@ -72,6 +73,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -85,6 +90,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_runs": op11_runs,
     "op12_manifest": op12_manifest,
+    "op13_language": op13_language,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": oracles.DECONTAMINATION, "op9_warc": oracles.WARC, "op12_manifest": oracles.MANIFEST}
