@@ -86,6 +86,17 @@ def row_key(docs: DataFrame) -> list:
     return [F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(doc_id, docs["text"]).alias("row")]
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1 and so on: names may hold dots, which mapInArrow and
+    select take for fields."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def quoted(*names: str) -> list[str]:
+    """Names as select takes them whatever they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores put before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +27,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Characters of a line that may stand between a sensitive word and what it makes sensitive,
-#: and characters that may stand between a reported string and the one directly after it.
-NEAR, BETWEEN = 40, 80
+#: characters that may stand between a reported string and the one directly after it, and
+#: strings in a row that may be unreported in a list of which each string directly follows another.
+NEAR, BETWEEN, MISSES = 40, 80, 8
 
 # Words that make a place sensitive, and identifiers that code is full of.
 _SENSITIVE = re.compile(
@@ -42,7 +46,12 @@ _IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 your_api_key_here changeme example "
     b"xxxxxxxxxxxxxxxx ---------------- ================ ________________ ................ 0000000000000000"
 )
+#: Runs of printable characters between blanks and quotes, and the strings of key alphabets in
+#: them. A run of which these are less than KEY_SHARE is judged whole first.
+_RUN = re.compile(r"[!#-&(-_a-~]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_EDGE, KEY_SHARE = "()[]{}<>,;.:|", 0.8
+_NO_KEY = frozenset(string.punctuation) - frozenset("+/_=-")
 #: What may stand between a string and the one that directly follows it, and the short last
 #: line of a key.
 _BETWEEN = re.compile(r"(?:\\[nr]|[\s\"'`\\+.,:;|>#*]){0,%d}" % BETWEEN)
@@ -88,6 +97,9 @@ def alphabet(s: str) -> str:
         own = [c for c in s if c in full]
         if 16 * len(own) > len(s):
             found += some if set(own) <= set(some) else full
+    odd = [c for c in s if c in _NO_KEY]
+    if 16 * len(odd) > len(s):
+        found += "".join(sorted(set(odd)))
     return found or string.ascii_letters + string.digits
 
 
@@ -104,7 +116,8 @@ def is_novel(s: str, around: str) -> bool:
     if cost >= LEAST_NOVELTY:
         return True
     letters = alphabet(s)
-    n = len(s) if len(s) < 64 else min(-(-len(s) // 32) * 32, 4096)
+    unit = 1 if len(s) < 64 else max(32, 1 << (len(s).bit_length() - 6))  # lengths that differ by less cost alike
+    n = -(-len(s) // unit) * unit
     if cost < RANDOM_SHARE * random_novelty(letters, n):
         return False
     counts = [s.count(c) for c in letters]
@@ -112,37 +125,86 @@ def is_novel(s: str, around: str) -> bool:
     return len(letters) * sum(k * (k - 1) for k in counts) <= MOST_UNEVEN * total * (total - 1)
 
 
+@lru_cache(1)
+def _letter_odds() -> dict[str, float]:
+    """Log of how many times as often a letter stands in identifiers as in random text."""
+    read = [chr(c) for c in _IDENTIFIERS.lower() if chr(c).isalpha()]
+    return {c: math.log((read.count(c) + 1) * 26 / (len(read) + 26)) for c in string.ascii_lowercase}
+
+
+def is_mixed(s: str) -> bool:
+    """Whether s is no word, path or piece of code: its letters are not those that words have. Of
+    text with few letters, whether it has many different characters."""
+    odds = [_letter_odds()[c] for c in s.lower() if c in string.ascii_letters]
+    return sum(odds) < 0 if len(odds) >= 8 else len(set(s)) >= 8
+
+
+def _parts(text: str, start: int, end: int, judge) -> list[tuple[int, int]]:
+    """The bounds of what judge reports in a run: all of it, or else strings in it."""
+    run, strings = text[start:end], list(_CANDIDATE.finditer(text, start, end))
+    if sum(m.end() - m.start() for m in strings) < KEY_SHARE * len(run):
+        a, b = start + len(run) - len(run.lstrip(_EDGE)), start + len(run.rstrip(_EDGE))
+        if b - a >= 16 and is_mixed(text[a:b]) and judge(a, b):
+            return [(a, b)]
+    found = []
+    for m in strings:
+        s = m.group()
+        if (any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or is_mixed(s)) and judge(*m.span()):
+            found.append(m.span())
+    return found
+
+
 def novel_secrets(text: str, low: bytes, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Mixed strings after a sensitive word, or directly after a string reported there, that
-    their surroundings do not explain."""
+    """Strings after a sensitive word, or directly after a string reported there, that their
+    surroundings do not explain. A string that a plain span covers is not reported again; one
+    that has plain spans in it is, whole, if it or what is left of it without them is novel."""
     if not _SENSITIVE_HINT.search(low):
         return []
     found = []
-    # plain spans by start; of those that start before a string's end, the greatest end
-    taken, taken_at, taken_end = sorted((a, b) for _, a, b in plain), 0, 0
-    ends, at, before = sorted(b for k, _, b in plain if k == "assign"), 0, -1
-    for m in _CANDIDATE.finditer(text):
-        s, a, b = m.group(), m.start(), m.end()
-        while taken_at < len(taken) and taken[taken_at][0] < b:
-            taken_end = max(taken_end, taken[taken_at][1])
-            taken_at += 1
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            continue
-        if a < taken_end:
-            continue
-        # the reported string before it, if any, carries its place on
-        while at < len(ends) and ends[at] <= a:
-            before = max(before, ends[at])
-            at += 1
-        follows = before >= 0 and a - before <= BETWEEN and _BETWEEN.fullmatch(text, before, a)
-        if not follows and not _SENSITIVE.search(text, max(0, a - NEAR - 24), a):
-            continue
+    taken = sorted((a, b) for _, a, b in plain)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    ends, at = sorted(b for k, _, b in plain if k == "assign"), 0
+    before, missed = -1, 0  # where the list ends that a string may follow
+
+    def covered(a: int, b: int) -> bool:
+        k = bisect_right(starts, a)
+        return k > 0 and reach[k - 1] >= b
+
+    def without(a: int, b: int) -> str:
+        """text[a:b] without the plain spans that end in it."""
+        out, at = [], a
+        for x, y in taken[max(0, bisect_right(starts, a) - 1) : bisect_right(starts, b - 1)]:
+            if y > at:
+                out.append(text[at : max(at, x)])
+                at = y
+        return "".join(out) + text[at:b]
+
+    def in_list(a: int) -> bool:
+        return before >= 0 and a - before <= BETWEEN and bool(_BETWEEN.fullmatch(text, before, a))
+
+    def judge(a: int, b: int) -> bool:
+        if covered(a, b) or not (in_list(a) or _SENSITIVE.search(text, max(0, a - NEAR - 24), a)):
+            return False
         around = text[max(0, a - CONTEXT_CHARS) : a] + "\n" + text[b : b + CONTEXT_CHARS]
-        if is_novel(s, around):
-            found.append(("novel", a, b))
-            before = b
-            if tail := _LAST_LINE.match(text, b):
+        rest = without(a, b)
+        if 0 < len(rest) < 16 and len(rest) + 24 <= b - a:  # what is left at the ends of plain secrets
+            return True
+        return is_novel(text[a:b], around) or 16 <= len(rest) < b - a and is_novel(rest, around)
+
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while at < len(ends) and ends[at] <= start:
+            before, missed = max(before, ends[at]), 0
+            at += 1
+        follows = in_list(start)
+        parts = _parts(text, start, end, judge)
+        found += [("novel", a, b) for a, b in parts]
+        if parts:
+            before, missed = parts[-1][1], 0
+            if tail := _LAST_LINE.match(text, before):
                 found.append(("novel", tail.start(1), tail.end(1)))
+        elif follows and (covered(start, end) or missed < MISSES):
+            before, missed = end, 0 if covered(start, end) else missed + 1
     return found
 
 
@@ -159,8 +221,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Null texts are empty ones; an empty text has no spans and the digest of the empty
     string. Repeated rows and null ids come back as given; other columns are not read. Only
-    strings in a sensitive place are compressed, each against at most CONTEXT_CHARS on
-    either side. No shuffle.
+    runs of 16 printable characters or more, without blanks and quotes, in a sensitive place are
+    compressed, each against at most CONTEXT_CHARS on either side; of those in a list, up to
+    MISSES in a row may be unreported before the list ends. Letters that read like words and
+    text beyond ASCII are not reported. No shuffle.
     """
 
     def scan(columns):
