@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -86,15 +87,22 @@ def row_key(docs: DataFrame) -> list:
     return [F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(doc_id, docs["text"]).alias("row")]
 
 
-def plain_names(df: DataFrame) -> DataFrame:
-    """df with its columns called c0, c1 and so on: names may hold dots, which mapInArrow and
-    select take for fields."""
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+#: Columns of documents that stages which keep all columns read or write.
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def quoted(*names: str) -> list[str]:
-    """Names as select takes them whatever they hold."""
-    return ["`" + n.replace("`", "``") + "`" for n in names]
+def keeps_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a stage that gives rows of its first argument with all their columns: it sees further
+    columns under plain names of their own, and whatever they are called (dots, names
+    that differ in case only) comes back."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        names = docs.columns
+        own = [n if n in DOCUMENT_COLUMNS and names.index(n) == i else f"other_{i}" for i, n in enumerate(names)]
+        return stage(docs.toDF(*own), *args, **named).toDF(*names)
+
+    return run
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import discard, free_name, map_batches, stored
+from stratalog.llm.common import discard, free_name, keeps_columns, map_batches, stored
 
 #: Words of a window, share of hit words that contaminates, words of a shard's index, suffix
 #: sampling step, and benchmark bytes that one broadcast block may hold.
@@ -340,6 +340,7 @@ def find_contamination(
     return _judged(counted, F.col("n_hit"))
 
 
+@keeps_columns
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones; where fewer words are hit, without their spans.
 

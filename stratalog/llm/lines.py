@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, discard, free_name, map_batches, row_key, stored
+from stratalog.llm.common import by_text, components, discard, free_name, keeps_columns, map_batches, row_key, stored
 
 #: Characters of a shingle, bands, values of a band, and least similarity.
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 12, 4, 0.8
@@ -604,6 +604,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     )
 
 
+@keeps_columns
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs without the lines that go; a document that loses all its text goes too.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, map_batches
+from stratalog.llm.common import by_text, keeps_columns, map_batches
 
 #: Hashed word terms and shape terms, weight of the word part, latent dimensions, labelled
 #: rows of each class that are fitted at most, and neighbours that vote.
@@ -182,6 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     )
 
 
+@keeps_columns
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier accepts, with all their columns.
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratalog.llm.common import by_text, map_batches
+from stratalog.llm.common import by_text, keeps_columns, map_batches
 
 #: Words of a run at least, and how many times it has its period at least.
 LEAST_LENGTH, LEAST_TIMES = 24, 3
@@ -286,6 +286,7 @@ def text_runs(docs: DataFrame, least_length: int = LEAST_LENGTH, least_times: in
     return by_text(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text"), ["doc_id", "text"], schema, rows)
 
 
+@keeps_columns
 def collapse_runs(docs: DataFrame, least_length: int = LEAST_LENGTH, least_times: int = LEAST_TIMES) -> DataFrame:
     """docs with each run of its texts cut to one period; texts with a run have single spaces
     between their words. All columns and rows stay, those without a run as they are."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, discard, free_name, map_batches, row_key, stored
+from stratalog.llm.common import by_text, components, discard, free_name, keeps_columns, map_batches, row_key, stored
 
 #: Words of a shingle, hash seed, and differing bits up to which fingerprints link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+@keeps_columns
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that with the least doc_id and then the least hash
     of id and text; of rows equal in both, that whose columns have the least hash.

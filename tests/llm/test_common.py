@@ -1,3 +1,4 @@
+import tempfile
 import os
 import random
 
@@ -63,3 +64,19 @@ def test_shared_dir_is_the_configured_one(spark):
 
 def test_free_name(spark):
     assert free_name(spark.createDataFrame([(1, 2)], "Hit long, _hit long"), "hit") == "__hit"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    names = ["doc_id", "a.b", "text", "A.B", "lang", "c d`e", "source", "n_chars", "Key", "id"]
+    docs = spark.createDataFrame([(i, {"k": 1}, f"{text} {i} {i * 7}\nand a line", "x", "en", [1], "web", 9, "y", "z") for i in range(6)],
+                                 "doc_id long, p map<string,int>, text string, q string, lang string, r array<int>, source string, n_chars long, s string, t string").toDF(*names)
+    folder = tempfile.mkdtemp(prefix="spark-tables-")
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        assert all(r[1] == {"k": 1} and r[3] == "x" and r[5] == [1] for r in out.collect())
