@@ -24,9 +24,8 @@ from stratalog.llm.common import by_text, components, discard, free_name, keeps_
 #: Characters of a shingle, bands, values of a band, and least similarity.
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 12, 4, 0.8
 #: Lines of a block of a large group, lines of a group that is compared set by set, shingles
-#: in the sets that a task keeps, cells of the matrix of a larger group, and bytes of
-#: line ids up to which they are broadcast.
-BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_BYTES = 2000, 12, 300_000, 8_000_000, 32 << 20
+#: in the sets that a task keeps, and bytes of line ids up to which they are broadcast.
+BLOCK, FEW, KEPT_SHINGLES, BROADCAST_BYTES = 2000, 12, 300_000, 32 << 20
 #: Lines of a batch on one key from which the key is hot whatever else it has, (key, line)
 #: entries that a task holds before it looks for hot keys, and lines of a hot key that all
 #: its lines are compared with before blocks are paired, and times that the lines of a hot
@@ -49,10 +48,11 @@ def normal_lines(text: str) -> list[str]:
     return [line.strip(" ") for line in lines]
 
 
-def line_hash(line: str) -> int:
+def line_hash(line: str) -> tuple[int, int]:
+    """Two 64-bit hashes of a line: the first names it, both together tell lines apart."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace"))
+    return divmod(xxhash.xxh3_128_intdigest(line.encode("utf-8", "replace")), 1 << 64)
 
 
 def _borrow_order() -> np.ndarray:
@@ -118,30 +118,30 @@ def _packed(part: np.ndarray, *columns: np.ndarray):
 
 
 def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (id, row, line_no, line) of every line that is not blank, by its hash, and rows
+    """Rows (id, row, line_no, line, mark) of every line that is not blank, by its hashes, and rows
     (bucket, keys, members): the band keys that fall in a bucket of a batch's lines, and the
     lines they belong to, packed. Entries of keys that are hot in a batch are in bucket -1,
     which goes to no single task; their own bucket has the keys, without members."""
-    schema = "id long, row long, line_no int, line long, bucket int, keys binary, members binary"
+    schema = "id long, row long, line_no int, line long, mark long, bucket int, keys binary, members binary"
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(columns):
         rows, new = [], {}
         for doc, row, text in zip(*columns):
             for no, line in enumerate(normal_lines(text or "")):
                 if line:
-                    h = line_hash(line)
-                    rows.append((doc, row, no, h))
+                    h, mark = line_hash(line)
+                    rows.append((doc, row, no, h, mark))
                     if len(line) >= SHINGLE:
                         new.setdefault(h, line)
         if not rows:
             return
-        *places, hashes = zip(*rows)
+        *places, hashes, marks = zip(*rows)
         n = len(rows)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, k) for c, k in zip(places, kinds)), pa.array(np.array(hashes, np.uint64).view(np.int64)),
-             *(pa.nulls(n, k) for k in kinds[4:])], names=names,
+            [*(pa.array(c, k) for c, k in zip(places, kinds)), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (hashes, marks)),
+             *(pa.nulls(n, k) for k in kinds[5:])], names=names,
         )
         if not new:
             return
@@ -164,7 +164,7 @@ def extract_lines(docs: DataFrame, buckets: int) -> DataFrame:
         packed = list(zip(*packed))
         n = len(packed[0])
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(n, k) for k in kinds[:4]), *(pa.array(c, k) for c, k in zip(packed, kinds[4:]))], names=names
+            [*(pa.nulls(n, k) for k in kinds[:5]), *(pa.array(c, k) for c, k in zip(packed, kinds[5:]))], names=names
         )
 
     return by_text(docs.select(*row_key(docs), "text"), ["id", "row", "text"], schema, run)
@@ -383,7 +383,7 @@ def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, l
     links, units, used = [], [], []
     for level in range(LEVELS):
         last = level + 1 == LEVELS
-        marked, tables = _marked(hot, texts, None if last else 10 * BLOCK)
+        marked, tables = _marked(hot, texts, None if last else BLOCK)
         links.append(marked.where("pivot <> line").select(F.col("line").alias("u"), F.col("pivot").alias("v")))
         # line ids can be any number, so a line without a pivot has a group of its own kind
         group = F.struct(F.col("pivot").isNull().alias("loose"), F.coalesce("pivot", F.lit(0)).alias("pivot"), "band")
@@ -436,7 +436,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for text, some in zip(texts, lists):
             split = normal_lines(text or "")
             for w in some:
-                if w["line_no"] < len(split) and line_hash(split[w["line_no"]]) == w["line"] % (1 << 64):
+                if w["line_no"] < len(split) and line_hash(split[w["line_no"]])[0] == w["line"] % (1 << 64):
                     out[w["line"]] = split[w["line_no"]]
         if out:
             yield pa.RecordBatch.from_arrays(
@@ -470,31 +470,44 @@ def _reach(n: int, near) -> list[tuple[int, int]]:
 
 
 def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tuple[int, int]]:
-    """Links among the lines of a unit. Few lines are compared by their sets; for many,
-    intersections are counted by a matrix of the shingles, known by 64-bit hashes, that two
-    or more of them have."""
+    """Links among the lines of a unit. Few lines are compared by their sets. Many are looked up
+    by their telling shingles, in an order by how many lines of the unit have one, so that
+    lines of a template that are unlike each other hardly meet; those that meet are
+    compared by all their shingles, known by 64-bit hashes, at once."""
     n = len(texts)
     if n <= FEW:
         sets = sets or [shingles(t) for t in texts]
         return _reach(n, lambda one, left: np.array([similar(sets[one], sets[k]) for k in left.tolist()], bool))
-    hashes = [np.unique(shingle_hashes(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32))) for t in texts]
-    number, flat = np.unique(np.concatenate(hashes), return_inverse=True)
-    own = np.split(flat, np.cumsum([len(h) for h in hashes])[:-1])
-    size = np.array([len(o) for o in own], np.float32)
-    shared = np.bincount(np.concatenate(own), minlength=len(number)) > 1
-    column = np.cumsum(shared) - 1
-    width = int(shared.sum())
-    if n * width > MATRIX_CELLS:
-        sets = [set(o.tolist()) for o in own]
-        return _reach(n, lambda one, left: np.array([similar(sets[one], sets[k]) for k in left.tolist()], bool))
-    has = np.zeros((n, width), np.float32)
-    for row, o in zip(has, own):
-        row[column[o[shared[o]]]] = 1
+    tokens = [_tokens(t) for t in texts]
+    size = np.array([len(t) for t in tokens], np.int64)
+    number, flat = np.unique(np.concatenate(tokens), return_inverse=True)
+    times = np.bincount(flat)
+    start = np.cumsum(size) - size
+    line = np.repeat(np.arange(n), size)
+    order = np.lexsort((flat, times[flat], line))  # rare shingles of each line first
+    rank = np.arange(len(flat)) - np.repeat(start, size)
+    need = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
+    first = order[rank < np.repeat(need, size)]  # in order of lines
+    own = np.split(flat[first], np.cumsum(need)[:-1])
+    by_shingle = first[np.argsort(flat[first], kind="stable")]
+    ends = np.searchsorted(flat[by_shingle], np.arange(len(number) + 1))
+    having, seen, in_left = line[by_shingle], np.zeros(len(number), bool), np.zeros(n, bool)
 
     def near(one, left):
-        both = has[left] @ has[one]
-        # sums of small whole numbers are exact
-        return both >= np.float64(SIMILARITY) * (size[left] + size[one] - both).astype(np.float64)
+        met = np.concatenate([having[ends[t] : ends[t + 1]] for t in own[one].tolist()])
+        in_left[left] = True
+        met = np.unique(met[in_left[met]])
+        in_left[left] = False
+        hit = np.zeros(n, bool)
+        for at in range(0, len(met), 500):
+            some = met[at : at + 500]
+            seen[flat[start[one] : start[one] + size[one]]] = True
+            length = size[some]
+            place = np.repeat(start[some] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            both = np.add.reduceat(seen[flat[place]].astype(np.int64), np.cumsum(length) - length)
+            hit[some] = both >= SIMILARITY * (length + size[one] - both)
+        seen[flat[start[one] : start[one] + size[one]]] = False
+        return hit[left]
 
     return _reach(n, near)
 
@@ -552,19 +565,34 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> tuple[D
     return compared if links is None else compared.unionByName(links), used
 
 
+def going(lines: DataFrame, keep: DataFrame) -> DataFrame:
+    """(id, row, line_no) of lines(id, row, line_no, line, mark) for which keep(line, own, mixed,
+    keep) has another place. Of lines named alike by accident (mixed), those marked as own are
+    meant; others are alike only where their marks are, too."""
+    place, named = F.struct("id", "row", "line_no"), lines.join(keep, "line")
+    gone = named.where((place != F.col("keep")) & (F.col("mark") == F.col("own")))
+    others = lines.join(keep.where("mixed").select("line", "own"), "line").where("mark <> own")
+    least = others.groupBy("line", "mark").agg(F.min(place).alias("keep"))
+    again = others.join(least, ["line", "mark"]).where(place != F.col("keep"))
+    return gone.select("id", "row", "line_no").unionByName(again.select("id", "row", "line_no"))
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, row, removed): the sorted numbers, from 0, of the lines that go from a row, which
     row_key names.
 
     Of each component the line with the least (id, row, line number) stays. Rows with equal
-    ids and texts are one row, met several times.
+    ids and texts are one row, met several times. Lines are equal if 128 bits of their hashes are;
+    should two unlike lines have the first 64 in common, one takes part in the fuzzy
+    comparison and the other loses its equal copies only.
     """
     # a few buckets for each shuffle partition, so that a task holds a bucket at a time
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = stored(extract_lines(docs, buckets), "lines")
-    lines = both.where("line IS NOT NULL").select("id", "row", "line_no", "line")
-    place = F.struct("id", "row", "line_no")
-    classes = stored(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
+    lines = both.where("line IS NOT NULL").select("id", "row", "line_no", "line", "mark")
+    first = F.min(F.struct("id", "row", "line_no", "mark")).alias("first")
+    mixed = (F.min("mark") != F.max("mark")).alias("mixed")
+    classes = stored(lines.groupBy("line").agg(first, F.count("*").alias("n"), mixed), "classes")
     links, used = line_links(docs, both, classes)
     found = components(links)
     discard(*used)
@@ -572,10 +600,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     some = stored(classes.join(members, "line", "left").where("root IS NOT NULL OR n > 1"), "repeated")
     linked, alone = some.where("root IS NOT NULL"), some.where("root IS NULL")
     # written out, like what is joined next: a join of plain shuffles, whose hot partitions Spark splits
-    kept = stored(linked.groupBy("root").agg(F.min("first").alias("keep")), "kept")
-    keep = linked.join(kept, "root").select("line", "keep").unionByName(alone.select("line", F.col("first").alias("keep")))
+    of_first = F.struct("first.id", "first.row", "first.line_no")
+    kept = stored(linked.groupBy("root").agg(F.min(of_first).alias("keep")), "kept")
+    named = ("line", F.col("first.mark").alias("own"), "mixed")
+    keep = linked.join(kept, "root").select(*named, "keep").unionByName(alone.select(*named, of_first.alias("keep")))
     keep = stored(keep, "keep")
-    gone = lines.join(keep, "line").where(place != F.col("keep"))
+    gone = going(lines, keep)
     out = stored(gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
     discard(both, classes, some, kept, keep)
     return out

@@ -111,9 +111,7 @@ def test_units_hold_every_pair(monkeypatch, block):
         assert pairs == want and all(len(g) <= 2 * block for g in groups.values())
 
 
-@pytest.mark.parametrize("cells", [0, 8_000_000])
-def test_unit_links(monkeypatch, cells):
-    monkeypatch.setattr(L, "MATRIX_CELLS", cells)
+def test_unit_links():
     rng = random.Random(2)
     for n in (2, 9, 40):
         base = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(4)]
@@ -210,3 +208,27 @@ def test_templated_lines_meet_by_shingles(spark, monkeypatch):
     monkeypatch.setattr(L, "LEVELS", 1)
     by_blocks = L.hot_links(hot, ids)[1].count()
     assert sum(map(len, held.values())) < by_blocks
+
+
+def templated(n, seed=3):
+    """Lines of one template: 66 equal characters and six random words; few are near copies."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(3000)]
+    head = "the quick brown template of sixty-six equal characters stands here"
+    return [f"{head} {' '.join(rng.choices(vocab, k=6))}" for _ in range(n)]
+
+
+def test_templated_lines_against_brute_force():
+    texts = templated(3000)
+    texts += [t + "q" for t in texts[::100]]
+    sets = [L.shingles(t) for t in texts]
+    want = L._reach(len(texts), lambda one, left: np.array([L.similar(sets[one], sets[k]) for k in left.tolist()], bool))
+    assert union_find(L.unit_links(texts)) == union_find(want) and len(want) >= 30
+
+
+def test_lines_named_alike_by_accident(spark):
+    lines = [(1, 1, 0, 7, 70), (2, 2, 0, 7, 70), (3, 3, 0, 7, 71), (4, 4, 1, 7, 71), (5, 5, 0, 8, 80), (6, 6, 0, 8, 80), (9, 9, 0, 7, 72)]
+    lines = spark.createDataFrame(lines, "id long, row long, line_no int, line long, mark long")
+    place = lambda i: (i, i, 0)
+    keep = spark.createDataFrame([(7, 70, True, place(1)), (8, 80, False, place(5))], "line long, own long, mixed boolean, keep struct<id:long,row:long,line_no:int>")
+    assert sorted(r.id for r in L.going(lines, keep).collect()) == [2, 4, 6]
