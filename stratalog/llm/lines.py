@@ -308,6 +308,11 @@ def _tokens(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)))
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks compare lines: as many as a shuffle has, however few bytes they read."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _marked(hot: DataFrame, texts: DataFrame, shingles_from: int | None) -> tuple[DataFrame, list[DataFrame]]:
     """(key, line, band, pivot, tokens, enough): each line of a key with its size band and the
     first of PIVOTS lines of the key that is similar; and what telling() gives for lines of keys
@@ -318,6 +323,7 @@ def _marked(hot: DataFrame, texts: DataFrame, shingles_from: int | None) -> tupl
     pivots = chosen.join(texts, "line").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("pivots"))
     pivots = stored(pivots, "pivots")
     met = hot.join(texts, "line").join(pivots, "key").select("key", "line", "text", "n", "pivots")
+    met = met.repartition(_tasks(hot), "line")
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32())
 
     def mark(batches):
@@ -560,7 +566,7 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> tuple[D
         if len(ids) > 1 and (found := flush()):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
 
-    placed = units.join(texts, "line").select("home", "unit", "line", "text").repartition("home")
+    placed = units.join(texts, "line").select("home", "unit", "line", "text").repartition(_tasks(docs), "home")
     compared = map_batches(placed.sortWithinPartitions("home", "unit", "line"), run, "u long, v long")
     return compared if links is None else compared.unionByName(links), used
 
@@ -587,7 +593,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     comparison and the other loses its equal copies only.
     """
     # a few buckets for each shuffle partition, so that a task holds a bucket at a time
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * _tasks(docs)
     both = stored(extract_lines(docs, buckets), "lines")
     lines = both.where("line IS NOT NULL").select("id", "row", "line_no", "line", "mark")
     first = F.min(F.struct("id", "row", "line_no", "mark")).alias("first")
