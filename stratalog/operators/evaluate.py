@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.scans import scan
+
 
 def ground_truth(rows: DataFrame, alert: Column) -> DataFrame:
     """(Window, HasAlert): whether any row of a window is an alert."""
@@ -33,25 +35,27 @@ def precision_recall_f1(rows: DataFrame, truth: str, predicted: str) -> DataFram
     )
 
 
-def precision_recall_curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """(threshold, precision, recall) for each distinct score, from the highest. Scores are
-    counted first; the running sums go over distinct scores."""
+def _cumulated(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """(threshold, _tp, _n, _up_tp, _up_n, _all) for each distinct score: its rows, and those of
+    scores down to it."""
     t = F.col(truth).cast("boolean")
     at = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(t).alias("_tp"), F.count("*").alias("_n"))
-    total = rows.agg(F.count_if(t).alias("_all"))
-    over = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    tp, n = F.sum("_tp").over(over), F.sum("_n").over(over)
-    run = at.select("threshold", tp.alias("_tp"), n.alias("_n")).crossJoin(F.broadcast(total))
-    return run.select(
-        "threshold", (F.col("_tp") / F.col("_n")).alias("precision"), _share(F.col("_tp"), F.col("_all")).alias("recall")
-    )
+    run = scan(at, [F.desc("threshold")], {"_up_tp": "_tp", "_up_n": "_n"})
+    return run.crossJoin(F.broadcast(rows.agg(F.count_if(t).alias("_all"))))
+
+
+def precision_recall_curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """(threshold, precision, recall) for each distinct score, from the highest. Scores are
+    counted first; the running sums over distinct scores are a scan."""
+    recall = _share(F.col("_up_tp"), F.col("_all")).alias("recall")
+    return _cumulated(rows, truth, score).select("threshold", (F.col("_up_tp") / F.col("_up_n")).alias("precision"), recall)
 
 
 def pr_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the precision-recall curve by trapezoids, from (recall 0, precision 1)."""
-    curve = precision_recall_curve(rows, truth, score)
-    over = Window.orderBy(F.desc("threshold"))
-    r0 = F.coalesce(F.lag("recall").over(over), F.lit(0.0))
-    p0 = F.coalesce(F.lag("precision").over(over), F.lit(1.0))
-    area = curve.select(((F.col("recall") - r0) * (F.col("precision") + p0) / 2).alias("_a"))
+    """Area under the precision-recall curve by trapezoids, from (recall 0, precision 1). The
+    point before one has the sums without its own rows."""
+    tp, n = F.col("_up_tp") - F.col("_tp"), F.col("_up_n") - F.col("_n")
+    p0, p1 = F.when(n > 0, tp / n).otherwise(1.0), F.col("_up_tp") / F.col("_up_n")
+    width = _share(F.col("_tp"), F.col("_all"))
+    area = _cumulated(rows, truth, score).select((width * (p0 + p1) / 2).alias("_a"))
     return area.agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("pr_auc"))

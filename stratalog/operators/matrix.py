@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.scans import numbered
+
 METADATA = ("WindowStart", "WindowEnd", "LogCount")
 #: Columns that a wide matrix may have; beyond it, keep the long form.
 MOST_COLUMNS = 10_000
@@ -31,14 +33,16 @@ def window_metadata(windows: DataFrame) -> DataFrame:
 
 def feature_dictionary(counts: DataFrame) -> DataFrame:
     """(EventTemplate, feature_id) by first appearance, then name; one row per template."""
-    first = counts.groupBy("EventTemplate").agg(F.min("Window").alias("_first"))
-    order = Window.orderBy("_first", "EventTemplate")
-    return first.select("EventTemplate", (F.row_number().over(order) - 1).alias("feature_id"))
+    return numbered(_first(counts), ["_first", "EventTemplate"], "feature_id").select("EventTemplate", F.col("feature_id").cast("int"))
+
+
+def _first(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("EventTemplate").agg(F.min("Window").alias("_first"))
 
 
 def wide_matrix(counts: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Window and one count column per template, in order of first appearance, 0 where none."""
-    names = [r[0] for r in feature_dictionary(counts).orderBy("feature_id").limit(MOST_COLUMNS + 1).collect()]
+    names = [r[0] for r in _first(counts).select("EventTemplate", "_first").orderBy("_first", "EventTemplate").limit(MOST_COLUMNS + 1).collect()]
     if len(names) > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} templates: use the long form")
     if clash := {"Window", *METADATA} & set(names):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from stratalog.config import ParsingConfig
 from stratalog.functions.patterns import to_java
 from stratalog.operators.preprocess import once
+from stratalog.operators.scans import kept, numbered
 
 # The masks of a run that sets none.
 DEFAULT_MASKS = [
@@ -55,17 +56,15 @@ def masked_templates(rows: DataFrame, config: ParsingConfig) -> DataFrame:
     """rows with EventTemplate (masked content), TemplateId (by first appearance) and
     Parameters (what the masks matched).
 
-    Templates are first reduced to one row each, so what is numbered in one place is the
-    number of distinct templates, not of lines; the numbers join back by template.
+    Templates are first reduced to one row each and numbered by a scan; the numbers join back
+    by template.
     """
     rows = once(_checked(rows), "EventTemplate", masked(F.col("Content"), config))
     patterns = [f"(?:{to_java(r['regex_pattern'])})" for r in config.masking_rules]
     found = F.regexp_extract_all("Content", F.lit("|".join(patterns)), F.lit(0)) if patterns else F.array()
     rows = rows.withColumn("Parameters", found.cast("array<string>"))
     first = rows.groupBy("EventTemplate").agg(F.min(F.struct(*_order(rows))).alias("_first"))
-    ids = first.select(
-        "EventTemplate", F.row_number().over(Window.orderBy("_first", "EventTemplate")).cast("long").alias("TemplateId")
-    )
+    ids = numbered(first, ["_first", "EventTemplate"], "_nth").select("EventTemplate", (F.col("_nth") + 1).alias("TemplateId"))
     joined = rows.join(ids, "EventTemplate")
     return joined.select(*[c for c in rows.columns if c not in ("EventTemplate", "Parameters")], "EventTemplate", "TemplateId", "Parameters")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.patterns import to_java
+from stratalog.operators.scans import quantiles
 
 
 def label_matches(name: str, pattern: str) -> Column:
@@ -89,10 +90,10 @@ def count_and_score(anomalies: DataFrame) -> DataFrame:
 
 
 def box_by_class(anomalies: DataFrame) -> DataFrame:
-    """Five-number summary of scores by flag."""
-    q = F.percentile("AnomalyScore", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    found = anomalies.groupBy("IsAnomaly").agg(q.alias("_q"))
-    return found.select("IsAnomaly", *[F.col("_q")[i].alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))])
+    """Five-number summary of scores by flag, exact, without a task that holds a class's scores."""
+    names = {0.0: "least", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "most"}
+    found = quantiles(anomalies, "IsAnomaly", "AnomalyScore", list(names))
+    return found.groupBy("IsAnomaly").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(n) for q, n in names.items()))
 
 
 def feature_variances(counts: DataFrame, k: int = 15) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stratalog.config import WindowingConfig
 from stratalog.functions.durations import parse_duration, positive_duration
+from stratalog.operators.scans import kept, numbered, scan
 
 STRATEGIES = ("fixed", "sliding", "session", "adaptive")
 STEP, SESSION_TIMEOUT, TARGET, LEAST, MOST = "1m", "30m", 100, "1m", "1h"
@@ -73,8 +74,8 @@ def session_windows(rows: DataFrame, timeout: str | None = None, key: str | None
     timeout in whole seconds.
 
     Time is cut into slices. Sessions are found in each slice; what crosses slices is one row
-    a slice (its last time and its number of breaks), summed up over the slices only, so no
-    task holds all rows even without a key.
+    a slice (its last time and its number of breaks), over which a scan goes, so no task holds
+    all rows or slices even without a key.
     """
     seconds = parse_duration(timeout or SESSION_TIMEOUT)
     keys = [key] if key else []
@@ -87,11 +88,11 @@ def session_windows(rows: DataFrame, timeout: str | None = None, key: str | None
     slices = ranked.groupBy(*keys, "_slice").agg(
         F.min("Timestamp").alias("_least"), F.max("Timestamp").alias("_last"), F.sum("_new").alias("_breaks")
     )
-    over = Window.partitionBy(*keys).orderBy("_slice")
-    since = F.timestamp_diff("SECOND", F.lag("_last").over(over), F.col("_least"))
+    slices = scan(slices, ["_slice"], keys=keys, previous={"_ended": "_last"})
+    since = F.timestamp_diff("SECOND", F.col("_ended"), F.col("_least"))
     slices = slices.withColumn("_opens", F.coalesce(since > seconds, F.lit(True)).cast("long"))
-    total = F.sum(F.col("_opens") + F.col("_breaks")).over(over.rowsBetween(Window.unboundedPreceding, 0))
-    slices = slices.select(*keys, "_slice", (total - F.col("_breaks")).alias("_base"))
+    slices = scan(slices, ["_slice"], {"_total": F.col("_opens") + F.col("_breaks")}, keys)
+    slices = slices.select(*keys, "_slice", (F.col("_total") - F.col("_breaks")).alias("_base"))
     running = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     joined = ranked.withColumn("_in", running).join(slices, [*keys, "_slice"])
     out = joined.withColumn("SessionId", F.col("_base") + F.col("_in"))
