@@ -24,8 +24,9 @@ from stratalog.llm.common import by_text, components, discard, free_name, keeps_
 #: Characters of a shingle, bands, values of a band, and least similarity.
 SHINGLE, BANDS, BAND_ROWS, SIMILARITY = 8, 12, 4, 0.8
 #: Lines of a block of a large group, lines of a group that is compared set by set, shingles
-#: in the sets that a task keeps, and bytes of line ids up to which they are broadcast.
-BLOCK, FEW, KEPT_SHINGLES, BROADCAST_BYTES = 2000, 12, 300_000, 32 << 20
+#: in the sets that a task keeps, cells of the matrix of a larger group, and bytes of line ids
+#: up to which they are broadcast.
+BLOCK, FEW, KEPT_SHINGLES, MATRIX_CELLS, BROADCAST_BYTES = 2000, 12, 300_000, 2_000_000, 32 << 20
 #: Lines of a batch on one key from which the key is hot whatever else it has, (key, line)
 #: entries that a task holds before it looks for hot keys, and lines of a hot key that all
 #: its lines are compared with before blocks are paired, and times that the lines of a hot
@@ -476,10 +477,11 @@ def _reach(n: int, near) -> list[tuple[int, int]]:
 
 
 def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tuple[int, int]]:
-    """Links among the lines of a unit. Few lines are compared by their sets. Many are looked up
-    by their telling shingles, in an order by how many lines of the unit have one, so that
-    lines of a template that are unlike each other hardly meet; those that meet are
-    compared by all their shingles, known by 64-bit hashes, at once."""
+    """Links among the lines of a unit. Few lines are compared by their sets, more by a matrix of
+    the shingles, known by 64-bit hashes, that two or more of them have. Where that is large, lines
+    are looked up by their telling shingles, in an order by how many lines of the unit have one,
+    so that lines of a template that are unlike each other hardly meet; those that meet
+    are compared by all their shingles at once."""
     n = len(texts)
     if n <= FEW:
         sets = sets or [shingles(t) for t in texts]
@@ -487,9 +489,18 @@ def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tup
     tokens = [_tokens(t) for t in texts]
     size = np.array([len(t) for t in tokens], np.int64)
     number, flat = np.unique(np.concatenate(tokens), return_inverse=True)
-    times = np.bincount(flat)
-    start = np.cumsum(size) - size
-    line = np.repeat(np.arange(n), size)
+    times, start = np.bincount(flat), np.cumsum(size) - size
+    line, shared = np.repeat(np.arange(n), size), times > 1
+    width = int(shared.sum())
+    if n * width <= MATRIX_CELLS:
+        has, in_many = np.zeros((n, width), np.float32), shared[flat]
+        has[line[in_many], (np.cumsum(shared) - 1)[flat[in_many]]] = 1
+
+        def close(one, left):
+            both = (has[left] @ has[one]).astype(np.int64)  # sums of small whole numbers are exact
+            return both >= SIMILARITY * (size[left] + size[one] - both)
+
+        return _reach(n, close)
     order = np.lexsort((flat, times[flat], line))  # rare shingles of each line first
     rank = np.arange(len(flat)) - np.repeat(start, size)
     need = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
