@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from stratalog.config import ParsingConfig
 from stratalog.functions.patterns import to_java
 from stratalog.operators.preprocess import once
-from stratalog.operators.scans import kept, numbered
+from stratalog.operators.scans import numbered
 
 # The masks of a run that sets none.
 DEFAULT_MASKS = [
@@ -139,7 +139,7 @@ def mined_templates(rows: DataFrame, config: ParsingConfig, stream: str | None =
 
     The order of messages decides, so a stream is read by one task; the task reads it sorted
     and keeps the templates only, at most max_clusters. EventTemplate is the template as it
-    was when the row was seen. For streams too long for that, see distinct_templates.
+    was when the row was seen. For streams too long for that, see mining.merged_templates.
     """
     rows = _checked(rows)
     rows = rows.withColumn("_words", tokens(masked(F.col("Content"), config), config))
@@ -187,8 +187,10 @@ def distinct_templates(rows: DataFrame, config: ParsingConfig, stream: str | Non
 
 
 def extract_templates(rows: DataFrame, config: ParsingConfig, stream: str | None = None) -> DataFrame:
-    """Templates by the config's mode: masked, drain, or drain_distinct."""
-    modes = {"masked": masked_templates, "drain": mined_templates, "drain_distinct": distinct_templates}
+    """Templates by the config's mode: masked, drain, drain_distinct, or drain_merged."""
+    from stratalog.operators.mining import merged_templates
+
+    modes = {"masked": masked_templates, "drain": mined_templates, "drain_distinct": distinct_templates, "drain_merged": merged_templates}
     if config.mine not in modes:
         raise ValueError(f"Unknown template mode {config.mine!r}; one of {sorted(modes)}")
     return masked_templates(rows, config) if config.mine == "masked" else modes[config.mine](rows, config, stream)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratalog.config import AnomalyConfig, DatasetConfig, OutputConfig, ParsingConfig, PipelineConfig, PreprocessingConfig, WindowingConfig
 from stratalog.functions.times import parse_time
-from stratalog.operators import evaluate, matrix, profile, records, scoring, templates, views, windows
+from stratalog.operators import evaluate, matrix, mining, profile, records, scoring, templates, views, windows
 from stratalog.operators.preprocess import parse_lines
 from stratalog.plans.pipeline import BatchPipeline, compare_strategies, summarise
 from stratalog.sources.readers import load_dataset, read_results
@@ -560,6 +560,33 @@ def drain_distinct_templates(spark, sf_dir):
     return found.select("line_no", "level", "TemplateId", "EventTemplate", F.array_join("Parameters", "|").alias("parameters"))
 
 
+def _jobs(spark, sf_dir) -> DataFrame:
+    """Messages of 120 kinds in each of three streams: lines of one kind differ in a number and
+    a word, kinds of one type in three words of ten."""
+    hour = F.hour("ts")
+    mark = [F.concat(F.lit(x), F.char(F.lit(97) + hour)) for x in "abc"]
+    words = [F.lit("job"), F.col("event_type"), F.lit("state"), *mark, F.lit("user"), F.col("user_id").cast("string"), F.lit("by"),
+             F.concat(F.lit("w"), F.char((F.lit(97) + F.col("event_id") % 7).cast("int")))]
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("datastream"), F.col("ts").alias("Timestamp"),
+        F.col("event_id").alias("line_no"), F.concat_ws(" ", *words).alias("Content"),
+    )
+
+
+@query("""
+WITH e AS (SELECT 's' || user_id % 3 AS datastream, ts, event_id, event_type AS t, chr(CAST(97 + hour(ts) AS INTEGER)) AS h, 'w' || chr(CAST(97 + event_id % 7 AS INTEGER)) AS w, user_id FROM events),
+k AS (SELECT datastream, t, h, CASE WHEN count(DISTINCT w) > 1 THEN '<*>' ELSE any_value(w) END AS last, min((ts, event_id)) AS first FROM e GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY datastream ORDER BY first) AS id FROM k)
+SELECT event_id AS line_no, datastream, id AS "TemplateId", 'job ' || t || ' state a' || h || ' b' || h || ' c' || h || ' user <:NUM:> by ' || last AS "EventTemplate",
+  user_id || CASE WHEN last = '<*>' THEN '|' || w ELSE '' END AS parameters FROM e JOIN i USING (datastream, t, h)
+""")
+def drain_merged_templates(spark, sf_dir):
+    """120 templates a stream, told apart by the threshold; parts small enough to be merged."""
+    config = ParsingConfig(similarity_threshold=0.8, masking_rules=MASKS.masking_rules)
+    found = mining.merged_templates(_jobs(spark, sf_dir), config, "datastream", part=16)
+    return found.select("line_no", "datastream", "TemplateId", "EventTemplate", F.array_join("Parameters", "|").alias("parameters"))
+
+
 @query()
 def strategy_comparison(spark, sf_dir):
     def config(**k):
