@@ -44,26 +44,26 @@ def scan(
     if number:
         sums[number] = F.lit(1).cast("long")
     added = [f"_add{i}" for i in range(len(sums))]
-    valued = rows.select("*", *(_col(v).alias(a) for v, a in zip(sums.values(), added)), F.monotonically_increasing_id().alias("_tie"))
-    by = [*keys, *order, "_tie"]
+    valued = rows.select("*", *(_col(v).alias(a) for v, a in zip(sums.values(), added)), F.monotonically_increasing_id().alias("_scan_tie"))
+    by = [*keys, *order, "_scan_tie"]
     nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     sorted_ = valued.repartitionByRange(*by).sortWithinPartitions(*by)
-    placed = kept(sorted_.select("*", F.spark_partition_id().alias("_part"), nth.alias("_nth")).drop("_tie"), "scan")
+    placed = kept(sorted_.select("*", F.spark_partition_id().alias("_scan_part"), nth.alias("_scan_nth")).drop("_scan_tie"), "scan")
 
-    inside = Window.partitionBy(*keys, "_part").orderBy("_nth")
+    inside = Window.partitionBy(*keys, "_scan_part").orderBy("_scan_nth")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select(
         "*", *(F.sum(a).over(upto).alias(f"_in{i}") for i, a in enumerate(added)),
-        *(F.lag(c).over(inside).alias(f"_lag{i}") for i, c in enumerate(previous.values())), F.row_number().over(inside).alias("_at"),
+        *(F.lag(c).over(inside).alias(f"_lag{i}") for i, c in enumerate(previous.values())), F.row_number().over(inside).alias("_scan_at"),
     )
-    last = [F.max_by(c, "_nth").alias(f"_last{i}") for i, c in enumerate(previous.values())]
-    totals = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), *(F.sum(a).alias(f"_sum{i}") for i, a in enumerate(added)), *last)
+    last = [F.max_by(c, "_scan_nth").alias(f"_last{i}") for i, c in enumerate(previous.values())]
+    totals = placed.groupBy(*keys, "_scan_part").agg(F.count("*").alias("_scan_n"), *(F.sum(a).alias(f"_sum{i}") for i, a in enumerate(added)), *last)
     before = _before(totals, keys, len(sums), len(previous))
-    joined = local.join(before, [*keys, "_part"])
+    joined = local.join(before, [*keys, "_scan_part"])
     out = {name: F.coalesce(f"_before{i}", F.lit(0)) + F.col(f"_in{i}") for i, name in enumerate(sums)}
     if number:
         out[number] = out[number] - 1
-    out |= {name: F.when(F.col("_at") > 1, F.col(f"_lag{i}")).otherwise(F.col(f"_edge{i}")) for i, name in enumerate(previous)}
+    out |= {name: F.when(F.col("_scan_at") > 1, F.col(f"_lag{i}")).otherwise(F.col(f"_edge{i}")) for i, name in enumerate(previous)}
     return joined.withColumns(out).select(*rows.columns, *out)
 
 
@@ -72,23 +72,23 @@ def _col(c: str | Column) -> Column:
 
 
 def _before(totals: DataFrame, keys: list[str], n_sums: int, n_previous: int) -> DataFrame:
-    """(keys, _part, _before.., _edge..): the sums of the ranges before each, and the last values
+    """(keys, _scan_part, _before.., _edge..): the sums of the ranges before each, and the last values
     there. Without keys there is a row for each range, whose sums the driver adds up."""
     if keys:
-        over = Window.partitionBy(*keys).orderBy("_part")
+        over = Window.partitionBy(*keys).orderBy("_scan_part")
         so_far = over.rowsBetween(Window.unboundedPreceding, -1)
         return totals.select(
-            *keys, "_part", *(F.sum(f"_sum{i}").over(so_far).alias(f"_before{i}") for i in range(n_sums)),
+            *keys, "_scan_part", *(F.sum(f"_sum{i}").over(so_far).alias(f"_before{i}") for i in range(n_sums)),
             *(F.lag(f"_last{i}").over(over).alias(f"_edge{i}") for i in range(n_previous)),
         )
     sums, edges, out = [None] * n_sums, [None] * n_previous, []
-    for row in sorted(totals.collect(), key=lambda r: r["_part"]):
-        out.append((row["_part"], *sums, *edges))
+    for row in sorted(totals.collect(), key=lambda r: r["_scan_part"]):
+        out.append((row["_scan_part"], *sums, *edges))
         add = lambda a, b: b if a is None else a if b is None else a + b
         sums = [add(a, row[f"_sum{i}"]) for i, a in enumerate(sums)]
         edges = [row[f"_last{i}"] for i in range(n_previous)]
     kinds = dict(totals.dtypes)
-    schema = ", ".join(["_part int", *(f"_before{i} {kinds[f'_sum{i}']}" for i in range(n_sums)), *(f"_edge{i} {kinds[f'_last{i}']}" for i in range(n_previous))])
+    schema = ", ".join(["_scan_part int", *(f"_before{i} {kinds[f'_sum{i}']}" for i in range(n_sums)), *(f"_edge{i} {kinds[f'_last{i}']}" for i in range(n_previous))])
     return F.broadcast(totals.sparkSession.createDataFrame(out, schema))
 
 

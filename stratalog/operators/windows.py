@@ -6,16 +6,13 @@ settings of a config that are null take the defaults below.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.config import WindowingConfig
 from stratalog.functions.durations import parse_duration, positive_duration
-from stratalog.operators.scans import kept, numbered, scan
+from stratalog.operators.scans import numbered, scan
+from stratalog.operators.volume import volume_windows
 
 STRATEGIES = ("fixed", "sliding", "session", "adaptive")
 STEP, SESSION_TIMEOUT, TARGET, LEAST, MOST = "1m", "30m", 100, "1m", "1h"
@@ -99,96 +96,26 @@ def session_windows(rows: DataFrame, timeout: str | None = None, key: str | None
     return out.drop("_slice", "_before", "_nth", "_new", "_base", "_in")
 
 
-def positions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """rows with _pos, their place from 0 in the order of a key: the rank inside a time slice,
-    and the rows of the slices before. No task sorts all rows, even without a key."""
-    sliced = rows.withColumn("_slice", F.window("Timestamp", f"{SLICE} seconds").start)
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
-    ranked = sliced.withColumn("_rank", rank).join(counts, [*keys, "_slice"])
-    return ranked.withColumn("_pos", F.col("_before") + F.col("_rank") - 1).drop("_slice", "_rank", "_before")
-
-
-class VolumeWalk:
-    """Cuts sorted times, which come piece by piece, into windows of about target rows.
-
-    A window takes target rows. If they span less than least and rows remain, it takes all up
-    to start + least; else if they span more than most, only those up to start + most. Both
-    go by time, so rows tied with the start count even where an earlier window had them, and
-    the next window starts after as many rows as this one has. Held are the times that the
-    next window may reach.
-    """
-
-    def __init__(self, target: int, least: int, most: int):
-        self.target, self.least, self.most = target, least, most
-        self.held, self.gone, self.at = np.zeros(0, np.int64), 0, 0
-
-    def add(self, micros: np.ndarray, last: bool = False) -> list[tuple[int, int, int]]:
-        """(start time, first row, row after the last) of the windows that are now certain."""
-        held, out = np.concatenate([self.held, micros]), []
-        i, n = self.at - self.gone, len(held)
-        while i < n:
-            # certain if what follows can't change it: enough rows, and times beyond its reach
-            if not last and (i + self.target >= n or held[-1] <= held[i] + max(self.least, self.most)):
-                break
-            a, b = i, min(i + self.target, n)
-            span = held[b - 1] - held[i]
-            if (span < self.least and b < n) or span > self.most:
-                reach = self.least if span < self.least else self.most
-                a = int(np.searchsorted(held, held[i], "left"))
-                b = int(np.searchsorted(held, held[i] + reach, "right"))
-            out.append((int(held[i]), a + self.gone, b + self.gone))
-            i += b - a
-        self.at = i + self.gone
-        # rows tied with the next start, or with the last row if that is still to come, stay
-        keep = int(np.searchsorted(held, held[min(i, n - 1)], "left")) if n else 0
-        self.held, self.gone = held[keep:], self.gone + keep
-        return out
-
-
 def adaptive_windows(
     rows: DataFrame, target: int | None = None, least: str | None = None, most: str | None = None, key: str | None = None
 ) -> DataFrame:
-    """rows, once for each volume window that holds them, by key or over all.
+    """rows, once for each volume window that holds them, by key or over all; rows without key are
+    in none.
 
-    Where a window ends decides where the next begins, so the times of a key, eight bytes
-    each, stream through one task, which holds a window's; rows themselves are numbered and
-    join their windows by position in parallel.
+    A window takes target rows. If they span less than least and rows remain, it takes all up
+    to start + least; else if they span more than most, only those up to start + most. Both
+    go by time, so rows tied with the start count even where an earlier window had them, and
+    the next window starts after as many rows as this one has. Rows and windows meet by position.
     """
     target = target or TARGET
     low, high = parse_duration(least or LEAST) * 1_000_000, parse_duration(most or MOST) * 1_000_000
     rows = _timed(rows)
-    keyed = rows if key else rows.withColumn("_all", F.lit(0))
+    keyed = rows.where(F.col(key).isNotNull()) if key else rows.withColumn("_all", F.lit(0))
     key = key or "_all"
     order = [c for c in ("Timestamp", "line_no", "EventTemplate") if c in rows.columns]
-    ranked = positions(keyed, [key], order)
+    ranked = numbered(keyed, order, "_pos", [key])
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    times = keyed.select(key, micros_between(epoch, F.col("Timestamp")).alias("_us"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, walker, nth = None, None, 0
-
-        def table(found: list[tuple[int, int, int]]) -> pd.DataFrame:
-            first, a, b = (np.array(x, np.int64) for x in zip(*found))
-            return pd.DataFrame({key: at, "_w": first, "_a": a, "_b": b - 1, "_nth": np.arange(nth, nth + len(a))})
-
-        for batch in batches:
-            for value, group in batch.groupby(key, sort=False, dropna=False):
-                if walker is not None and value != at and (found := walker.add(np.zeros(0, np.int64), True)):
-                    yield table(found)
-                if walker is None or value != at:
-                    at, walker, nth = value, VolumeWalk(target, low, high), 0
-                if found := walker.add(group["_us"].to_numpy()):
-                    yield table(found)
-                    nth += len(found)
-        if walker is not None and (found := walker.add(np.zeros(0, np.int64), True)):
-            yield table(found)
-
-    kind = dict(ranked.dtypes)[key]
-    placed = times.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "_us")
-    windows = placed.mapInPandas(walk, f"`{key}` {kind}, _w long, _a long, _b long, _nth long")
+    windows = volume_windows(keyed.select(key, micros_between(epoch, F.col("Timestamp")).alias("_us")), key, target, low, high)
     each = windows.select(key, "_w", "_nth", F.explode(F.sequence("_a", "_b")).alias("_pos"))
     out = ranked.join(each, [key, "_pos"]).withColumn("Window", _plus(epoch, F.col("_w")))
     return out.drop("_pos", "_w", "_all")

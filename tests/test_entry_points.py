@@ -1,11 +1,9 @@
 import json
-import random
 import re
 import threading
 from datetime import datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +13,6 @@ from stratalog.config import DatasetConfig, ParsingConfig
 from stratalog.functions.patterns import match_groups, named_groups
 from stratalog.functions.times import parse_time
 from stratalog.operators import records, views
-from stratalog.operators import windows as W
 from stratalog.operators.templates import parameters
 from stratalog.sources import push
 from stratalog.sources.readers import load_dataset
@@ -52,20 +49,6 @@ def test_parameters_of_templates(spark):
     assert [r.p for r in got] == [r[2] for r in rows]
 
 
-def test_volume_windows_piece_by_piece():
-    rng = random.Random(3)
-    for _ in range(200):
-        at = np.array(sorted(rng.randrange(60) for _ in range(rng.randint(1, 60))))
-        target, least, most = rng.randint(1, 7), rng.randint(0, 9), rng.randint(5, 20)
-        whole = W.VolumeWalk(target, least, most).add(at, True)
-        walker, found, k = W.VolumeWalk(target, least, most), [], 0
-        while k < len(at):
-            n = rng.randint(1, 9)
-            found += walker.add(at[k : k + n])
-            k += n
-        assert found + walker.add(at[:0], True) == whole
-
-
 def test_streams_go_by_their_configs(spark):
     names = ["bgl", "hdfs", "hdfs_v1", "Apache"]
     want = {"bgl": "bgl", "HDFS": "hdfs", "hdfs_v": "hdfs_v1", "apa": "Apache", "none": None, "": None}

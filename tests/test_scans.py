@@ -57,5 +57,5 @@ def test_no_window_over_all_rows(spark):
     for p in plans:
         text = plan_of(p)
         for window in re.findall(r"\) Window\n(?:.*\n)*?Arguments: (.*)", text):
-            assert "_part" in window, window  # by range, never over all rows
+            assert "_scan_part" in window, window  # by range, never over all rows
         assert p.count() > 0
