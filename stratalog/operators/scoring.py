@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from stratalog.config import AnomalyConfig
 from stratalog.operators.matrix import feature_dictionary
+from stratalog.operators.scans import kept
+from stratalog.operators.wide import fit_wide, score_wide
 
-#: Templates that a model may have: its p x p matrix is held by the driver and each task.
+#: Templates up to which the p x p matrix of a model is held by the driver and each task.
 MOST_FEATURES = 4096
 
 
@@ -65,12 +67,16 @@ class PcaModel:
 
 
 def residual_limit(eigenvalues: np.ndarray, kept: int, alpha: float) -> float:
-    """Jackson-Mudholkar limit of the squared residual at level alpha; infinite where the
-    residual has no spread to speak of."""
+    """limit_of_moments of the variances beyond those kept."""
     rest = eigenvalues[kept:]
     if not len(rest) or np.allclose(rest, 0):
         return float("inf")
-    t1, t2, t3 = (float((rest**i).sum()) for i in (1, 2, 3))
+    return limit_of_moments(*(float((rest**i).sum()) for i in (1, 2, 3)), alpha)
+
+
+def limit_of_moments(t1: float, t2: float, t3: float, alpha: float) -> float:
+    """Jackson-Mudholkar limit of the squared residual at level alpha, from the sums of the residual
+    variances, their squares and cubes; infinite where the residual has no spread to speak of."""
     if t2 <= 0:
         return float("inf")
     h = 1 - 2 * t1 * t3 / (3 * t2 * t2)
@@ -93,9 +99,9 @@ def subspace(covariance: np.ndarray, rank: int, share: float) -> tuple[np.ndarra
     return values, vectors[:, :kept], kept
 
 
-def _vectors(features: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _vectors(features: DataFrame, dictionary: DataFrame, few: bool = True) -> DataFrame:
     """(Window, ids, values): each window's sparse vector."""
-    placed = features.join(F.broadcast(dictionary), "feature")
+    placed = features.join(F.broadcast(dictionary) if few else dictionary, "feature")
     pairs = F.array_sort(F.collect_list(F.struct("feature_id", "value")))
     return placed.groupBy("Window").agg(pairs.alias("_v")).select(
         "Window", F.col("_v.feature_id").alias("ids"), F.col("_v.value").cast("array<double>").alias("values")
@@ -155,12 +161,9 @@ def fit_pca(vectors: DataFrame, p: int, config: AnomalyConfig) -> PcaModel | Non
 
 
 def _dictionary(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(feature, feature_id) and their number, which is checked before anything is gathered."""
+    """(feature, feature_id) and their number."""
     dictionary = feature_dictionary(counts).withColumnRenamed("EventTemplate", "feature")
-    p = dictionary.limit(MOST_FEATURES + 1).count()
-    if p > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} templates: lower max_clusters or mask more")
-    return dictionary, p
+    return dictionary, dictionary.count()
 
 
 def _scored(vectors: DataFrame, model: PcaModel | None, p: int, kind: str) -> DataFrame:
@@ -187,12 +190,16 @@ def _scored(vectors: DataFrame, model: PcaModel | None, p: int, kind: str) -> Da
 def score_windows(counts: DataFrame, config: AnomalyConfig) -> DataFrame:
     """(Window, AnomalyScore, IsAnomaly) of the windows in counts(Window, EventTemplate, cnt).
 
-    Two passes over the long form: sums and products, then scores. Without features or with
+    Two passes over the long form: sums and products, then scores; with more than MOST_FEATURES
+    templates some passes more, but no square matrix of them. Without features or with
     one window the score is 0 and nothing is flagged; an empty table stays empty.
     """
     dictionary, p = _dictionary(counts)
     features = counts.select("Window", F.col("EventTemplate").alias("feature"), F.col("cnt").cast("double").alias("value"))
-    vectors = _vectors(tfidf(features) if config.use_tfidf else features, dictionary)
+    vectors = _vectors(tfidf(features) if config.use_tfidf else features, dictionary, p <= MOST_FEATURES)
+    if p > MOST_FEATURES:
+        vectors = kept(vectors, "vectors")  # read by each pass
+        return score_wide(vectors, fit_wide(vectors, p, config, limit_of_moments), dict(counts.dtypes)["Window"])
     return _scored(vectors, fit_pca(vectors, p, config), p, dict(counts.dtypes)["Window"])
 
 
@@ -230,6 +237,8 @@ class FittedDetector:
 def fit_detector(counts: DataFrame, config: AnomalyConfig) -> FittedDetector | None:
     """Fit on all windows of counts; None where there are fewer than two."""
     dictionary, p = _dictionary(counts)
+    if p > MOST_FEATURES:
+        raise ValueError(f"a kept detector has at most {MOST_FEATURES} templates")
     features = counts.select("Window", F.col("EventTemplate").alias("feature"), F.col("cnt").cast("double").alias("value"))
     model = fit_pca(_vectors(features, dictionary), p, config)
     return FittedDetector([r.feature for r in dictionary.orderBy("feature_id").collect()], model) if model else None
