@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.config import PipelineConfig
+from stratalog.operators import forest  # noqa: F401  its detector is registered
 from stratalog.operators.matrix import counts_of_windows, event_counts, window_metadata
 from stratalog.operators.preprocess import parse_lines
 from stratalog.operators.scoring import detect

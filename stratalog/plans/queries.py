@@ -185,25 +185,6 @@ def parse_lenient(spark, sf_dir):
     return rows.select("line_no", "LogLevel", "Content", "Timestamp")
 
 
-_FORMATS = {
-    "apache": ("%a %b %d %H:%M:%S %Y", "Sun Dec 04 04:47:44 2005"),
-    "bgl": ("%Y-%m-%d-%H.%M.%S.%f", "2005-06-03-15.42.50.675872"),
-    "hdfs": ("%y%m%d %H%M%S", "081109 203518"),
-    "openstack": ("%Y-%m-%d %H:%M:%S.%f", "2017-05-16 00:00:00.008"),
-    "thunderbird": ("%b %d %H:%M:%S", "Nov 09 12:01:01"),
-    "unparsed": ("%y%m%d%H%M%S", "081109"),
-}
-
-
-@query("\nUNION ALL\n".join(
-    f"SELECT '{k}' AS source, " + ("CAST(NULL AS TIMESTAMP)" if k == "unparsed" else f"strptime('{s}', '{f}')" if k != "thunderbird"
-    else "strptime('1900 ' || '" + s + "', '%Y " + f + "')") + ' AS "Timestamp"' for k, (f, s) in _FORMATS.items()))
-def timestamp_formats(spark, sf_dir):
-    rows = spark.createDataFrame([(k, s) for k, (_, s) in _FORMATS.items()], "source string, text string")
-    parsed = F.coalesce(*[F.when(F.col("source") == k, parse_time(F.col("text"), f)) for k, (f, _) in _FORMATS.items()])
-    return rows.select("source", parsed.alias("Timestamp"))
-
-
 @query(f"""
 WITH p AS (SELECT line_no, regexp_extract(raw_log, '{_RE}', 3) AS c, strptime(regexp_extract(raw_log, '{_RE}', 1), '%Y-%m-%d %H:%M:%S') AS ts
   FROM {_LINES} WHERE regexp_matches(raw_log, '{_RE}')),
@@ -653,6 +634,52 @@ def stream_emitted_counts(spark, sf_dir):
     return spark.read.schema("Window timestamp_ntz, EventTemplate string, cnt long").parquet(f"{folder}/event_matrix.parquet")
 
 
+@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS "Window", event_type AS "EventTemplate", count(*) AS cnt FROM events GROUP BY ALL""")
+def stream_corrected_counts(spark, sf_dir):
+    """Rows in any order, four files to as many micro-batches, the query being started again after
+    two of them: what its corrections add up to is what a batch counts."""
+    from stratalog.streaming.pipeline import corrected_counts, folded, start
+
+    rows = events(spark, sf_dir).select("Timestamp", "EventTemplate", "line_no")
+    folder = shared_folder(spark, "stream")
+    for half in (0, 2):
+        for k in (half, half + 1):
+            rows.where(F.pmod(F.xxhash64("line_no"), F.lit(4)) == k).drop("line_no").repartition(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("Timestamp timestamp_ntz, EventTemplate string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        start(corrected_counts(stream, "6h"), folder, f"{folder}/checkpoint", "corrections").awaitTermination()
+    schema = "Window timestamp_ntz, EventTemplate string, old long, new long"
+    return folded(spark.read.schema(schema).parquet(f"{folder}/corrections.parquet"))
+
+
+@query("""
+WITH s AS (SELECT event_type AS datastream, time_bucket(INTERVAL 1 HOUR, ts) AS w, round(max(value), 6) AS v FROM events GROUP BY ALL),
+g AS (SELECT *, last_value(CASE WHEN v > 98 THEN 1 WHEN v < 90 THEN 0 END IGNORE NULLS) OVER (PARTITION BY datastream ORDER BY w) AS is_open FROM s),
+c AS (SELECT *, coalesce(is_open, 0) AS o, coalesce(lag(is_open) OVER (PARTITION BY datastream ORDER BY w), 0) AS before FROM g)
+SELECT datastream, w AS "Window", CASE WHEN o = 1 THEN 'open' ELSE 'close' END AS change, v AS "AnomalyScore" FROM c WHERE o <> before
+""")
+def stream_alerts(spark, sf_dir):
+    """Alerts of five streams of scores in order, day by day: opened above 98, closed below 90."""
+    from stratalog.streaming.pipeline import AlertRule, alerts, start
+
+    scores = windows.fixed_windows(events(spark, sf_dir), "1h").groupBy(F.col("EventTemplate").alias("datastream"), "Window").agg(F.round(F.max("value"), 6).alias("AnomalyScore"))
+    low, high = scores.agg(F.min("Window"), F.max("Window")).first()
+    folder, cuts = shared_folder(spark, "alerts"), [low + (high - low) * k / 4 for k in range(1, 4)]
+    quarter = sum((F.col("Window") >= F.lit(c)).cast("int") for c in cuts)
+    for k in range(4):
+        scores.where(quarter == k).repartition(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rule = AlertRule(98, 90, every=10**9, silence=10**9)
+    start(alerts(stream, rule), folder, f"{folder}/checkpoint", "alerts").awaitTermination()
+    return spark.read.schema("datastream string, Window timestamp_ntz, change string, AnomalyScore double").parquet(f"{folder}/alerts.parquet")
+
+
+@query()
+def isolation_forest_scores(spark, sf_dir):
+    """The hourly counts by an isolation forest with a fixed seed."""
+    counts = matrix.event_counts(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    return scoring.detect(counts, AnomalyConfig(algorithm="isolation_forest"))
+
+
 def _line_files(spark, sf_dir) -> str:
     """The synthetic lines as text files in line order, a blank line after each tenth."""
     folder = shared_folder(spark, "lines")

@@ -73,6 +73,109 @@ def session_counts(rows: DataFrame, timeout: str, key: str, lateness: str = "10
     return found.select(key, _plain("WindowStart").alias("WindowStart"), _plain("WindowEnd").alias("WindowEnd"), "LogCount")
 
 
+def corrected_counts(rows: DataFrame, size: str, retention: str | None = None) -> DataFrame:
+    """(Window, EventTemplate, old, new) of a stream: a row whenever the count of a template in a
+    window changes, however late its rows come. The sum of new - old is the count.
+
+    The counts so far are the query's checkpointed state, a number each. With retention they are
+    kept until the watermark, that much behind the latest row, passes the window's end; rows later than
+    that are dropped by Spark and show in the query's progress.
+    """
+    seconds = positive_duration(size, "window_size")
+    rows = rows.where("Timestamp IS NOT NULL AND EventTemplate IS NOT NULL")
+    rows = _watermarked(rows, f"{positive_duration(retention, 'retention')} seconds") if retention else rows.withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))
+    placed = rows.select(F.window("Timestamp", f"{seconds} seconds").alias("_w"), "EventTemplate")
+    placed = placed.select(F.col("_w.start").alias("_start"), "EventTemplate", "_w") if retention else placed.select(F.col("_w.start").alias("_start"), "EventTemplate")
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old = state.get[0] if state.exists else 0
+        new = old + sum(map(len, batches))
+        state.update((new,))
+        if retention:
+            end = int(pd.Timestamp(key[0]).timestamp() * 1000) + seconds * 1000
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"_start": [key[0]], "EventTemplate": [key[1]], "old": [old], "new": [new]})
+
+    timeout = GroupStateTimeout.EventTimeTimeout if retention else GroupStateTimeout.NoTimeout
+    schema = "_start timestamp, EventTemplate string, old long, new long"
+    found = placed.groupBy("_start", "EventTemplate").applyInPandasWithState(count, schema, "n long", "append", timeout)
+    return found.select(_plain("_start").alias("Window"), "EventTemplate", "old", "new")
+
+
+def folded(corrections: DataFrame) -> DataFrame:
+    """(Window, EventTemplate, cnt) that corrections add up to."""
+    return corrections.groupBy("Window", "EventTemplate").agg(F.sum(F.col("new") - F.col("old")).alias("cnt"))
+
+
+@dataclass
+class AlertRule:
+    """An alert opens above high and closes below low; while open it is repeated after every so many
+    seconds; without a window for silence seconds it closes."""
+
+    high: float
+    low: float
+    every: int = 3600
+    silence: int = 86_400
+
+    def changes(self, state: tuple | None, window: pd.Timestamp, score: float) -> tuple[tuple | None, list[tuple]]:
+        """(state, changes) after a window; state is (opened, told, seen, score) while open."""
+        out = []
+        if state and (window - state[2]).total_seconds() > self.silence:
+            out.append((state[2] + pd.Timedelta(seconds=self.silence), "close", state[3]))
+            state = None
+        if not state:
+            return ((window, window, window, score), [*out, (window, "open", score)]) if score > self.high else (None, out)
+        if score < self.low:
+            return None, [*out, (window, "close", score)]
+        told = state[1]
+        if (window - told).total_seconds() >= self.every:
+            told, out = window, [*out, (window, "repeat", score)]
+        return (state[0], told, window, score), out
+
+
+def alerts(scores: DataFrame, rule: AlertRule, lateness: str = "10 minutes") -> DataFrame:
+    """(datastream, Window, change, AnomalyScore) of a stream of scores(datastream, Window,
+    AnomalyScore): one row for each opening, repetition and closing of a stream's alert.
+
+    Windows of a stream come in order, as window streams give them; those before the last one seen
+    are left out. A timer closes an alert when the watermark passes its silence.
+    """
+    rows = scores.where("Window IS NOT NULL AND AnomalyScore IS NOT NULL").select(
+        F.col("datastream").cast("string").alias("datastream"), F.col("Window").cast("timestamp").alias("_at"), F.col("AnomalyScore").cast("double").alias("AnomalyScore")
+    )
+    stamp = lambda t: int(t.value // 1000)  # noqa: E731  microseconds
+    back = lambda us: pd.Timestamp(us * 1000)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, told, seen, score, is_open = state.get if state.exists else (0, 0, None, 0.0, False)
+        now = (back(opened), back(told), back(seen), score) if is_open else None
+        out = []
+        if state.hasTimedOut:
+            out.append((back(seen) + pd.Timedelta(seconds=rule.silence), "close", score))
+            now = None
+        else:
+            rows = pd.concat(list(batches)).sort_values("_at", kind="stable")
+            for at, value in zip(rows["_at"], rows["AnomalyScore"]):
+                if seen is None or stamp(at) > seen:
+                    now, some = rule.changes(now, at, value)
+                    seen = stamp(at)
+                    out += some
+        state.update((stamp(now[0]), stamp(now[1]), seen, float(now[3]), True) if now else (0, 0, seen, 0.0, False))
+        if now:
+            state.setTimeoutTimestamp(max(seen // 1000 + rule.silence * 1000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            at, change, score = zip(*out)
+            yield pd.DataFrame({"datastream": key[0], "_at": at, "change": change, "AnomalyScore": score})
+
+    schema = "datastream string, _at timestamp, change string, AnomalyScore double"
+    kept = "opened long, told long, seen long, score double, is_open boolean"
+    found = rows.withWatermark("_at", lateness).groupBy("datastream").applyInPandasWithState(follow, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("datastream", _plain("_at").alias("Window"), "change", "AnomalyScore")
+
+
 def flush_counts(rows: DataFrame, emitted: DataFrame, size: str) -> DataFrame:
     """What a bounded run still owes: counts of the windows of rows (a batch read of the same
     input) that the stream did not emit."""
