@@ -149,10 +149,14 @@ def fit_pca(vectors: DataFrame, p: int, config: AnomalyConfig) -> PcaModel | Non
     """The model of all windows' vectors; None for fewer than two windows or no features."""
     if not p:
         return None
-    n, sums, products = _gram(vectors, p)
+    return model_of(*_gram(vectors, p), config)
+
+
+def model_of(n: int, sums: np.ndarray, products: np.ndarray, config: AnomalyConfig) -> PcaModel | None:
+    """The model of n windows with these sums of counts and of their products."""
     if n < 2:
         return None
-    mean = sums / n
+    p, mean = len(sums), sums / n
     var = np.maximum(products.diagonal() / n - mean**2, 0)
     deviation = np.where(config.use_scaling & (var > 1e-24), np.sqrt(var), 1.0)
     covariance = (products - n * np.outer(mean, mean)) / (n - 1) / np.outer(deviation, deviation)

@@ -673,6 +673,23 @@ def stream_alerts(spark, sf_dir):
     return spark.read.schema("datastream string, Window timestamp_ntz, change string, AnomalyScore double").parquet(f"{folder}/alerts.parquet")
 
 
+@query(_pca_sql("SELECT ts, event_type AS t FROM events"))
+def stream_incremental_scores(spark, sf_dir):
+    """Hourly counts in four batches, each leaving its sums: the model after the last of them is
+    that of all windows."""
+    from stratalog.streaming.moments import MomentStore, scored_stream
+
+    counts = matrix.event_counts(windows.fixed_windows(events(spark, sf_dir), "1h"))
+    folder = shared_folder(spark, "moments")
+    part = F.pmod(F.xxhash64("Window"), F.lit(4))
+    for k in range(4):
+        counts.where(part == k).repartition(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(counts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    store = MomentStore(spark, folder)
+    scored_stream(stream, store, _FOUR_OF_FIVE, f"{folder}/checkpoint").awaitTermination()
+    return store.detector(_FOUR_OF_FIVE).score(counts).withColumn("AnomalyScore", F.round("AnomalyScore", 5))
+
+
 @query()
 def isolation_forest_scores(spark, sf_dir):
     """The hourly counts by an isolation forest with a fixed seed."""
