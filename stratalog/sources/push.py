@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import logging
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 from pyspark.sql import DataFrame, Row
 
-#: Records of a request, and seconds that one may take.
-BATCH, TIMEOUT = 1000, 5.0
+#: Records of a request, seconds that one may take, tries, and seconds before the second.
+BATCH, TIMEOUT, TRIES, FIRST_WAIT = 1000, 5.0, 5, 0.5
 
 
 def request_body(records: Iterable[Row]) -> dict:
@@ -23,18 +25,37 @@ def request_body(records: Iterable[Row]) -> dict:
     return {"streams": [{"stream": dict(k), "values": v} for k, v in streams.items()]}
 
 
-def push(records: DataFrame, url: str) -> None:
-    """Send records (as log_records gives them) to url. A request that fails is logged by its
-    task and left out; the others go on."""
+def send_request(url: str, body: bytes) -> OSError | None:
+    """Post body to url, again after FIRST_WAIT seconds and twice as long each time while the server
+    is not reached or not able; what is wrong at last, if anything. Refusals are not tried again."""
+    for attempt in range(TRIES):
+        try:
+            asked = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+            urllib.request.urlopen(asked, timeout=TIMEOUT).close()
+            return None
+        except urllib.error.HTTPError as e:
+            wrong = e
+            if e.code < 500 and e.code != 429:
+                return e
+        except OSError as e:
+            wrong = e
+        if attempt + 1 < TRIES:
+            time.sleep(FIRST_WAIT * 2**attempt)
+    return wrong
+
+
+def push(records: DataFrame, url: str, must: bool = False) -> None:
+    """Send records (as log_records gives them) to url. A request that fails after some tries is
+    logged by its task and left out, and the others go on; with must the task fails
+    instead, so that Spark runs it again and nothing is lost, while some may be sent twice."""
 
     def send(rows: Iterator[Row]) -> None:
         while batch := list(islice(rows, BATCH)):
-            body = json.dumps(request_body(batch)).encode()
-            try:
-                asked = urllib.request.Request(url, body, {"Content-Type": "application/json"})
-                urllib.request.urlopen(asked, timeout=TIMEOUT).close()
-            except OSError as e:
-                logging.getLogger("stratalog").error("%d records were not taken by %s: %s", len(batch), url, e)
+            wrong = send_request(url, json.dumps(request_body(batch)).encode())
+            if wrong and must:
+                raise wrong
+            if wrong:
+                logging.getLogger("stratalog").error("%d records were not taken by %s: %s", len(batch), url, wrong)
 
     records.foreachPartition(send)
 

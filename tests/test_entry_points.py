@@ -125,3 +125,28 @@ def test_clusters_need_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Session, "x")
+
+
+def test_push_tries_again(spark, monkeypatch):
+    seen = []
+
+    class Busy(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append(self.path)
+            self.send_response(404 if self.path == "/gone" else 503 if len(seen) < 3 else 204)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Busy)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setattr(push, "FIRST_WAIT", 0.01)
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert push.send_request(url + "/push", b"{}") is None and len(seen) == 3
+    assert push.send_request(url + "/gone", b"{}").code == 404 and len(seen) == 4
+    server.shutdown()
+    with pytest.raises(Exception, match="404|refused|Connection"):
+        rows = records.log_records(spark.createDataFrame([("2024-01-01", "s", "t")], "Timestamp string, datastream string, EventTemplate string").selectExpr("CAST(Timestamp AS TIMESTAMP_NTZ) AS Timestamp", "datastream", "EventTemplate"))
+        push.push(rows, "http://127.0.0.1:9/none", must=True)

@@ -12,10 +12,11 @@ from stratalog.operators.windows import assign_windows
 from stratalog.plans.pipeline import compare_strategies
 from stratalog.sources.readers import from_lines
 
+# The form of an Apache log's lines and times.
 APACHE = PreprocessingConfig(r"\[(?P<Timestamp>.+?)\]\s+\[(?P<LogLevel>\w+)]\s+(?P<Content>.+)", "%a %b %d %H:%M:%S %Y")
 LINES = [
-    "[Sun Dec 04 04:47:44 2005] [notice] workerEnv.init() ok /etc/httpd/conf/workers2.properties",
-    "[Sun Dec 04 04:47:44 2005] [error] mod_jk child workerEnv in error state 6",
+    "[Sun Dec 04 04:47:44 2005] [notice] child 17 is up, config /srv/web/site.conf",
+    "[Sun Dec 04 04:47:44 2005] [error] child 18 failed with state 6",
     "  ",
     "not a line",
     "[Sun Dec 99 04:47:44 2005] [error] bad time",
