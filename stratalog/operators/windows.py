@@ -85,10 +85,18 @@ def session_windows(rows: DataFrame, timeout: str | None = None, key: str | None
     slices = ranked.groupBy(*keys, "_slice").agg(
         F.min("Timestamp").alias("_least"), F.max("Timestamp").alias("_last"), F.sum("_new").alias("_breaks")
     )
-    slices = scan(slices, ["_slice"], keys=keys, previous={"_ended": "_last"})
+    if keys:  # a key has a row for each slice with rows
+        over = Window.partitionBy(*keys).orderBy("_slice")
+        slices = slices.withColumn("_ended", F.lag("_last").over(over))
+    else:
+        slices = scan(slices, ["_slice"], previous={"_ended": "_last"})
     since = F.timestamp_diff("SECOND", F.col("_ended"), F.col("_least"))
     slices = slices.withColumn("_opens", F.coalesce(since > seconds, F.lit(True)).cast("long"))
-    slices = scan(slices, ["_slice"], {"_total": F.col("_opens") + F.col("_breaks")}, keys)
+    starts = F.col("_opens") + F.col("_breaks")
+    if keys:
+        slices = slices.withColumn("_total", F.sum(starts).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        slices = scan(slices, ["_slice"], {"_total": starts})
     slices = slices.select(*keys, "_slice", (F.col("_total") - F.col("_breaks")).alias("_base"))
     running = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     joined = ranked.withColumn("_in", running).join(slices, [*keys, "_slice"])
