@@ -18,6 +18,7 @@ from stratalog.functions.times import parse_time
 from stratalog.operators import evaluate, matrix, mining, profile, records, scoring, templates, views, windows
 from stratalog.operators.preprocess import parse_lines
 from stratalog.plans.pipeline import BatchPipeline, compare_strategies, summarise
+from stratalog.sources.arrays import write_json_arrays
 from stratalog.sources.readers import load_dataset, read_results
 from stratalog.sources.writers import save_stages, shared_folder
 
@@ -727,6 +728,16 @@ def sink_round_trip(spark, sf_dir):
     return out
 
 
+@query("SELECT event_id, user_id, event_type, ts, value, props FROM events")
+def json_array_round_trip(spark, sf_dir):
+    """Events stored as JSON documents that are arrays, read again split by split."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value", "props")
+    folder = f"{shared_folder(spark, 'arrays')}.json"
+    write_json_arrays(rows, folder)
+    found = load_dataset(spark, DatasetConfig(path=folder, format=None))
+    return found.select(*[F.col(c).cast(kind) for c, kind in rows.dtypes])
+
+
 def _run_config(spark, sf_dir, **windowing) -> PipelineConfig:
     return PipelineConfig(
         DatasetConfig(path=_line_files(spark, sf_dir)), _strict(), MASKS, WindowingConfig(**windowing), _FOUR_OF_FIVE,

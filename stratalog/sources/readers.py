@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stratalog.config import DatasetConfig
 from stratalog.functions.patterns import strip
 from stratalog.operators.preprocess import with_line_numbers
+from stratalog.sources.arrays import read_json_array
 
 
 def _decoded(value: Column) -> Column:
@@ -40,10 +41,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, which are read split by split, or a document that is an array of rows, which
-    one task reads: the first character that is not blank tells."""
-    first = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).limit(1).select(strip(F.col("value"))).first()
-    return spark.read.option("multiLine", bool(first) and first[0].startswith("[")).json(path)
+    """JSON lines or documents that are arrays of rows, both read split by split: the first
+    character of a file that is not blank tells."""
+    heads = spark.read.option("lineSep", "{").text(path).where("_metadata.file_block_start = 0")
+    text = F.ltrim(F.translate("value", "\ufeff\t\r\n", "    "))
+    first = heads.where(F.length(text) > 0).select(F.left(text, F.lit(1))).limit(1).first()
+    return read_json_array(spark, path) if first and first[0] == "[" else spark.read.json(path)
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalog.operators.records import flat_for_csv
 
 FORMATS = ("parquet", "csv", "json")
+#: Text forms of times with all their microseconds; Spark's own stop at thousandths.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
@@ -36,9 +38,9 @@ def write_stage(rows: DataFrame, folder: str, stage: str, fmt: str, mode: str =
     if fmt == "parquet":
         rows.write.mode(mode).option("compression", "zstd").parquet(path)
     elif fmt == "json":
-        rows.write.mode(mode).json(path)
+        rows.write.mode(mode).options(**TIMES).json(path)
     elif fmt == "csv":
-        flat_for_csv(rows).write.mode(mode).option("header", True).csv(path)
+        flat_for_csv(rows).write.mode(mode).options(header=True, **TIMES).csv(path)
     else:
         return None
     return path

@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stratalog.config import AnomalyConfig, ParsingConfig, PreprocessingConfig, WindowingConfig
+from stratalog.config import AnomalyConfig, DatasetConfig, ParsingConfig, PreprocessingConfig, WindowingConfig
 from stratalog.plans import stages as S
-from stratalog.sources.readers import from_lines
+from stratalog.sources.readers import from_lines, load_dataset
+from stratalog.sources.writers import write_stage
 from stratalog.streaming.progress import RunCounters
 
 
@@ -56,3 +57,11 @@ def test_counters(spark, tmp_path):
         assert counters.rows == 2 and counters.batches == 1
     finally:
         spark.streams.removeListener(counters)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+def test_times_are_stored_with_their_microseconds(spark, tmp_path, fmt):
+    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 10:00:00.123456' AS n, TIMESTAMP'2024-01-01 10:00:00.000001' AS z")
+    found = load_dataset(spark, DatasetConfig(path=write_stage(rows, str(tmp_path), "t", fmt), format=None))
+    got = found.select(F.col("n").cast("timestamp_ntz").cast("string"), F.col("z").cast("timestamp").cast("string")).first()
+    assert tuple(got) == ("2024-01-01 10:00:00.123456", "2024-01-01 10:00:00.000001")
