@@ -1,10 +1,11 @@
-"""Command line: run a config, or print the plot data of a run's results."""
+"""Command line: run a config, print the plot data of a run's results, or receive requests."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import logging
+import threading
 from logging.handlers import RotatingFileHandler
 
 from pyspark.sql import SparkSession
@@ -14,6 +15,7 @@ from stratalog.config import load_config
 from stratalog.operators.views import box_by_class, count_and_score, histogram, score_series
 from stratalog.plans.pipeline import BatchPipeline
 from stratalog.sources.readers import read_results
+from stratalog.sources.received import RequestLog, http_receiver, line_receiver
 from stratalog.sources.writers import write_stage
 
 
@@ -28,6 +30,20 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("stratalog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def receive(folder: str, name: str, host: str, http: int | None, lines: int | None) -> None:
+    """Log requests until stopped."""
+    log = RequestLog(folder, name)
+    servers = [make(log, host, port) for make, port in ((http_receiver, http), (line_receiver, lines)) if port]
+    if not servers:
+        raise ValueError("give --http or --lines")
+    threads = [threading.Thread(target=s.serve_forever) for s in servers]
+    for t in threads:
+        t.start()
+    logging.getLogger("stratalog").info("%s takes requests", name)
+    for t in threads:
+        t.join()
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="stratalog")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -40,6 +56,12 @@ def main(argv: list[str] | None = None) -> int:
     show.add_argument("results")
     show.add_argument("--format", choices=("table", "csv", "json", "parquet"), default="table", help="files go to RESULTS/plots")
     show.add_argument("--interactive", action="store_true", help="whole tables instead of their first rows")
+    take = commands.add_parser("receive", help="log requests below FOLDER, from where the received_requests source reads them")
+    take.add_argument("folder")
+    take.add_argument("--name", default="receiver", help="one running process a name")
+    take.add_argument("--host", default="0.0.0.0")
+    take.add_argument("--http", type=int, help="port of posted JSON")
+    take.add_argument("--lines", type=int, help="port of JSON lines over TCP")
     args = parser.parse_args(argv)
     setup_logging("DEBUG" if getattr(args, "verbose", False) else "INFO")
     try:
@@ -49,6 +71,8 @@ def main(argv: list[str] | None = None) -> int:
             config.output.directory = args.output_dir or config.output.directory
             _, summary = BatchPipeline(_session(), config).run()
             print(json.dumps(summary, indent=2, default=str))
+        elif args.command == "receive":
+            receive(args.folder, args.name, args.host, args.http, args.lines)
         else:
             anomalies = read_results(_session(), args.results).withColumn("IsAnomaly", F.col("IsAnomaly").cast("boolean"))
             plots = {"scores": score_series(anomalies), "histogram": histogram(anomalies, "AnomalyScore"), "box": box_by_class(anomalies)}

@@ -25,12 +25,12 @@ def request_body(records: Iterable[Row]) -> dict:
     return {"streams": [{"stream": dict(k), "values": v} for k, v in streams.items()]}
 
 
-def send_request(url: str, body: bytes) -> OSError | None:
+def send_request(url: str, body: bytes, headers: dict[str, str] | None = None) -> OSError | None:
     """Post body to url, again after FIRST_WAIT seconds and twice as long each time while the server
     is not reached or not able; what is wrong at last, if anything. Refusals are not tried again."""
     for attempt in range(TRIES):
         try:
-            asked = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+            asked = urllib.request.Request(url, body, {"Content-Type": "application/json"} | (headers or {}))
             urllib.request.urlopen(asked, timeout=TIMEOUT).close()
             return None
         except urllib.error.HTTPError as e:
