@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -775,9 +774,12 @@ def chunk_run(spark, sf_dir):
     from stratalog.streaming.pipeline import ChunkPipeline
 
     config = _run_config(spark, sf_dir, window_size="1d")
-    folder, lines = shared_folder(spark, "chunks"), (r.raw_log for r in load_dataset(spark, config.dataset).orderBy("line_no").toLocalIterator())
-    n = max(1000, -(-table(spark, sf_dir, "events").count() // 4))
-    ChunkPipeline(spark, config, folder, CLOCK).process_stream(iter(lambda: list(islice(lines, n)), []))
+    folder, numbered = shared_folder(spark, "chunks"), shared_folder(spark, "numbered")
+    load_dataset(spark, config.dataset).write.parquet(numbered)
+    lines, n = spark.read.parquet(numbered), max(1000, -(-table(spark, sf_dir, "events").count() // 4))
+    last = lines.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
+    chunks = (lines.where(F.col("line_no").between(k + 1, k + n)) for k in range(0, last, n))
+    ChunkPipeline(spark, config, folder, CLOCK).process_stream(chunks)
     return read_results(spark, folder, "windowed").select("Window", "WindowStart", "WindowEnd", "LogCount")
 
 

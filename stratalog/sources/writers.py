@@ -32,9 +32,10 @@ def run_folder(directory: str, now: datetime | None = None) -> str:
     return f"{directory.rstrip('/')}/{(now or datetime.now()):%Y%m%d-%H%M%S}"
 
 
-def write_stage(rows: DataFrame, folder: str, stage: str, fmt: str, mode: str = "errorifexists") -> str | None:
-    """Write one stage as a folder of part files; other formats than FORMATS are left out."""
-    path = f"{folder}/{stage}.{fmt}"
+def write_stage(rows: DataFrame, folder: str, stage: str, fmt: str, mode: str = "errorifexists", part: str = "") -> str | None:
+    """Write one stage, or the named part of it, as a folder of part files; other formats than
+    FORMATS are left out."""
+    path = f"{folder}/{stage}.{fmt}" + (f"/{part}" if part else "")
     if fmt == "parquet":
         rows.write.mode(mode).option("compression", "zstd").parquet(path)
     elif fmt == "json":

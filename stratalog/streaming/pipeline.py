@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import logging
-import pickle
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, fields, replace
 from datetime import datetime
 
 import pandas as pd
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +23,7 @@ from stratalog.operators.templates import TemplateTree, extract_templates, maske
 from stratalog.operators.windows import assign_windows, fixed_windows, window_table
 from stratalog.plans.pipeline import scored
 from stratalog.sources.readers import from_lines
-from stratalog.sources.writers import append_stage
+from stratalog.sources.writers import append_stage, shared_folder, write_stage
 
 
 _log = logging.getLogger("stratalog")
@@ -216,36 +217,56 @@ def start(counts: DataFrame, folder: str, checkpoint: str, stage: str = "event_m
 
 @dataclass
 class ChunkState:
-    """What goes from chunk to chunk: rows of the open window, and counters."""
+    """What goes from chunk to chunk: the table of the open window's rows, and counters."""
 
-    remainder: list[dict] = field(default_factory=list)
+    remainder: str = ""
     total_logs: int = 0
     total_windows: int = 0
     total_anomalies: int = 0
     chunks: int = 0
+    step: int = 0
+    batch: int = -1
 
     def save(self, path: str) -> None:
-        with open(path, "wb") as f:
-            pickle.dump(self, f)
+        """Add this state to the table at path, which any store that Spark writes may hold."""
+        kinds = {"remainder": "string", "step": "int", "batch": "long"}
+        schema = ", ".join(f"{f.name} {kinds.get(f.name, 'long')}" for f in fields(self))
+        SparkSession.active().createDataFrame([astuple(self)], schema).coalesce(1).write.mode("append").parquet(path)
 
     @classmethod
     def load(cls, path: str) -> ChunkState:
-        with open(path, "rb") as f:
-            return pickle.load(f)
+        """The latest state at path; a new one where there is none."""
+        try:
+            found = SparkSession.active().read.parquet(path).orderBy(F.desc("step"), F.desc("batch")).first()
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            found = None
+        return cls(**found.asDict()) if found else cls()
 
 
 class ChunkPipeline:
-    """Chunks of lines in arrival order, scored chunk by chunk: for small bounded feeds.
+    """Chunks of lines in arrival order, scored chunk by chunk. A chunk is a DataFrame with raw_log (and line_no, if
+    it has an order), or a list of lines in memory.
 
-    With fixed windows the last window of a chunk is held back and joins the next chunk; its
-    rows, at most one window's, are carried by the driver. Other strategies treat each chunk
-    by itself. Scores are fitted on the windows of one chunk. For large inputs use the
-    stateful queries above.
+    With fixed windows the last window of a chunk is held back and joins the next chunk: its rows
+    are a table in the shared folder, which stays until the caller deletes it, and only its name is carried. Other
+    strategies treat each chunk by itself. Scores are fitted on the windows of one chunk. A row
+    that is later than its chunk makes its window come once more, with the late rows alone.
+
+    Stages go to chunk_no=N below their folders, N being the number of the chunk, so that a chunk that is run again
+    replaces what it wrote.
     """
 
     def __init__(self, spark: SparkSession, config: PipelineConfig, folder: str | None = None, clock: datetime | None = None):
         self.spark, self.config, self.folder, self.clock = spark, config, folder, clock or datetime.now()
 
+    def _templates(self, chunk: DataFrame | Sequence[str]) -> DataFrame:
+        lines = chunk if isinstance(chunk, DataFrame) else from_lines(self.spark, list(chunk))
+        if "line_no" not in lines.columns:
+            lines = lines.withColumn("line_no", F.monotonically_increasing_id() + 1)
+        return extract_templates(parse_lines(lines, self.config.preprocessing, self.clock), self.config.parsing)
+
     def _finish(self, rows: DataFrame, state: ChunkState) -> dict[str, DataFrame]:
         assigned = assign_windows(rows, self.config.windowing)
         windows, counts = window_table(assigned), event_counts(assigned)
@@ -257,50 +278,79 @@ class ChunkPipeline:
         n = found["anomalies"].agg(F.count("*"), F.coalesce(F.sum(F.col("IsAnomaly").cast("long")), F.lit(0))).first()
         state.total_windows += n[0]
         state.total_anomalies += n[1]
-        if self.folder:
+        if self.folder and n[0]:
             for stage, df in found.items():
-                append_stage(df, self.folder, stage, self.config.output.formats)
+                for fmt in self.config.output.formats:
+                    write_stage(df, self.folder, stage, fmt, "overwrite", f"chunk_no={state.step}")
         return found
 
-    def process_chunk(self, lines: Sequence[str], state: ChunkState | None = None) -> tuple[dict[str, DataFrame], ChunkState]:
+    def process_chunk(self, chunk: DataFrame | Sequence[str], state: ChunkState | None = None) -> tuple[dict[str, DataFrame], ChunkState]:
         """(stages of the windows that this chunk completes, state); no stages if there are none."""
-        state = state or ChunkState()
-        parsed = parse_lines(from_lines(self.spark, list(lines)), self.config.preprocessing, self.clock)
-        rows = extract_templates(parsed, self.config.parsing).cache()
-        n = rows.count()
-        state.total_logs += n
-        if state.remainder:
-            rows = rows.unionByName(self.spark.createDataFrame(state.remainder, rows.schema))
-        if not n and not state.remainder:
-            return {}, state
-        if self.config.windowing.strategy == "fixed":
-            placed = fixed_windows(rows, self.config.windowing.window_size)
-            last = placed.agg(F.max("Window")).first()[0]
-            state.remainder = [r.asDict() for r in placed.where(F.col("Window") == F.lit(last)).drop("Window").collect()]
-            rows = placed.where(F.col("Window") < F.lit(last)).drop("Window")
-            if rows.isEmpty():
+        state = replace(state) if state else ChunkState()
+        state.step += 1
+        rows = self._templates(chunk).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = rows.count()
+            state.total_logs += n
+            if not n:
                 return {}, state
-        elif not state.chunks:
-            _log.warning("%s windows are cut at the ends of chunks", self.config.windowing.strategy)
-        state.chunks += 1
-        return self._finish(rows, state), state
+            if self.config.windowing.strategy == "fixed":
+                both = rows.unionByName(self.spark.read.schema(rows.schema).parquet(state.remainder)) if state.remainder else rows
+                placed = fixed_windows(both, self.config.windowing.window_size)
+                last, first = placed.agg(F.max("Window"), F.min("Window")).first()
+                state.remainder = shared_folder(self.spark, "open-window")
+                placed.where(F.col("Window") == F.lit(last)).drop("Window").write.parquet(state.remainder)
+                if first == last:
+                    return {}, state
+                found = placed.where(F.col("Window") < F.lit(last)).drop("Window")
+            else:
+                found = rows
+                if not state.chunks:
+                    _log.warning("%s windows are cut at the ends of chunks", self.config.windowing.strategy)
+            state.chunks += 1
+            return self._finish(found, state), state
+        finally:
+            rows.unpersist()
 
     def flush(self, state: ChunkState) -> dict[str, DataFrame]:
         """The stages of the window that is still open."""
         if not state.remainder:
             return {}
-        parsed = parse_lines(from_lines(self.spark, [""]), self.config.preprocessing, self.clock)
-        schema = extract_templates(parsed, self.config.parsing).schema
-        rows, state.remainder = self.spark.createDataFrame(state.remainder, schema), []
+        rows = self.spark.read.schema(self._templates([]).schema).parquet(state.remainder)
+        state.remainder, state.step = "", state.step + 1
         return self._finish(rows, state)
 
-    def process_stream(self, chunks: Iterable[Sequence[str]], state: ChunkState | None = None) -> ChunkState:
+    def process_stream(self, chunks: Iterable[DataFrame | Sequence[str]], state: ChunkState | None = None) -> ChunkState:
         state = state or ChunkState()
         for chunk in chunks:
             _, state = self.process_chunk(chunk, state)
         self.flush(state)
         return state
 
+    def process_files(self, lines: DataFrame, place: str, flush: bool = False) -> ChunkState:
+        """Run over what is new in a stream of raw_log (such as stream_text), a micro-batch a chunk.
+
+        place keeps the query's checkpoint and the states. A run that was stopped goes on where the last
+        complete chunk ended; a chunk that was under way is run again from the state before it, and
+        replaces what it had written. With flush the open window is closed at the end.
+        """
+        states = f"{place}/states"
+
+        def step(batch: DataFrame, number: int) -> None:
+            state = ChunkState.load(states)
+            if number > state.batch:
+                _, state = self.process_chunk(batch, state)
+                state.batch = number
+                state.save(states)
+
+        query = lines.select("raw_log").writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint")
+        query.trigger(availableNow=True).start().awaitTermination()
+        state = ChunkState.load(states)
+        if flush and state.remainder:
+            self.flush(state)
+            state.save(states)
+        return state
+
 
 def line_chunks(path: str, size: int) -> Iterator[list[str]]:
     """Chunks of a raw text file's lines that are not empty."""

@@ -111,10 +111,50 @@ def test_chunks(spark, tmp_path):
     chunks = list(S.line_chunks(str(tmp_path / "a.log"), 12))
     assert [len(x) for x in chunks] == [12, 12, 6]
     state = p.process_stream(chunks)
-    assert (state.total_logs, state.total_windows, state.remainder) == (30, 6, [])
+    assert (state.total_logs, state.total_windows, state.remainder) == (30, 6, "")
     assert spark.read.parquet(f"file://{tmp_path}/out/windowed.parquet").agg(F.sum("LogCount")).first()[0] == 30
     state.save(str(tmp_path / "s"))
     assert S.ChunkState.load(str(tmp_path / "s")) == state
+    assert S.ChunkState.load(str(tmp_path / "new")) == S.ChunkState()
+    c.output.formats = ["parquet"]
+    frames = [spark.createDataFrame([(x,) for x in chunk], "raw_log string") for chunk in chunks]
+    again = S.ChunkPipeline(spark, c, f"file://{tmp_path}/frames", datetime(2024, 1, 1)).process_stream([*frames, frames[0].limit(0), []])
+    assert (again.total_logs, again.total_windows, again.remainder) == (30, 6, "")
+    both = [spark.read.parquet(f"file://{tmp_path}/{f}/windowed.parquet").select("Window", "LogCount") for f in ("out", "frames")]
+    assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect()))
+
+
+def test_chunks_of_a_stream_that_fails_and_starts_again(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def add(k):
+        (folder / f"{k}.log").write_text("\n".join(lines(60)[k * 14 : (k + 1) * 14]))
+        os.utime(folder / f"{k}.log", (1e9 + k, 1e9 + k))
+
+    for k in range(3):
+        add(k)
+    c = config(f"file://{tmp_path}", window_size="5m")
+    c.output.formats = ["parquet"]
+    p = S.ChunkPipeline(spark, c, f"file://{tmp_path}/out", datetime(2024, 1, 1))
+    place, write, calls = f"file://{tmp_path}/place", S.write_stage, []
+
+    def failing(*a):
+        if a[2] == "event_matrix" and a[-1] == "chunk_no=2" and not calls:
+            calls.append(a)
+            raise OSError("no space")
+        return write(*a)
+
+    monkeypatch.setattr(S, "write_stage", failing)
+    with pytest.raises(Exception, match="no space"):
+        p.process_files(readers.stream_text(spark, f"file://{folder}", 1), place)
+    assert S.ChunkState.load(f"{place}/states").batch == 0
+    p.process_files(readers.stream_text(spark, f"file://{folder}", 1), place)
+    add(3)
+    state = p.process_files(readers.stream_text(spark, f"file://{folder}", 1), place, flush=True)
+    found = spark.read.parquet(f"file://{tmp_path}/out/windowed.parquet").groupBy("Window").agg(F.sum("LogCount"), F.count("*")).collect()
+    assert state.total_logs == 56 and state.total_windows == len(found) and state.remainder == ""
+    assert sorted(r[1] for r in found)[-1] == 5 and sum(r[1] for r in found) == 56 and {r[2] for r in found} == {1}
 
 
 def test_streamed_counts_and_flush(spark, tmp_path):
