@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from stratalog.config import PreprocessingConfig
@@ -56,13 +56,14 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def parse_lines(lines: DataFrame, config: PreprocessingConfig, clock: datetime | None = None) -> DataFrame:
+def parse_lines(lines: DataFrame, config: PreprocessingConfig, clock: datetime | None = None, seen: Observation | None = None) -> DataFrame:
     """Typed rows of lines(raw_log, line_no).
 
     A line that the pattern does not match is dropped in strict mode; otherwise it is kept
     with itself as Content, level UNKNOWN and the run's clock as its time. A time that does
     not parse is null, and such rows are dropped where times are required. No shuffle: all is
-    one projection and a filter.
+    one projection and a filter. seen, if given, gets the numbers of lines that are not blank and
+    of unmatched ones when the rows are computed, without a pass of its own.
     """
     if "raw_log" not in lines.columns:
         raise ValueError("Input DataFrame must have 'raw_log' column")
@@ -70,6 +71,8 @@ def parse_lines(lines: DataFrame, config: PreprocessingConfig, clock: datetime |
     rows = once(lines, "_text", text).where(F.length("_text") > 0)
     rows = once(rows, "_groups", match_groups(F.col("_text"), config.log_pattern))
     hit, groups, names = F.size("_groups") > 1, named_groups(F.col("_groups"), config.log_pattern), parsed_columns(config)
+    if seen:
+        rows = rows.observe(seen, F.count("*").alias("lines"), F.count_if(~hit).alias("unmatched"))
     now = F.lit(clock).cast("timestamp_ntz") if clock else F.localtimestamp()
     if config.strict_mode:
         rows, instead = rows.where(hit), {}

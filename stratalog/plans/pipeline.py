@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from datetime import datetime
+from threading import Thread
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.config import PipelineConfig
@@ -19,6 +23,8 @@ from stratalog.operators.windows import assign_windows, check_strategy, window_t
 from stratalog.sources.readers import load_dataset
 from stratalog.sources.writers import run_folder, save_stages
 
+_log = logging.getLogger("stratalog")
+
 STAGES = ("preprocessed", "templates", "windowed", "event_matrix", "anomalies")
 
 
@@ -58,12 +64,30 @@ class BatchPipeline:
     def __post_init__(self) -> None:
         check_strategy(self.config.windowing.strategy)
         self.clock = self.clock or datetime.now()
+        self.seen: Observation | None = None
+
+    def unmatched(self, seconds: float = 10) -> tuple[int, int] | None:
+        """(lines that are not blank, those that the pattern does not match) as the rows were computed;
+        None if they were not, as where Spark sees that there are none."""
+        found: list[dict] = []
+
+        def look() -> None:
+            try:
+                found.append(self.seen.get)
+            except (Py4JJavaError, PySparkException) as e:  # the plan ended without the rows
+                _log.debug("no counts of lines: %s", e)
+
+        waiting = Thread(target=look, daemon=True)
+        waiting.start()
+        waiting.join(seconds)
+        return (found[0]["lines"], found[0]["unmatched"]) if found else None
 
     def stages(self, lines: DataFrame | None = None) -> dict[str, DataFrame]:
         lines = load_dataset(self.spark, self.config.dataset) if lines is None else lines
         if "line_no" not in lines.columns:
             lines = lines.withColumn("line_no", F.monotonically_increasing_id() + 1)
-        rows = parse_lines(lines, self.config.preprocessing, self.clock)
+        self.seen = Observation()
+        rows = parse_lines(lines, self.config.preprocessing, self.clock, self.seen)
         templates = extract_templates(rows, self.config.parsing, self.stream).persist(StorageLevel.MEMORY_AND_DISK)
         assigned = assign_windows(templates, self.config.windowing)
         windows, counts = window_table(assigned), event_counts(assigned)
@@ -74,6 +98,10 @@ class BatchPipeline:
         """(stages, summary); stages are saved where the config asks for it."""
         stages = self.stages(lines)
         summary = summarise(stages).first().asDict() | {"run_timestamp": self.clock.isoformat()}
+        total, unmatched = self.unmatched() or (0, 0)
+        if unmatched:
+            what = "left out" if self.config.preprocessing.strict_mode else "kept as they are"
+            _log.warning("%d of %d lines do not match log_pattern and are %s", unmatched, total, what)
         if save and self.config.output.save_intermediate:
             save_stages(stages, run_folder(self.config.output.directory, self.clock), self.config.output.formats)
         return stages, summary

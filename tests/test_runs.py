@@ -228,3 +228,18 @@ def test_sending_retries():
 
     replay.send_lines([{"message": "a", "original_timestamp": None}], connect, sleep=waits.append)
     assert waits == [1.0, 2.0] and sent == [b'{"message": "a"}\n']
+
+
+@pytest.mark.parametrize("strict,what", [(True, "left out"), (False, "kept as they are")])
+def test_unmatched_lines_are_counted_and_warned_of(spark, tmp_path, caplog, strict, what):
+    c = config(f"file://{tmp_path}", window_size="5m")
+    c.preprocessing.strict_mode = strict
+    run = BatchPipeline(spark, c, datetime(2024, 1, 1))
+    with caplog.at_level("WARNING", "stratalog"):
+        run.run(readers.from_lines(spark, [*lines(20), "odd", " ", "", "odd too"]), save=False)
+    assert run.unmatched() == (22, 2) and f"2 of 22 lines do not match log_pattern and are {what}" in caplog.text
+    caplog.clear()
+    for none in (readers.from_lines(spark, []), readers.from_lines(spark, lines(3))):
+        run = BatchPipeline(spark, c, datetime(2024, 1, 1))
+        run.run(none, save=False)
+        assert run.unmatched(1) in (None, (0, 0), (3, 0)) and not caplog.text
