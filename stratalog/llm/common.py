@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-#: Rows that a task turns into python objects at once, bytes of a batch that goes to it, and
-#: edges that a task joins into components at once.
-SLICE_ROWS, BATCH_BYTES, EDGES = 1000, 8 << 20, 200_000
+#: Rows that a task turns into python objects at once, bytes of a batch that goes to it,
+#: edges that a task joins into components at once, and short rows that one task may write.
+SLICE_ROWS, BATCH_BYTES, EDGES, PART_ROWS = 1000, 8 << 20, 200_000, 200_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -53,6 +53,21 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return table
 
 
+def counted(df: DataFrame, kind: str, **seen) -> tuple[DataFrame, dict]:
+    """stored(df, kind), and what was seen as it was written: its number of rows, as "rows",
+    and the given aggregates."""
+    watch = Observation()
+    columns = [c.alias(k) for k, c in {"rows": F.count(F.lit(1)), **seen}.items()]
+    return stored(df.observe(watch, *columns), kind), watch.get
+
+
+def in_few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """df of about so many short rows, in no more partitions than these are worth (but one a
+    core): each file that is written costs an executor buffers and, on local file systems,
+    several processes forked off its JVM, however few rows the file has."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that stored() gave, once nothing that is still to run reads them."""
     for table in tables:
@@ -190,7 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
     followed, path lengths halving, until all are roots. What is shuffled is a row a node; a
     root with very many nodes is met only by the join with the parents, both sides of which
     are plain shuffles of stored tables, so that Spark splits it. A table is written after
-    each step: lost executors cost one step.
+    each step: lost executors cost one step. Steps never add rows, so the number of those
+    before says how many tasks one is worth.
     """
 
     def narrow(batches):
@@ -199,26 +215,22 @@ def components(edges: DataFrame) -> DataFrame:
     def by_node(batches):
         return _contract(batches, True)
 
-    def counted(df: DataFrame, **seen) -> tuple[DataFrame, dict]:
-        watch = Observation()
-        return stored(df.observe(watch, *(c.alias(k) for k, c in seen.items())), "edges"), watch.get
-
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     n = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
-    cur = stored(map_batches(down, narrow, _EDGES), "edges")
+    cur, seen = counted(map_batches(down, narrow, _EDGES), "edges")
+    n_rows = seen["rows"]
     is_forest = False
     while True:
         if not is_forest:
-            meet = cur.select("u", "v").repartition("u").sortWithinPartitions("u", "v")
-            after, seen = counted(map_batches(meet, by_node, _EDGES), several=n(F.col("split")))
+            meet = in_few_parts(cur.select("u", "v").repartition("u"), n_rows).sortWithinPartitions("u", "v")
+            after, seen = counted(map_batches(meet, by_node, _EDGES), "edges", several=n(F.col("split")))
             discard(cur)
+            n_rows = seen["rows"]
             cur, is_forest = after, not seen["several"]
         parents = cur.where("own").select(F.col("u").alias("p"), F.col("v").alias("up"))
         step = cur.select("u", "v").join(parents, F.col("v") == F.col("p"), "left")
-        after, seen = counted(
-            step.select("u", F.coalesce("up", "v").alias("v"), F.lit(True).alias("own"), F.col("up").isNotNull().alias("moved")),
-            moved=n(F.col("moved")),
-        )
+        step = step.select("u", F.coalesce("up", "v").alias("v"), F.lit(True).alias("own"), F.col("up").isNotNull().alias("moved"))
+        after, seen = counted(in_few_parts(step, n_rows), "edges", moved=n(F.col("moved")))
         discard(cur)
         cur = after
         if is_forest and not seen["moved"]:

@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import by_text, components, discard, free_name, keeps_columns, map_batches, row_key, stored
+from stratalog.llm.common import (
+    by_text, components, counted, discard, free_name, in_few_parts, keeps_columns, map_batches, row_key, stored,
+)
 
 #: Words of a shingle, hash seed, and differing bits up to which fingerprints link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Fingerprints of a bucket above which it is searched by a further byte.
-LARGE_BUCKET = 4096
+#: Fingerprints of a bucket above which it is searched by a further byte, and buckets to which a
+#: fingerprint goes, about.
+LARGE_BUCKET, BUCKETS = 4096, 21
 
 # Fixed value: a generator polynomial of the binary (23, 12, 7) Golay code.
 _GENERATOR = 0b101011100011
@@ -141,9 +144,9 @@ def bucket_links(key: int, members: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v) fingerprints, both of fps(fp) (distinct), whose links connect all that differ in
-    at most three bits.
+def links(fps: DataFrame, rows: int) -> DataFrame:
+    """(u, v) fingerprints, both of fps(fp) (distinct, rows of them), whose links connect all
+    that differ in at most three bits.
 
     Each fingerprint goes to about 21 buckets. A bucket is read in key order and holds
     distinct fingerprints only, so copies of a text never add to it.
@@ -193,19 +196,23 @@ def links(fps: DataFrame) -> DataFrame:
         yield flush()
 
     keyed = map_batches(fps.select("fp"), expand, "key long, fp long")
-    return map_batches(keyed.repartition("key").sortWithinPartitions("key"), connect, "u long, v long")
+    buckets = in_few_parts(keyed.repartition("key"), BUCKETS * rows).sortWithinPartitions("key")
+    return map_batches(buckets, connect, "u long, v long")
 
 
-def component_labels(prints: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(fp, component_id) of prints(key, fp), stored: the least key that links reach."""
-    least = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    found = components(links(least))
+def component_labels(prints: DataFrame, key: str = "doc_id", rows: int | None = None) -> DataFrame:
+    """(fp, component_id) of prints(key, fp), stored: the least key that links reach. rows: how
+    many prints has, if known."""
+    least = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    least, seen = counted(least if rows is None else in_few_parts(least, rows), "fingerprints")
+    rows = seen["rows"]
+    found = components(links(least, rows))
     of = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(least, F.col("node") == F.col("fp"))
-    of = stored(of.select("root", "fp", "least"), "linked")
+    of = stored(in_few_parts(of.select("root", "fp", "least"), rows), "linked")
     # written out, so that the join meets plain shuffles, whose hot partitions Spark splits
-    roots = stored(of.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    roots = stored(in_few_parts(of.groupBy("root").agg(F.min("least").alias("component_id")), rows), "roots")
     alone = least.join(of, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    out = stored(of.join(roots, "root").select("fp", "component_id").unionByName(alone), "labels")
+    out = stored(in_few_parts(of.join(roots, "root").select("fp", "component_id").unionByName(alone), rows), "labels")
     discard(least, of, roots)
     return out
 
@@ -217,9 +224,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     come back as given; rows without doc_id too, and a component of such rows only has no
     id. An empty table gives none; other columns are not read.
     """
-    prints = stored(fingerprints(docs), "prints")
-    labels = component_labels(prints)
-    return prints.join(labels, "fp").select(
+    prints, seen = counted(fingerprints(docs), "prints")
+    labels = component_labels(prints, rows=seen["rows"])
+    return in_few_parts(prints.join(labels, "fp"), seen["rows"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -233,8 +240,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     itself. Rows without id come after all others. Null, empty and blank texts are alike. All
     columns are kept; an empty table gives none.
     """
-    prints = stored(fingerprints(docs, row_key(docs)).withColumn("place", F.struct("id", "row")), "prints")
-    labels = component_labels(prints, "place")
+    prints, seen = counted(fingerprints(docs, row_key(docs)).withColumn("place", F.struct("id", "row")), "prints")
+    labels = component_labels(prints, "place", seen["rows"])
     key = {c: free_name(docs, c) for c in ("id", "row", "nth")}
     kept = labels.select(F.col("component_id.id").alias(key["id"]), F.col("component_id.row").alias(key["row"])).distinct()
     keyed = docs.select("*", *(c.alias(key[n]) for n, c in zip(("id", "row"), row_key(docs))))

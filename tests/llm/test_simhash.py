@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from stratalog.llm import common as C
 from stratalog.llm import simhash as S
 from tests.llm.test_common import union_find
 from tests.llm.test_lines import row_hash
@@ -103,3 +104,36 @@ def test_large_buckets(monkeypatch):
         monkeypatch.setattr(S, "LARGE_BUCKET", 10)
         parts = union_find([(int(a), int(b)) for a, b in S.bucket_links(place << 28, members)])
         assert parts == union_find([(int(a), int(b)) for a, b in S.spanning_links(members)]) and parts
+
+
+def test_short_tables_are_few_files(spark, make, corpus, monkeypatch, tmp_path):
+    """However many partitions a shuffle has."""
+    kept = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in kept}
+    monkeypatch.setattr(C, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(C, "discard", lambda *tables: None)
+    monkeypatch.setattr(S, "discard", lambda *tables: None)
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        rows = [(i, t) for i, t in corpus] * 2
+        docs = make(rows).coalesce(2)
+        out = S.near_duplicates(docs)
+        assert sorted(map(tuple, out.collect()), key=str) == brute(rows)
+        most = max(2, spark.sparkContext.defaultParallelism)
+        files = {d.name: len(list(d.glob("part-*"))) for d in tmp_path.iterdir()}
+        assert {n.split("-")[0] for n in files} == {"prints", "fingerprints", "edges", "linked", "roots", "labels"}
+        assert max(files.values()) <= most and out.rdd.getNumPartitions() <= most, files
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_parts_follow_rows(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART_ROWS", 10)
+    table = spark.range(0, 1000, 1, 100)
+    least = spark.sparkContext.defaultParallelism
+    assert C.in_few_parts(table, 0).rdd.getNumPartitions() == least
+    assert C.in_few_parts(table, 10 * least + 1).rdd.getNumPartitions() == least + 1
+    assert C.in_few_parts(table, 10**6).rdd.getNumPartitions() == 100
+    assert C.in_few_parts(table, 10**6).count() == C.in_few_parts(table, 0).count() == 1000
