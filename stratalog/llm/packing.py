@@ -21,9 +21,10 @@ from stratalog.llm.common import map_batches
 from stratalog.llm.tokens import chunk_tokenizer, vocabulary_path
 
 #: Tokens of a sequence, id that ends a document, tokens of a shard, terms of a query,
-#: neighbours that one query returns, the usual BM25 parameters, and characters of a word that
-#: can route its document.
+#: neighbours that one query returns, the usual BM25 parameters, characters of a word that
+#: can route its document, and shuffle partitions of documents whose pieces one task gives.
 SEQUENCE, END_ID, SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS, K1, B, LONG_WORD = 4096, 2, 4_000_000, 24, 32, 1.2, 0.75, 7
+RANGES_A_PART = 32
 
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -151,6 +152,16 @@ def routed(docs: DataFrame) -> DataFrame:
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
+def _in_few_parts(pieces: DataFrame) -> DataFrame:
+    """pieces dealt out evenly to a task for every RANGES_A_PART shuffle partitions (but one a
+    core). A piece is some 50 bytes of a document of thousands, so what packs documents in
+    parallel would else write as many tiny files, and for each of them an executor forks
+    children off its JVM on local file systems, which hold its memory twice for a moment."""
+    session = pieces.sparkSession
+    parts = int(session.conf.get("spark.sql.shuffle.partitions")) // RANGES_A_PART
+    return pieces.repartition(max(session.sparkContext.defaultParallelism, parts))
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece of docs(doc_id, text): where it lies in its document and sequence.
 
@@ -158,7 +169,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHA
     sequences have SEQUENCE tokens but the last few of a task, which have powers of two.
     sequence_id holds the task's number and a count; a task that runs again makes the same
     rows, since its range is sorted. Repeated rows, null and equal ids are packed as given; an empty
-    table gives none; other columns are not read.
+    table gives none; other columns are not read. Rows come in no promised order.
     """
     vocabulary = vocabulary or vocabulary_path()
 
@@ -192,4 +203,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHA
         tokenizer.forget()
         yield rows()
 
-    return map_batches(routed(docs), run, _PIECES)
+    return _in_few_parts(map_batches(routed(docs), run, _PIECES))

@@ -83,3 +83,24 @@ def test_routes(make, odd_rows):
     got = [r.doc_id for r in P.routed(make(rows).repartition(7)).collect()]
     places = [[k for k, i in enumerate(got) if i is not None and i < 80 and i % 4 == kind and i > 8] for kind in range(4)]
     assert len(got) == len(rows) and all(p[-1] - p[0] <= len(p) + 3 for p in places)
+
+
+def test_few_tasks_give_the_pieces(spark, make, odd_rows, corpus, monkeypatch):
+    """However many ranges the documents are packed in, few tasks give (and write) all their
+    pieces, more of them as ranges become more; what was packed in parallel stays as it was."""
+    rows = odd_rows + [(100 + i, t) for i, t in corpus]
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = P.pack(make(rows))
+        assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 64
+        pieces = got.collect()
+        check(rows, pieces)
+        assert len({r.sequence_id >> 40 for r in pieces}) > 32
+        monkeypatch.setattr(P, "RANGES_A_PART", 4)
+        assert P.pack(make(rows)).rdd.getNumPartitions() == 16
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
