@@ -95,12 +95,17 @@ def config_of_stream(stream: str, names: Iterable[str]) -> str:
     return found
 
 
-def routed_requests(requests: DataFrame, names: Iterable[str]) -> DataFrame:
+def routed_requests(requests: DataFrame, names: Iterable[str] | DataFrame) -> DataFrame:
     """requests with config, by the rule of config_of_stream, null where the stream is unknown.
-    Streams are matched with the few configs once each, by a broadcast table."""
-    known = requests.sparkSession.createDataFrame([(n,) for n in sorted(names)], "config string")
+    names: the configs, or a table of them (config). Streams meet the names that begin so by all
+    beginnings of a name, of which each keeps its first name."""
+    if not isinstance(names, DataFrame):
+        names = requests.sparkSession.createDataFrame([(n,) for n in names], "config string")
+    known = names.select("config").distinct()
     streams = requests.select("datastream").distinct().where("datastream <> ''")
-    begins = F.startswith(F.lower("config"), F.lower("datastream"))
-    best = F.min(F.struct((F.col("config") != F.col("datastream")).alias("other"), "config"))
-    found = streams.join(F.broadcast(known), begins).groupBy("datastream").agg(best["config"].alias("config"))
-    return requests.join(found, "datastream", "left")
+    lower = F.lower("config")
+    begins = known.select("config", F.explode(F.sequence(F.lit(1), F.length(lower))).alias("n")).where("config <> ''")
+    begins = begins.groupBy(F.substring(lower, F.lit(1), F.col("n")).alias("begin")).agg(F.min("config").alias("first"))
+    exact = known.select(F.col("config").alias("datastream"), "config")
+    found = streams.join(exact, "datastream", "left").join(begins, F.lower("datastream") == F.col("begin"), "left")
+    return requests.join(found.select("datastream", F.coalesce("config", "first").alias("config")), "datastream", "left")

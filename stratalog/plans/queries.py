@@ -811,9 +811,13 @@ SELECT user_id AS datastream, CASE WHEN user_id < 10 THEN 'config-' || user_id W
 FROM events GROUP BY ALL
 """)
 def routed_streams(spark, sf_dir):
-    """Streams to configs: the exact name first, then the first that begins so, else unknown."""
+    """Streams to configs: the exact name first, then the first that begins so, else unknown.
+    The configs are those of the streams that have one, as many as there are, and such as could be mistaken for them."""
     e = events(spark, sf_dir)
-    name = F.when(F.col("datastream") < 10, F.concat(F.lit("config-"), F.col("datastream").cast("string"))).otherwise(F.concat(F.lit("STREAM"), F.col("datastream").cast("string"), F.lit("-")))
-    names = [f"config-{k}" for k in range(1000)] + [f"config-{k}-b" for k in range(10)] + [f"Stream{k}-{x}" for k in range(100, 1000) for x in "cb"]
+    number = F.col("datastream").cast("string")
+    name = F.when(F.col("datastream") < 10, F.concat(F.lit("config-"), number)).otherwise(F.concat(F.lit("STREAM"), number, F.lit("-")))
+    whole = [F.concat(F.lit("config-"), number), F.when(F.col("datastream") < 10, F.concat(F.lit("config-"), number, F.lit("-b")))]
+    begun = [F.when(F.col("datastream") >= 100, F.concat(F.lit("Stream"), number, F.lit(x))) for x in ("-c", "-b")]
+    names = e.select("datastream").distinct().select(F.explode(F.array(*whole, *begun)).alias("config")).where("config IS NOT NULL")
     found = records.routed_requests(e.select(name.alias("datastream"), F.col("datastream").alias("user_id")), names)
     return found.groupBy(F.col("user_id").alias("datastream"), "config").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ import threading
 from datetime import datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,25 @@ def test_streams_go_by_their_configs(spark):
     assert len(got) == 12 and {r.datastream: r.config for r in got} == want
 
 
+def test_configs_as_a_table(spark):
+    table = spark.createDataFrame([(n,) for n in ["bgl", "hdfs", "hdfs_v1", "Apache", "", None]], "config string")
+    want = {"bgl": "bgl", "HDFS": "hdfs", "hdfs_v": "hdfs_v1", "apa": "Apache", "none": None, "": None}
+    got = records.routed_requests(spark.createDataFrame([(s,) for s in [*want, None]], "datastream string"), table).collect()
+    assert len(got) == 7 and {r.datastream: r.config for r in got} == want | {None: None}
+
+
+def test_streams_beyond_the_first_thousand_have_configs(spark, tmp_path):
+    from stratalog.plans import queries as Q
+
+    users, c = [None, -3, 0, 9, 10, 99, 100, 999, 1000, 1499, 12345], duckdb.connect()
+    rows = [(i, datetime(2024, 1, 1), u, "view", 1.0, "{}") for i, u in enumerate([*users, *users])]
+    c.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    c.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?, ?)", rows)
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = c.execute(Q.ORACLES["routed_streams"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in Q.QUERIES["routed_streams"](spark, str(tmp_path)).collect()) and len(want) == len(users)
+
+
 def test_records_are_pushed(spark):
     taken = []
 
