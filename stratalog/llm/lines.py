@@ -76,15 +76,20 @@ def shingle_hashes(codes: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(line, band) keys of lines of at least SHINGLE characters."""
+def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each shingle of lines of at least SHINGLE characters, in their order."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
     length = np.array([len(s) for s in lines], np.int64)
     count = length - SHINGLE + 1
     start = np.cumsum(length) - length
     line = np.repeat(np.arange(len(lines)), count)
     place = np.arange(len(line)) + np.repeat(start - (np.cumsum(count) - count), count)
-    h = shingle_hashes(codes)[place]
+    return line, shingle_hashes(codes)[place]
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(line, band) keys of lines of at least SHINGLE characters."""
+    line, h = line_shingles(lines)
     bin_ = ((h >> np.uint64(40)) * np.uint64(_BINS) >> np.uint64(24)).astype(np.int64)
     signature = np.full(len(lines) * _BINS, _EMPTY, np.uint32)
     np.minimum.at(signature, line * _BINS + bin_, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
@@ -289,6 +294,11 @@ def _size_band(n: int) -> int:
     return int(np.log(n) / -np.log(SIMILARITY - 0.001))
 
 
+def _n_telling(n: int, share: float) -> int:
+    """Of n shingles, how many stand first in any order in which one of each `share` of them does."""
+    return n - int(np.ceil(share * n - 1e-9)) + 1
+
+
 def telling(tokens: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
     """Those of a line's distinct shingle hashes by which it can meet all that are similar, and
     how many of these suffice to meet lines with no fewer shingles.
@@ -301,7 +311,7 @@ def telling(tokens: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[
     at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
     seen = np.where(common[at] == tokens, times[at], 0)
     n, share = len(tokens), 2 * SIMILARITY / (1 + SIMILARITY)
-    size, enough = (n - int(np.ceil(t * n - 1e-9)) + 1 for t in (SIMILARITY, share))
+    size, enough = _n_telling(n, SIMILARITY), _n_telling(n, share)
     return tokens[np.lexsort((_mixed(tokens), seen))][:size], enough
 
 
@@ -314,42 +324,83 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _marked(hot: DataFrame, texts: DataFrame, shingles_from: int | None) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, line, band, pivot, tokens, enough): each line of a key with its size band and the
-    first of PIVOTS lines of the key that is similar; and what telling() gives for lines of keys
-    that have at least shingles_from lines. With tables to discard."""
+def _by_key(rows: DataFrame, per_key, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
+    """per_key(pivots)(key, line, text, n, more) for each of rows(key, line, text, n, more, pivots). Lines of
+    a key are spread over tasks; in a task they follow each other, so that what per_key makes of
+    the pivots is made once."""
+
+    def run(batches):
+        at, each = None, None
+        for batch in batches:
+            out = []
+            for key, *row, pivots in zip(*(c.to_pylist() for c in batch.columns)):
+                if each is None or key != at:
+                    at, each = key, per_key(pivots)
+                out.append(each(key, *row))
+            columns = zip(*out) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    rows = rows.select("key", "line", "text", "n", "more", "pivots").repartition(_tasks(rows), "key", "line")
+    return map_batches(rows.sortWithinPartitions("key"), run, schema)
+
+
+def _marked(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n, line, band, pivot, rows): each line of a key of n lines with its size band, the first
+    of PIVOTS lines of the key that is similar, and how many telling shingles it has. And
+    (key, n, pivots), a table to discard."""
     some = [F.min_by("line", F.xxhash64("line", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
     chosen = hot.groupBy("key").agg(F.count("*").alias("n"), *some)
     chosen = chosen.select("key", "n", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("line"))
     pivots = chosen.join(texts, "line").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("pivots"))
     pivots = stored(pivots, "pivots")
-    met = hot.join(texts, "line").join(pivots, "key").select("key", "line", "text", "n", "pivots")
-    met = met.repartition(_tasks(hot), "line")
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+    met = hot.join(texts, "line").join(pivots, "key").withColumn("more", F.lit(None).cast("long"))
+
+    def per_key(pivots):
+        sets = [(p["line"], shingles(p["text"])) for p in pivots]
+
+        def mark(key, line, text, n, _):
+            own = shingles(text)
+            pivot = next((p for p, other in sets if similar(own, other)), None)
+            return key, n, line, _size_band(len(own)), pivot, _n_telling(len(own), SIMILARITY)
+
+        return mark
+
+    names = ["key", "n", "line", "band", "pivot", "rows"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    return stored(_by_key(met, per_key, names, kinds, "key long, n long, line long, band int, pivot long, rows long"), "marked"), pivots
+
+
+def _with_tokens(marked: DataFrame, texts: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(key, line, pivot, tokens, enough): marked lines with what telling() gives."""
+    met = marked.select("key", "line", F.col("pivot").alias("more")).join(texts, "line").join(pivots, "key")
+
+    def per_key(pivots):
+        counts = np.unique(np.concatenate([_tokens(p["text"]) for p in pivots]), return_counts=True)
+
+        def tell(key, line, text, _, pivot):
+            tokens, enough = telling(_tokens(text), *counts)
+            return key, line, pivot, tokens.view(np.int64), enough
+
+        return tell
+
+    names = ["key", "line", "pivot", "tokens", "enough"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
+    return stored(_by_key(met, per_key, names, kinds, "key long, line long, pivot long, tokens array<long>, enough int"), "told")
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    """(line, root) of all lines that links(u, v) connect: root is the least line of its component."""
+    found = components(links)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "line")
 
-    def mark(batches):
-        sets = {}
-        for batch in batches:
-            out = []
-            for key, line, text, n, some in zip(*(c.to_pylist() for c in batch.columns)):
-                if key not in sets:
-                    if len(sets) * PIVOTS >= 1000:
-                        sets.clear()
-                    many = shingles_from is not None and n >= shingles_from
-                    counts = np.unique(np.concatenate([_tokens(p["text"]) for p in some]), return_counts=True) if many else None
-                    sets[key] = [(p["line"], shingles(p["text"])) for p in some], counts
-                pivots, counts = sets[key]
-                own = shingles(text)
-                pivot = next((p for p, other in pivots if similar(own, other)), None)
-                tokens, enough = telling(_tokens(text), *counts) if counts else (None, None)
-                out.append((key, line, _size_band(len(own)), pivot, tokens if tokens is None else tokens.view(np.int64), enough))
-            columns = zip(*out) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "line", "band", "pivot", "tokens", "enough"]
-            )
 
-    schema = "key long, line long, band int, pivot long, tokens array<long>, enough int"
-    return stored(map_batches(met, mark, schema), "marked"), [pivots]
+def _in_large_groups(marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """marked, pivot being the root of the line's component. Components with less than an eighth of
+    a block's lines in a key have none there: they are compared like lines that are alone."""
+    with_root = marked.drop("pivot").join(roots, "line", "left")
+    large = with_root.where("root IS NOT NULL").groupBy("key", "root").agg(F.count("*").alias("in_key"))
+    large = large.where(F.col("in_key") * 8 >= BLOCK).select("key", "root", F.col("root").alias("pivot"))
+    return stored(with_root.join(large, ["key", "root"], "left").drop("root"), "marked")
 
 
 def _by_shingles(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -375,12 +426,13 @@ def _by_shingles(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return units.select(F.xxhash64("key", "block").alias("unit"), "line"), met.where("is_hot").select("key", "line"), sizes
 
 
-def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Links (u, v), and units (home, unit, line) still to be compared, of hot(key, line); and
-    the tables to discard after both were read.
+def hot_links(hot: DataFrame, texts: DataFrame, besides: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links (u, v), and units (home, unit, line, root) still to be compared, of hot(key, line), after the
+    other units, if there are any; and the tables to discard after both were read. root names
+    what the links connect, in the other units too; it is null where they have no line.
 
     Each line of a key is compared with PIVOTS of its lines and linked to the first that is
-    similar: lines of one pivot are connected and need no more comparing among each other.
+    similar. What these links of all keys connect needs no more comparing among each other.
     Of the rest, blocks of about BLOCK lines are paired, but for those whose sizes differ too
     much. A line names the pairs of its block itself, row by row; no task has a key's list.
     Where a line would be in more pairs of blocks than it has telling shingles, lines meet by
@@ -390,11 +442,14 @@ def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, l
     links, units, used = [], [], []
     for level in range(LEVELS):
         last = level + 1 == LEVELS
-        marked, tables = _marked(hot, texts, None if last else BLOCK)
-        links.append(marked.where("pivot <> line").select(F.col("line").alias("u"), F.col("pivot").alias("v")))
+        first, pivots = _marked(hot, texts)
+        links.append(first.where("pivot <> line").select(F.col("line").alias("u"), F.col("pivot").alias("v")))
+        roots = stored(_linked(reduce(DataFrame.unionByName, links)), "roots")
+        marked = _in_large_groups(first, roots)
         # line ids can be any number, so a line without a pivot has a group of its own kind
         group = F.struct(F.col("pivot").isNull().alias("loose"), F.coalesce("pivot", F.lit(0)).alias("pivot"), "band")
-        grouped = marked.select("key", "line", group.alias("g"), F.coalesce(F.array_size("tokens"), F.lit(0)).alias("rows"))
+        can_be_told = F.lit(False) if last else F.col("n") >= BLOCK
+        grouped = marked.select("key", "line", group.alias("g"), F.when(can_be_told, F.col("rows")).otherwise(0).alias("rows"))
         sizes = grouped.groupBy("key", "g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.sum("rows").alias("rows"))
         blocks = stored(sizes, "blocks")
         others = blocks.select("key", F.col("g").alias("h"), F.col("blocks").alias("h_blocks"))
@@ -402,7 +457,7 @@ def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, l
             F.col("g.loose") | F.col("h.loose") | (F.col("g.pivot") != F.col("h.pivot"))
         )
         pairs = stored(blocks.join(others, "key").where(near), "blocks")
-        used += [*tables, marked, blocks, pairs]
+        used += [first, pivots, roots, marked, blocks, pairs]
         dear = pairs.groupBy("key").agg(F.sum(F.col("blocks") * F.col("h_blocks")).alias("pairs"))
         rows = blocks.groupBy("key").agg(F.sum("rows").alias("rows")).where("rows > 0")
         dear = stored(dear.join(rows, "key").where(F.col("pairs") * BLOCK > F.col("rows")).select("key"), "dear")
@@ -417,15 +472,18 @@ def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, l
         )
         if few:
             break
-        met, again, table = _by_shingles(marked.join(dear, "key"))
+        told = _with_tokens(marked.join(dear, "key"), texts, pivots)
+        met, again, table = _by_shingles(told)
         units.append(met)
-        used.append(table)
+        used += [told, table]
         if table.where("is_hot").isEmpty():
             break
         hot = stored(again, "hot")
         used.append(hot)
     links, units = (reduce(DataFrame.unionByName, part) for part in (links, units))
-    return links, units.select(F.col("unit").alias("home"), "unit", "line"), used
+    units = units.select(F.col("unit").alias("home"), "unit", "line")
+    units = units if besides is None else besides.unionByName(units)
+    return links, units.join(roots, "line", "left").select("home", "unit", "line", "root"), used
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -461,37 +519,57 @@ def similar(a: set[str], b: set[str]) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def _reach(n: int, near) -> list[tuple[int, int]]:
-    """Links that connect what near(one, others) connects among n members: from each member
-    reached, only those not yet reached are looked at."""
-    left, links = np.arange(n), []
+def _reach(n: int, near, group: np.ndarray | None = None, one_near=None, order: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what near(one, others) connects among n members, those of one group
+    being connected already: from each member reached, only those not yet reached are looked
+    at. Where fewer are left than are to be looked from, each of them looks for any of these
+    instead (one_near, which may stop at the first), so that the many lines of a large component
+    are not gone through for the few beside it. order: of the members, those first that may reach most."""
+    left, links, one_near = np.arange(n) if order is None else order, [], one_near or near
+    with_group = lambda hit: hit if group is None or not hit.any() else np.isin(group[left], group[left[hit]])
     while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
+        taken = with_group(left == left[0])
+        todo, left = left[taken].tolist(), left[~taken]
         while todo and len(left):
-            one = todo.pop()
-            hit = near(one, left)
-            reached, left = left[hit].tolist(), left[~hit]
-            links += [(one, k) for k in reached]
-            todo += reached
+            if len(left) < len(todo):
+                others, hit = np.array(todo), np.zeros(len(left), bool)
+                for i, k in enumerate(left.tolist()):
+                    if len(found := others[one_near(k, others)]):
+                        hit[i] = True
+                        links.append((int(found[0]), k))
+                todo = []
+            else:
+                one = todo.pop(0)
+                hit = near(one, left)
+                links += [(one, k) for k in left[hit].tolist()]
+            taken = with_group(hit)
+            todo, left = todo + left[taken].tolist(), left[~taken]
     return links
 
 
-def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tuple[int, int]]:
-    """Links among the lines of a unit. Few lines are compared by their sets, more by a matrix of
-    the shingles, known by 64-bit hashes, that two or more of them have. Where that is large, lines
-    are looked up by their telling shingles, in an order by how many lines of the unit have one,
-    so that lines of a template that are unlike each other hardly meet; those that meet
-    are compared by all their shingles at once."""
+def unit_links(texts: list[str], sets: list[set[str]] | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links among the lines of a unit, of which those of one group are connected already. Few
+    lines are compared by their sets, more by a matrix of the shingles, known by 64-bit hashes, that
+    two or more of them have. Where that is large, lines are looked up by their telling shingles,
+    in an order by how often these stand in the unit, so that lines of a template that are unlike
+    each other hardly meet; those that meet are compared by all their shingles at once."""
     n = len(texts)
     if n <= FEW:
         sets = sets or [shingles(t) for t in texts]
-        return _reach(n, lambda one, left: np.array([similar(sets[one], sets[k]) for k in left.tolist()], bool))
-    tokens = [_tokens(t) for t in texts]
-    size = np.array([len(t) for t in tokens], np.int64)
-    number, flat = np.unique(np.concatenate(tokens), return_inverse=True)
-    times, start = np.bincount(flat), np.cumsum(size) - size
-    line, shared = np.repeat(np.arange(n), size), times > 1
-    width = int(shared.sum())
+        return _reach(n, lambda one, left: np.array([similar(sets[one], sets[k]) for k in left.tolist()], bool), group)
+    line, h = line_shingles(texts)
+    number, flat = np.unique(h, return_inverse=True)
+    times = np.bincount(flat)
+    by_times = np.argsort(times, kind="stable")
+    rarity = np.empty(len(number), np.int64)
+    rarity[by_times] = np.arange(len(number))
+    # shingles are numbered by how often they stand, so that each line has its rare ones first
+    both = np.sort(line * len(number) + rarity[flat])
+    line, flat = np.divmod(both[np.diff(both, prepend=-1) > 0], len(number))
+    times = times[by_times]
+    size, shared = np.bincount(line, minlength=n), times > 1
+    order = np.argsort(-np.bincount(line, times[flat], n) / size, kind="stable")  # lines of common shingles first
+    start, width = np.cumsum(size) - size, int(shared.sum())
     if n * width <= MATRIX_CELLS:
         has, in_many = np.zeros((n, width), np.float32), shared[flat]
         has[line[in_many], (np.cumsum(shared) - 1)[flat[in_many]]] = 1
@@ -500,33 +578,34 @@ def unit_links(texts: list[str], sets: list[set[str]] | None = None) -> list[tup
             both = (has[left] @ has[one]).astype(np.int64)  # sums of small whole numbers are exact
             return both >= SIMILARITY * (size[left] + size[one] - both)
 
-        return _reach(n, close)
-    order = np.lexsort((flat, times[flat], line))  # rare shingles of each line first
+        return _reach(n, close, group, order=order)
     rank = np.arange(len(flat)) - np.repeat(start, size)
     need = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
-    first = order[rank < np.repeat(need, size)]  # in order of lines
+    first = np.flatnonzero(rank < np.repeat(need, size))  # in order of lines
     own = np.split(flat[first], np.cumsum(need)[:-1])
     by_shingle = first[np.argsort(flat[first], kind="stable")]
     ends = np.searchsorted(flat[by_shingle], np.arange(len(number) + 1))
-    having, seen, in_left = line[by_shingle], np.zeros(len(number), bool), np.zeros(n, bool)
-
-    def near(one, left):
-        met = np.concatenate([having[ends[t] : ends[t + 1]] for t in own[one].tolist()])
-        in_left[left] = True
-        met = np.unique(met[in_left[met]])
-        in_left[left] = False
-        hit = np.zeros(n, bool)
-        for at in range(0, len(met), 500):
-            some = met[at : at + 500]
+    having, seen = line[by_shingle], np.zeros(len(number), bool)
+
+    def near(one, left, any_will_do=False):
+        meets, hit = np.zeros(n, bool), np.zeros(n, bool)
+        for t in own[one].tolist():
+            meets[having[ends[t] : ends[t + 1]]] = True
+        met = left[meets[left]]
+        step = 50 if any_will_do else 500
+        for at in range(0, len(met), step):
+            some = met[at : at + step]
             seen[flat[start[one] : start[one] + size[one]]] = True
             length = size[some]
             place = np.repeat(start[some] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
             both = np.add.reduceat(seen[flat[place]].astype(np.int64), np.cumsum(length) - length)
             hit[some] = both >= SIMILARITY * (length + size[one] - both)
+            if any_will_do and hit[some].any():
+                break
         seen[flat[start[one] : start[one] + size[one]]] = False
         return hit[left]
 
-    return _reach(n, near)
+    return _reach(n, near, group, lambda one, left: near(one, left, True), order)
 
 
 def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -541,13 +620,14 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> tuple[D
     ids = found.select("line").distinct()
     texts = stored(texts_of(docs, ids.join(classes, "line").select("line", "first.id", "first.row", "first.line_no")), "texts")
     links, used = None, [found, texts]
-    if not hot.isEmpty():
-        links, more, tables = hot_links(hot, texts)
-        units = units.unionByName(more)
+    if hot.isEmpty():
+        units = units.withColumn("root", F.lit(None).cast("long"))
+    else:
+        links, units, tables = hot_links(hot, texts, units)
         used += tables
 
     def run(batches):
-        at, ids, held, kept, size = None, [], [], {}, 0
+        at, ids, held, roots, kept, size = None, [], [], [], {}, 0
 
         def flush():
             nonlocal size
@@ -561,23 +641,30 @@ def line_links(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> tuple[D
                         kept[i] = shingles(t)
                         size += len(kept[i])
                 sets = [kept[i] for i in ids]
-            return [(ids[a], ids[b]) for a, b in unit_links(held, sets)]
+            group = None
+            if any(r is not None for r in roots):  # a line without root is alone, whatever its number
+                number = {}
+                group = np.array([number.setdefault((r is None, k if r is None else r), len(number)) for k, r in enumerate(roots)])
+                if len(number) == 1:
+                    return []
+            return [(ids[a], ids[b]) for a, b in unit_links(held, sets, group)]
 
         for batch in batches:
             found = []
-            for unit, line, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for unit, line, text, root in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 if unit != at:
                     if len(ids) > 1:
                         found += flush()
-                    at, ids, held = unit, [], []
+                    at, ids, held, roots = unit, [], [], []
                 ids.append(line)
                 held.append(text)
+                roots.append(root)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
         if len(ids) > 1 and (found := flush()):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
 
-    placed = units.join(texts, "line").select("home", "unit", "line", "text").repartition(_tasks(docs), "home")
+    placed = units.join(texts, "line").select("home", "unit", "line", "text", "root").repartition(_tasks(docs), "home")
     compared = map_batches(placed.sortWithinPartitions("home", "unit", "line"), run, "u long, v long")
     return compared if links is None else compared.unionByName(links), used
 

@@ -234,3 +234,57 @@ def test_lines_named_alike_by_accident(spark):
     place = lambda i: (i, i, 0)
     keep = spark.createDataFrame([(7, 70, True, place(1)), (8, 80, False, place(5))], "line long, own long, mixed boolean, keep struct<id:long,row:long,line_no:int>")
     assert sorted(r.id for r in L.going(lines, keep).collect()) == [2, 4, 6]
+
+
+def test_a_large_component_is_not_gone_through_for_the_few_beside_it():
+    """400 members, 370 of them alike, 10 near one of these, 20 alone; the same where groups are known."""
+    asked = []
+
+    def near(one, others):
+        asked.append(one)
+        alike = (others < 370) if one < 370 else np.zeros(len(others), bool)
+        return alike | ((one < 380) & (others < 380) & (np.abs(others - one) == 370)) | (others == one)
+
+    want = {frozenset(range(380))} | {frozenset([k]) for k in range(380, 400)}
+
+    def parts(links):
+        root = union_find([*links, *((k, k) for k in range(400))])
+        found = {}
+        for k in range(400):
+            found.setdefault(root.get(k, k), set()).add(k)
+        return set(map(frozenset, found.values()))
+
+    assert parts(L._reach(400, near)) == want and len(asked) < 100
+    asked.clear()
+    group = np.where(np.arange(400) < 370, 0, np.arange(400))
+    links = L._reach(400, near, group)
+    assert len(links) == 10 and parts([*links, *((0, k) for k in range(370))]) == want and len(asked) < 100
+
+
+def test_lines_that_pivots_connect_are_not_compared_again(make, monkeypatch):
+    """Edited copies of one line on one hot key: they are similar to different pivots, and what these connect
+    is compared with the few others only, of which all similar ones are found."""
+    monkeypatch.setattr(L, "BLOCK", 40)
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(60)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for k in rng.sample(range(60), rng.randint(1, 6)):
+            words[k] = "".join(rng.choices("qrstuvwxyz", k=5))
+        texts.append(" ".join(words))
+    spark = make([(0, "a")]).sparkSession
+    ids = spark.createDataFrame(list(enumerate(texts)), "line long, text string")
+    links, units, _ = L.hot_links(ids.selectExpr("7L AS key", "line"), ids)
+    held = {}
+    for r in units.collect():
+        held.setdefault(r.unit, {})[r.line] = r.root
+    compared = sum(len(g) for g in held.values())
+    edges = [(r.u, r.v) for r in links.collect()]
+    for g in held.values():
+        g = list(g.items())
+        group = np.array([k if r is None else 1000 + r for k, r in g])
+        edges += [(g[a][0], g[b][0]) for a, b in L.unit_links([texts[k] for k, _ in g], None, group)]
+    sets = [L.shingles(t) for t in texts]
+    assert union_find(edges) == union_find([(i, j) for i in range(400) for j in range(i) if L.similar(sets[i], sets[j])])
+    assert compared < 5000, compared
